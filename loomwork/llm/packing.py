@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,32 +20,62 @@ OPEN_BINS = 1024
 #: A task packs about this many tokens: thousands of sequences, so that those left open at its end weigh little.
 TASK_TOKENS = SEQUENCE_TOKENS * 2048
 END_ID = 1
-#: Words whose ids a task remembers.
-CACHED_WORDS = 400_000
+#: Words, and pieces of words, whose ids a task remembers.
+CACHED_WORDS = 800_000
+#: Printable ASCII and the letters of Latin-1, for which normalizing is lower-casing, and the tokenizer's pattern for them (fixed values).
+_LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+
+
+class _PieceIds(dict):
+    """Ids of a piece of lower-case ASCII and Latin-1 letters, as little-endian 32-bit numbers."""
+
+    def __init__(self, tokenizer) -> None:
+        self.model = tokenizer.model
+        #: A letter's bytes in the tokenizer's byte alphabet.
+        self.letters = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        out = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece.translate(self.letters)))
+        if len(piece) <= 64:
+            self[piece] = out
+        return out
 
 
 class _WordIds(dict):
-    """Ids of a stretch without blanks or line ends, as little-endian 32-bit numbers.
+    """Ids of a stretch without blanks or line ends.
 
     The tokenizer's pattern never crosses white space and its normalizer treats each character run by itself, so the ids
-    of a text are those of its stretches, one after another.
+    of a text are those of its stretches, one after another. Plain stretches are split here, so that their pieces can be
+    looked up; all others, and what may hold a special token, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = _PieceIds(self.tokenizer)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
+        if _LATIN(word) and "<|" not in word:
+            out = b"".join(map(self.pieces.__getitem__, _LATIN_PIECES(word.lower())))
+        else:
+            out = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(word) <= 64:
             self[word] = out
         return out
 
 
+@lru_cache(maxsize=2)
+def _word_ids(path: str) -> _WordIds:
+    """One for each worker, which runs one task after another."""
+    return _WordIds(path)
+
+
 def token_bytes(words: _WordIds, text: str) -> bytes:
     return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" ")))
 
@@ -54,7 +86,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     schema = T.StructType([source.schema["doc_id"], T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WordIds(tokenizer_path)
+        words = _word_ids(tokenizer_path)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
