@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontamination, media, near, packing, toxicity
+from loomwork.llm import decontamination, media, near, packing, substrings, toxicity
 from loomwork.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "copy_id", "class_id", "n_links")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_decontamination, op5_ogg, op7_jaccard_join)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_decontamination, op5_ogg, op7_jaccard_join, op8_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
