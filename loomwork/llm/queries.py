@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontamination, media, near, packing, substrings, toxicity
+from loomwork.llm import decontamination, media, near, packing, pii, substrings, toxicity
 from loomwork.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.ogg_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "copy_id", "class_id", "n_links")
 
@@ -40,6 +44,6 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_decontamination, op5_ogg, op7_jaccard_join, op8_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_decontamination, op5_ogg, op6_pii, op7_jaccard_join, op8_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
