@@ -169,9 +169,8 @@ def _calibrate(model: Model, sample: DataFrame, own: list, total_c: int) -> None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [tokens(x) for x in utf8(batch.column(0))]
-            tops = [max((x[2] for x in model.passages(w)), default=0.0) for w in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([len(w) for w in rows], pa.int64()), pa.array(tops, pa.float64())], names=["label", "n", "top"])
+            rows = [(len(w), max((p[2] for p in model.passages(w)), default=0.0)) for w in map(tokens, utf8(batch.column(0)))]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([n for n, _ in rows], pa.int64()), pa.array([top for _, top in rows], pa.float64())], names=["label", "n", "top"])
 
     clean = np.array([tuple(r) for r in sample.where("label = 0").mapInArrow(run, "label int, n long, top double").select("n", "top").collect()], float).reshape(-1, 2)
     top = clean[clean[:, 1] > 0]
@@ -206,12 +205,12 @@ def with_scores(documents: DataFrame, model: Model, text_col: str = "text", thre
         m = shared.value
 
         def apply(column):
-            rows = [tokens(x) for x in utf8(column)]
-            f = np.array([m.features(w) for w in rows], float).reshape(-1, 3)
+            texts = utf8(column)
+            f = np.array([m.features(tokens(x)) for x in texts], float).reshape(-1, 3)
             score = logistic(f, m.weights)
             out = {"score": score, "predicted": (score >= threshold).astype(np.int32)}
             if passages:
-                out["passages"] = [[{"first": a, "last": b - 1, "score": s, "expected": e} for a, b, s, e in m.passages(w) if e < LEAST_E] for w in rows]
+                out["passages"] = [[{"first": a, "last": b - 1, "score": s, "expected": e} for a, b, s, e in m.passages(tokens(x)) if e < LEAST_E] for x in texts]
             return out
 
         return apply
