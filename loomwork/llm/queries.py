@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontamination, media, near, packing, pii, quality, substrings, toxicity, warc
+from loomwork.llm import decontamination, media, near, packing, pii, pseudo, quality, substrings, toxicity, warc
 from loomwork.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quality, op4_decontamination, op5_ogg, op6_pii, op7_jaccard_join, op8_substring_dedup, op9_warc)}
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quality, op4_decontamination, op5_ogg, op6_pii, op7_jaccard_join, op8_substring_dedup, op9_warc, op10_pseudo_likelihood)}
 
 ORACLES: dict[str, str] = {}
