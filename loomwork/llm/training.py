@@ -12,13 +12,21 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % folds == fold
 
 
+def sampled(rows: DataFrame, limit: int, *key: str) -> DataFrame:
+    """At most limit rows, those whose key has the least hashes. Of many rows most are turned away where they are read, so that partitions send few to be compared."""
+    total, order = rows.count(), F.xxhash64(*key)
+    if total > 4 * limit:
+        rows = rows.where(F.pmod(order, F.lit(total // (2 * limit))) == 0)
+    return rows.orderBy(order).limit(limit)
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, limit: int) -> DataFrame:
     """(text, label) of at most limit labelled documents, with repeated texts once. Labels of held-out rows, null labels and null ids are left out; of differing labels for an id the larger holds.
 
     The ids are chosen by their hash, limit of them at most, so their broadcast is bounded whatever the size of labels.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
-    ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    ids = sampled(ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")), limit, "doc_id")
     found = documents.join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("_label").alias("label"))
     return found.groupBy("text").agg(F.max("label").alias("label"))
 
