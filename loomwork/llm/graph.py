@@ -14,7 +14,13 @@ def components(edges: DataFrame) -> DataFrame:
     Each round, a node takes the smallest root among its neighbours', and then that root's root; so a chain of n links takes
     about log n rounds. Every round is a table in the shared folder. Sums over small integers aren't collected, only whether a root changed.
     """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # First every node is linked to its smallest neighbour, and so are its other neighbours below it: the many links of a
+    # large group that share their ends become few.
+    smallest = down.groupBy("a").agg(F.min("b").alias("m"))
+    others = down.join(smallest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    few = written(smallest.select("a", F.col("m").alias("b")).union(others).distinct(), "stars")
+    both = few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both, "edges")
     roots = written(both.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), F.least("a", "root").alias("root")), "roots")
     while True:
