@@ -184,7 +184,8 @@ def _links(docs: DataFrame, wanted: DataFrame, n: int, threshold: float) -> Data
     """(k1, links, root) from every block or pair of blocks of the candidate groups; wanted names one document for each class."""
     rows = docs.withColumn("text_hash", F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_hash"] == wanted["text_hash"])
-    found = rows.join(wanted, same).select("k1", "n", "group", "blocks", "text")
+    # A shuffle at every size: the number of candidates grows with the documents, so a broadcast would only suit small inputs.
+    found = rows.join(wanted.hint("merge"), same).select("k1", "n", "group", "blocks", "text")
 
     def make():
         def apply(column):
