@@ -28,6 +28,7 @@ RECALL, MOST_HASHES = 0.9999, 96
 BLOCK_DOCS, BLOCK_GRAMS = 1024, 1_000_000
 #: N-grams that more documents of a block share are counted by a matrix product, the others pair by pair.
 OFTEN = 24
+PAIRS_AT_ONCE = 500_000
 
 
 def bands_and_rows(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -111,8 +112,9 @@ def _verified(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     often = np.diff(np.r_[begins, len(values)])
     for k in range(2, min(OFTEN, m) + 1):  # grams that k documents have: k documents in a row
         at = begins[often == k]
-        for lo in range(0, len(at), 1 << 16):
-            docs = owner[at[lo : lo + (1 << 16), None] + np.arange(k)]
+        some = max(1, PAIRS_AT_ONCE // (k * (k - 1) // 2))
+        for lo in range(0, len(at), some):
+            docs = owner[at[lo : lo + some, None] + np.arange(k)]
             x, y = np.triu_indices(k, 1)
             pairs = (docs[:, x].astype(np.int64) * m + docs[:, y]).ravel()
             if len(pairs) * 4 > m * m:
@@ -207,9 +209,9 @@ def _links(docs: DataFrame, wanted: DataFrame, n: int, threshold: float) -> Data
 
 
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those that are linked, over any number of links, to one with a smaller id. Rows that are repeated in full count once, rows with a null id stay."""
+    """The documents without those that are linked, over any number of links, to one with a smaller id. Rows that repeat an id and its text count once, rows with a null id stay."""
     found = written(jaccard_join(documents, id_col, text_col, n, threshold), "near")
     if not found.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).isEmpty():
-        documents = documents.dropDuplicates()
+        documents = documents.dropDuplicates([id_col, text_col])
     gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     return documents.join(gone, (F.col(f"`{id_col}`") == F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_hash")), "left_anti")
