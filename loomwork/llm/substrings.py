@@ -4,12 +4,15 @@ In the sketch a window stands for its anchor: the least of its grams of GRAM wor
 places, so an anchor's count is no less than its windows' counts, and the sketch only adds to that; yet there are eight times
 fewer anchors than windows. Each partition's sketch leaves its task as sorted cells, by range of cells; ranges are merged as
 they stream in; what remains is a bit for each cell that was counted twice or more, whose number is bounded.
+
+Equal texts are one document to the windows: a first sketch, of whole texts, picks those that may have copies, and one of each
+kind is kept. Its copies lose all their words, or none if they are shorter than a window.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.common import Words, byte_class, chunks, columns_added, mixed, utf8
+from loomwork.llm.common import Words, byte_class, chunks, columns_added, mixed, utf8, written
 from loomwork.llm.decontamination import least
 
 WINDOW, GRAM = 20, 5
 #: Rows of the sketch; cells of a row as a power of two, from the input's size, between these.
-ROWS, LEAST_BITS, MOST_BITS = 2, 20, 28
+ROWS, LEAST_BITS, MOST_BITS = 3, 20, 28
 #: Ranges of cells that a sketch is cut into.
 RANGES = 512
 _PLACE = np.uint64((1 << 28) - 1)
@@ -43,16 +46,12 @@ def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mixed(hashes + np.uint64(row + 1)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def partition_sketches(documents: DataFrame, bits: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(part, twice, once) rows of each task's sketch: a part is a range of a row; cells are sorted offsets, as differences."""
+def partition_sketches(rows: DataFrame, bits: int, make: Callable[[], Callable[[pa.RecordBatch], Iterator[np.ndarray]]]) -> DataFrame:
+    """(part, once, twice) rows of each task's sketch of the values that make's function finds in rows: a part is a range of a row; cells are sorted offsets, as differences."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for batch in batches:
-            for _, data, offsets in chunks(utf8(batch.column(0))):
-                w = Words(data, offsets, _SPACE)
-                _, at = anchors(w, window, gram)
-                found.append(w.grams(gram)[np.unique(at)])
+        values = make()
+        found = [x for batch in batches for x in values(batch)]
         hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
         size = max(1, (1 << bits) // RANGES)
         for row in range(ROWS):
@@ -69,7 +68,7 @@ def partition_sketches(documents: DataFrame, bits: int, window: int = WINDOW, gr
                         out.append((b"s" + steps.astype("<u2").tobytes()) if steps.max(initial=0) < 1 << 16 else (b"l" + steps.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(ones, pa.binary()), pa.array(twos, pa.binary())], names=["part", "once", "twice"])
 
-    return documents.select("text").mapInArrow(run, "part int, once binary, twice binary")
+    return rows.mapInArrow(run, "part int, once binary, twice binary")
 
 
 def _offsets(blob: bytes) -> np.ndarray:
@@ -142,10 +141,18 @@ def _first_here(w: Words, starts: np.ndarray, keys: tuple[np.ndarray, np.ndarray
     return out
 
 
-def sketch_bits(documents: DataFrame) -> int:
-    """Cells for the anchors of all texts: four for each, if about one byte in 45 begins one."""
-    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MOST_BITS, max(LEAST_BITS, int(4 * size / 45).bit_length()))
+def _bits(values: float) -> int:
+    """Four to eight cells for each value, within bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, int(4 * values).bit_length()))
+
+
+def _sketch(sketches: DataFrame, bits: int) -> Sketch:
+    """Merged, as ROWS * 2**MOST_BITS bits at most."""
+    return Sketch([(r.part, bytes(r.repeated)) for r in merged(sketches, bits).collect()], bits)
+
+
+def _hashes(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
 
 
 def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
@@ -157,80 +164,129 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
     rows repeated in full are one document too, and each is returned; ids must tell other texts apart. Beyond about
     2**MOST_BITS / 4 anchors (about 3 GB of text) the sketch lets more windows through, which the exact step then groups.
     """
-    docs = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    spark = docs.sparkSession
-    bits = sketch_bits(docs)
-    parts = merged(partition_sketches(docs, bits, window, gram), bits).collect()  # at most ROWS * 2**MOST_BITS bits
-    shared = spark.sparkContext.broadcast([(r.part, bytes(r.repeated)) for r in parts])
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    docs = documents.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+
+    bits = _bits(size.n)
+    texts = broadcast(_sketch(partition_sketches(docs.select("h1"), bits, lambda: lambda batch: iter([_hashes(batch.column(0))])), bits))
+    reps = written(_one_of_each_text(docs, texts), "texts")
+
+    def words_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Words]]:
+        """Rows, and the words of their texts: of rows that stand for themselves."""
+        rows = np.flatnonzero(~texts.value.may_repeat(_hashes(batch.column(2)))) if batch.num_columns > 2 else np.arange(batch.num_rows)
+        column = batch.column(1).take(pa.array(rows)) if len(rows) < batch.num_rows else batch.column(1)
+        for first, data, offsets in chunks(utf8(column)):
+            yield rows[first : first + len(offsets) - 1], Words(data, offsets, _SPACE)
+
+    def anchors_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, w in words_of(batch):
+            yield w.grams(gram)[np.unique(anchors(w, window, gram)[1])]
+
+    own, kinds = docs.select("doc_id", "text", "h1"), reps.select("doc_id", "text")
+    bits = _bits((size.bytes or 0) / 45)  # an anchor begins about every 45 bytes
+    sketches = [partition_sketches(df, bits, lambda: anchors_of) for df in (own, kinds)]
+    shared = broadcast(_sketch(sketches[0].unionByName(sketches[1]), bits))
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch(shared.value, bits)
         for batch in batches:
-            for first, data, offsets in chunks(utf8(batch.column(1))):
-                w = Words(data, offsets, _SPACE)
-                starts = _candidates(w, sketch, window, gram)
+            for rows, w in words_of(batch):
+                starts = _candidates(w, shared.value, window, gram)
                 if len(starts):
                     k1, k2 = _keys(w, window)
                     starts = starts[_first_here(w, starts, (k1, k2))]
-                    text = np.searchsorted(w.first, starts, "right") - 1
+                    at = np.searchsorted(w.first, starts, "right") - 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(k1[starts]), pa.array(k2[starts]), batch.column(0).take(pa.array(text + first)), pa.array((starts - w.first[text]).astype(np.int32))],
+                        [pa.array(k1[starts]), pa.array(k2[starts]), batch.column(0).take(pa.array(rows[at])), pa.array((starts - w.first[at]).astype(np.int32))],
                         names=["k1", "k2", "doc_id", "start"],
                     )
 
-    rows = docs.mapInArrow(windows, T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.IntegerType()), docs.schema["doc_id"], T.StructField("start", T.IntegerType())]))
-    earliest = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "first")
-    later = rows.join(earliest, ["k1", "k2"]).where("first is not null and (doc_id is null or doc_id <> first)")
+    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.IntegerType()), docs.schema["doc_id"], T.StructField("start", T.IntegerType())])
+    found = own.mapInArrow(windows, schema).unionByName(kinds.mapInArrow(windows, schema))
+    earliest = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
+    later = found.join(earliest, ["k1", "k2"]).where("first is not null and (doc_id is null or doc_id <> first)")
     removed = later.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).select(F.col("doc_id").alias("_id"), "starts")
 
-    facts = [T.StructField("n_words", T.LongType()), T.StructField("open_text", T.StringType()), T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.StringType())] * with_text]
+    kept_fields = [T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.StringType())] * with_text]
+    judged_schema = T.StructType([docs.schema["doc_id"], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("open_text", T.StringType()), *kept_fields])
 
-    def make_first():
-        sketch = Sketch(shared.value, bits)
-
-        def apply(column):
-            texts = utf8(column)
-            n, left, sha, kept = [0] * len(texts), [None] * len(texts), [None] * len(texts), [None] * len(texts)
-            for start, data, offsets in chunks(texts):
-                w = Words(data, offsets, _SPACE)
-                may = set((np.searchsorted(w.first, _candidates(w, sketch, window, gram), "right") - 1).tolist())
+    def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts without a window that may repeat keep all; the others' texts go on. Kinds of texts carry their hashes."""
+        for batch in batches:
+            is_kind = "h2" in batch.schema.names
+            out: list[tuple] = []
+            for rows, w in words_of(batch.select(["doc_id", "text"]) if is_kind else batch):
+                may = set((np.searchsorted(w.first, _candidates(w, shared.value, window, gram), "right") - 1).tolist())
                 for i, count in enumerate(np.diff(w.first).tolist()):
-                    n[start + i] = count
+                    row = int(rows[i])
                     if i in may:
-                        left[start + i] = texts[start + i].decode("utf-8", "surrogatepass")
+                        out.append((row, count, batch.column(1)[row].as_py(), None, None))
                     else:
                         words = w.text(int(w.first[i]), count)
-                        sha[start + i], kept[start + i] = hashlib.sha256(words).hexdigest(), words.decode("utf-8", "surrogatepass")
-            return {"n_words": n, "open_text": left, "kept_sha256": sha} | ({"kept": kept} if with_text else {})
+                        out.append((row, count, None, hashlib.sha256(words).hexdigest(), words.decode("utf-8", "surrogatepass") if with_text else None))
+            at = pa.array([r[0] for r in out], pa.int64())
+            hashes = [batch.column(k).take(at) if is_kind else pa.nulls(len(out), pa.int64()) for k in (2, 3)]
+            rest = [pa.array([r[k] for r in out], kind) for k, kind in ((1, pa.int64()), (2, pa.string()), (3, pa.string()), *[(4, pa.string())] * with_text)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *hashes, *rest], names=judged_schema.names)
 
-        return apply
+    both = own.mapInArrow(judged, judged_schema).unionByName(reps.select("doc_id", "text", "h1", "h2").mapInArrow(judged, judged_schema))
+    both = both.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    inputs = ["open_text", "starts", *[f.name for f in kept_fields]]
+    done = columns_added(both, inputs, [T.StructField("n_removed", T.LongType()), *kept_fields], lambda: lambda *c: _without(*c, window=window), keep=["doc_id", "h1", "h2", "n_words"])
+    return _with_copies(docs, texts, written(done, "kept"), window, with_text)
 
-    judged = columns_added(docs, ["text"], facts, make_first, keep=["doc_id"]).join(removed, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-
-    def make_last():
-        def apply(column, starts, sha_before, *kept_before):
-            texts, gone, sha, kept = column.to_pylist(), starts.to_pylist(), sha_before.to_pylist(), (kept_before[0].to_pylist() if kept_before else [None] * len(column))
-            removed_words = [0] * len(texts)
-            for i, text in enumerate(texts):
-                if text is None:
-                    continue
-                data = text.encode("utf-8", "surrogatepass")
-                w = Words(data + b" ", np.array([0, len(data) + 1]), _SPACE)
-                places = np.flatnonzero(w.within(window))
-                places = places[~_first_here(w, places, _keys(w, window))] if len(places) else places
-                places = np.concatenate([places, np.array(gone[i] or [], np.int64)])
-                edge = np.zeros(len(w.hashes) + 1, np.int64)
-                np.add.at(edge, places, 1)
-                np.add.at(edge, places + window, -1)
-                out = np.cumsum(edge[:-1]) > 0
-                words = b" ".join(data[a:b] for a, b, x in zip(w.starts.tolist(), w.ends.tolist(), out.tolist(), strict=True) if not x)
-                removed_words[i], sha[i], kept[i] = int(out.sum()), hashlib.sha256(words).hexdigest(), words.decode("utf-8", "surrogatepass")
-            return {"n_removed": removed_words, "kept_sha256": sha} | ({"kept": kept} if with_text else {})
-
-        return apply
-
-    last = [T.StructField("n_removed", T.LongType()), *facts[2:]]
-    return columns_added(judged, ["open_text", "starts", "kept_sha256", *["kept"] * with_text], last, make_last, keep=["doc_id", "n_words"])
 
+def _one_of_each_text(docs: DataFrame, texts) -> DataFrame:
+    """(h1, h2, doc_id, text): each text that may have copies once, with the smallest id. A task sends each text once for every batch, so copies meet as few rows."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, first = batch.column(0).to_pylist(), {}
+            for i in np.flatnonzero(texts.value.may_repeat(_hashes(batch.column(2)))).tolist():
+                key = (batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
+                if key not in first or ids[i] is not None and (ids[first[key]] is None or ids[i] < ids[first[key]]):
+                    first[key] = i
+            yield batch.take(pa.array(list(first.values()), pa.int64()))
+
+    some = docs.select("doc_id", "text", "h1", "h2")
+    return some.mapInArrow(run, some.schema).groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+
+
+def _without(column: pa.Array, starts: pa.Array, sha_before: pa.Array, *kept_before: pa.Array, window: int) -> dict:
+    """What stays of texts without the windows at starts, and without those that the text itself has before."""
+    texts, gone, sha = column.to_pylist(), starts.to_pylist(), sha_before.to_pylist()
+    kept = kept_before[0].to_pylist() if kept_before else [None] * len(texts)
+    removed = [0] * len(texts)
+    for i, text in enumerate(texts):
+        if text is None:
+            continue
+        data = text.encode("utf-8", "surrogatepass")
+        w = Words(data + b" ", np.array([0, len(data) + 1]), _SPACE)
+        places = np.flatnonzero(w.within(window))
+        places = places[~_first_here(w, places, _keys(w, window))] if len(places) else places
+        places = np.concatenate([places, np.array(gone[i] or [], np.int64)])
+        edge = np.zeros(len(w.hashes) + 1, np.int64)
+        np.add.at(edge, places, 1)
+        np.add.at(edge, places + window, -1)
+        out = np.cumsum(edge[:-1]) > 0
+        words = b" ".join(data[a:b] for a, b, x in zip(w.starts.tolist(), w.ends.tolist(), out.tolist(), strict=True) if not x)
+        removed[i], sha[i], kept[i] = int(out.sum()), hashlib.sha256(words).hexdigest(), words.decode("utf-8", "surrogatepass") if kept_before else None
+    return {"n_removed": removed, "kept_sha256": sha} | ({"kept": kept} if kept_before else {})
+
+
+def _with_copies(docs: DataFrame, texts, done: DataFrame, window: int, with_text: bool) -> DataFrame:
+    """done's rows that stand for themselves, and for every row of a kind of text its own: the first document's, or a copy's."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(texts.value.may_repeat(_hashes(batch.column(1)))))
+
+    slim = docs.select("doc_id", "h1", "h2")
+    columns = ["n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
+    kinds = done.where("h1 is not null").withColumnRenamed("doc_id", "first")
+    joined = slim.mapInArrow(run, slim.schema).join(kinds, ["h1", "h2"])
+    copy = F.expr(f"first is not null and (doc_id is null or doc_id <> first) and n_words >= {window}")
+    nothing = {"n_removed": F.col("n_words"), "kept_sha256": F.sha2(F.lit(""), 256), "kept": F.lit("")}
+    joined = joined.select("doc_id", *[F.when(copy, nothing[c]).otherwise(F.col(c)).alias(c) if c in nothing else F.col(c) for c in columns])
+    return done.where("h1 is null").select("doc_id", *columns).unionByName(joined)
