@@ -37,6 +37,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows at most, so that what Python makes of their texts stays small; at the end unused memory goes back, as workers live on."""
+    for batch in batches:
+        yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+        pa.default_memory_pool().release_unused()
+
+
 def columns_added(
     df: DataFrame,
     inputs: list[str],
@@ -61,7 +68,7 @@ def columns_added(
 
         target = to_arrow_schema(schema)
         apply = make()
-        for batch in batches:
+        for batch in sliced(batches):
             got = apply(*[batch.column(batch.schema.get_field_index(c)) for c in inputs])
             mask = got.pop("keep_rows", None)
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.common import texts_of, written
+from loomwork.llm.common import sliced, texts_of, written
 
 SEQUENCE_TOKENS = 4096
 #: Bins that may be open at once in a task.
@@ -21,7 +21,7 @@ OPEN_BINS = 1024
 TASK_TOKENS = SEQUENCE_TOKENS * 2048
 END_ID = 1
 #: Words, and pieces of words, whose ids a task remembers.
-CACHED_WORDS = 800_000
+CACHED_WORDS = 300_000
 #: Printable ASCII and the letters of Latin-1, for which normalizing is lower-casing, and the tokenizer's pattern for them (fixed values).
 _LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
 _LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
@@ -88,7 +88,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(tokenizer_path)
         end = END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in sliced(batches):
             rows, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(texts_of(batch.column(1))):
                 ids = token_bytes(words, text) + end

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.common import Words, byte_class, chunks, columns_added, mixed, utf8, written
+from loomwork.llm.common import Words, byte_class, chunks, columns_added, mixed, sliced, utf8, written
 from loomwork.llm.decontamination import least
 
 WINDOW, GRAM = 20, 5
@@ -51,7 +51,7 @@ def partition_sketches(rows: DataFrame, bits: int, make: Callable[[], Callable[[
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = make()
-        found = [x for batch in batches for x in values(batch)]
+        found = [x for batch in sliced(batches) for x in values(batch)]
         hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
         size = max(1, (1 << bits) // RANGES)
         for row in range(ROWS):
@@ -190,7 +190,7 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
     shared = broadcast(_sketch(sketches[0].unionByName(sketches[1]), bits))
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for rows, w in words_of(batch):
                 starts = _candidates(w, shared.value, window, gram)
                 if len(starts):
@@ -213,7 +213,7 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts without a window that may repeat keep all; the others' texts go on. Kinds of texts carry their hashes."""
-        for batch in batches:
+        for batch in sliced(batches):
             is_kind = "h2" in batch.schema.names
             out: list[tuple] = []
             for rows, w in words_of(batch.select(["doc_id", "text"]) if is_kind else batch):
