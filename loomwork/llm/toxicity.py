@@ -107,7 +107,7 @@ class Model:
 
 
 def _counted(sample: DataFrame) -> DataFrame:
-    """(term, label, seen): in how many different neighbourhoods of three tokens it stands, so that copies count little. Terms: tokens, and prefixes after a blank."""
+    """(term, label, seen): in how many different neighbourhoods of three tokens it stands, so that copies count little. Ends of a text have none."""
     schema = "term binary, label int, place long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def _counted(sample: DataFrame) -> DataFrame:
                 w = Words(data, offsets, byte_class("plain"))
                 around = np.zeros(len(w.hashes), np.int64)
                 if len(around) > 2:
-                    around[1:-1] = w.grams(3).view(np.int64)
+                    around[1:-1] = np.where(w.within(3), w.grams(3), np.uint64(0)).view(np.int64)
                 own = [data[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
                 label = np.repeat([labels[start + i] for i in range(len(offsets) - 1)], np.diff(w.first))
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(label.astype(np.int32)), pa.array(around)], names=["term", "label", "place"])
