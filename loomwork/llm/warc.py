@@ -144,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     ahead = written(later, "revisits").select("page_id", "sha", "first", empty("url"), empty("html"), F.lit(0).alias("own"), F.lit(0).cast("long").alias("bytes"))
     body = rows.select("page_id", F.sha1("html").alias("sha"), F.lit(None).cast(rows.schema["page_id"].dataType).alias("first"), "url", "html", F.lit(1).alias("own"), F.octet_length("html").cast("long").alias("bytes"))
     both, shards = _ranges(body.unionByName(ahead), range_bytes)
-    dealt = both.repartition(shards, "_shard").sortWithinPartitions("_shard", "page_id", "sha", "own", "url")
+    dealt = both.repartitionById(shards, F.col("_shard").cast("int")).sortWithinPartitions("_shard", "page_id", "sha", "own", "url")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, where = _filesystem(folder)
@@ -265,7 +265,7 @@ def read_archives(manifest: DataFrame, folder: str, id_type: T.DataType) -> Data
                 if rows:
                     yield pack(rows)
 
-    files = manifest.select("name").repartition(max(1, min(manifest.count(), 10_000)), "name")
+    files = manifest.select("name").repartition(max(1, min(manifest.count(), 10_000)))
     out = files.mapInArrow(run, schema)
     return out.select(F.col("page").cast(id_type).alias("page_id"), "url", "payload", "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(id_type).alias("refers_to"))
 
