@@ -1,7 +1,7 @@
 """Personal data: base patterns, and a semi-Markov conditional random field that adds what they miss.
 
 The field splits a zone of text around digits, at-signs and spelled-out addresses into segments: single tokens outside, or
-entities of up to MOST_TOKENS tokens. Features see a whole candidate span and what stands beside it. It learns from the base
+entities of up to MOST_TOKENS tokens, where a long run as secrets have counts as one. Features see a whole candidate span and what stands beside it. It learns from the base
 spans of a bounded sample, from variants of them that the patterns don't match, and from all else there as counterexamples.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -91,11 +92,12 @@ def listed(spans: Iterable[Span]) -> str:
 
 # ---- zones, tokens and features ------------------------------------------------------------------------------------
 
-_TRIGGER = re.compile(r"[0-9@]|(?i:[\[(](?:at|dot)[\])])|(?<= )dot(?= )")
+_TRIGGER = re.compile(r"[0-9@]|(?i:[\[(](?:at|dot)[\])]|(?<= )dot(?= )|(?<= )at(?= [a-z0-9-]+\.[a-z0-9-]))")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^\sA-Za-z0-9]")
-_AT = re.compile(r"@|(?i:\s?[\[(]at[\])]\s?)|\sat\s")
+_AT = re.compile(r"@|(?i:\s?[\[(]at[\])]\s?|\sat\s)")
 _MAIL_LIKE = re.compile(r"(?i)[a-z0-9._%+-]+(?:@|\s?[\[(]at[\])]\s?|\sat\s)[a-z0-9-]+(?:(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s)[a-z0-9-]+)+")
 _SECRET = re.compile(r"[A-Za-z0-9_/+=-]{16,}")
+_RUN, _RUN_MARKS = re.compile(r"[A-Za-z0-9_/+=-]*"), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_/+=-"
 _KEY_WORD = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|key|credential)s?[\"']?\s*[:=]\s*[\"']?$")
 _NUMBER = re.compile(r"[+(]?[0-9][0-9 ().\-/]*[0-9]")
 
@@ -111,16 +113,22 @@ class Zone:
 
 
 def zones(text: str, base: list[Span]) -> Iterator[tuple[int, str]]:
-    """(begin, text) of the stretches around triggers, joined if they meet."""
+    """(begin, text) of the stretches around triggers, joined if they meet. None begins or ends inside a run of letters, digits and marks that secrets have."""
     begin = end = -1
     for m in _TRIGGER.finditer(text):
-        if end < 0:
-            begin, end = max(0, m.start() - REACH), m.end() + REACH
-        elif m.start() - REACH <= end:
-            end = m.end() + REACH
-        else:
+        if m.end() + REACH <= end:
+            continue
+        low = max(0, m.start() - REACH)
+        if end < 0 or low > end:
+            floor = max(end, 0)
+            low = floor + len(text[floor:low].rstrip(_RUN_MARKS))
+        if end >= 0 and low > end:
             yield begin, text[begin:end]
-            begin, end = max(0, m.start() - REACH), m.end() + REACH
+            begin = low
+        elif end < 0:
+            begin = low
+        end = min(len(text), m.end() + REACH)
+        end = _RUN.match(text, end).end() if text[end - 1] in _RUN_MARKS else end
     if end >= 0:
         yield begin, text[begin:end]
 
@@ -138,18 +146,46 @@ def zone(text: str, fixed: list[Span]) -> Zone:
     return Zone(text, out, [bool(covered[a]) for a, _ in out])
 
 
+def _long_runs(z: Zone) -> tuple[dict[int, int], dict[int, int]]:
+    """For runs of more than MOST_TOKENS tokens: the token after the last by the first one, and the same by each token inside."""
+    at, inside = {}, {}
+    for m in _SECRET.finditer(z.text):
+        first = bisect_left(z.tokens, (m.start(),))
+        last = bisect_left(z.tokens, (m.end(),))
+        if last - first > MOST_TOKENS:
+            at[first] = last
+            inside |= dict.fromkeys(range(first + 1, last), last)
+    return at, inside
+
+
+def _ends(i: int, stop: int, run_at: dict[int, int], run_inside: dict[int, int]) -> Iterator[int]:
+    """Tokens after the last of candidates from token i: up to MOST_TOKENS on, then only those that cut no long run, each such run counting as one."""
+    near = min(stop, i + MOST_TOKENS)
+    yield from range(i + 1, near + 1)
+    if not run_at or i in run_inside:
+        return
+    j, units = i, 0
+    while j < stop and units < MOST_TOKENS:
+        j, units = run_at.get(j, j + 1), units + 1
+        if near < j <= stop:
+            yield j
+
+
 def candidates(z: Zone, use_blocked: bool = False) -> list[tuple[int, int, str, tuple[str, ...]]]:
-    """(first token, token after the last, kind, features) of every segment that could be an entity."""
+    """(first token, token after the last, kind, features) of every segment that could be an entity: MOST_TOKENS at most, or as many where a run counts as one and isn't cut."""
     out = []
+    run_at, run_inside = _long_runs(z)
+    free = [len(z.tokens)] * (len(z.tokens) + 1)  # where the next blocked token is
+    for i in range(len(z.tokens) - 1, -1, -1) if not use_blocked else ():
+        free[i] = i if z.blocked[i] else free[i + 1]
     for i, (a, _) in enumerate(z.tokens):
         if z.blocked[i] and not use_blocked or z.text[a].isspace():
             continue
         head = z.text[a]
         if not (head.isalnum() and head.isascii() or head in "+(_-%."):
             continue
-        for j in range(i + 1, min(len(z.tokens), i + MOST_TOKENS) + 1):
-            if z.blocked[j - 1] and not use_blocked:
-                break
+        stop = free[i]
+        for j in _ends(i, stop, run_at, run_inside):
             b = z.tokens[j - 1][1]
             tail = z.text[b - 1]
             if not (tail.isascii() and tail.isalnum() or tail in "=_-"):

@@ -58,3 +58,27 @@ def test_learned_spans_and_rows(spark):
 
 def test_masking():
     assert pii.masked("ab cd ef", [(0, 2, "email"), (1, 5, "ip"), (6, 8, "card")]) == "[EMAIL] [CARD]"
+
+
+def test_long_keys_and_spelled_out_addresses(spark):
+    rng = random.Random(5)
+    texts = []
+    for k in range(160):
+        found = rng.choice([f"jo.li{k}@mail{k % 7}.example.com", f"jo.li@mail{k % 7}.example.com", f'token = "{rng.randbytes(20).hex()}"', f"in {1900 + k} or {k * 37}", "12/03/2019"])
+        texts.append(f"some words here {found} and more words")
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for key in ("f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "1a2b3c4d5e" * 4, "f0e1d2c3" * 8, "a1" * 40):
+        text = f'see token = "{key}" end'
+        assert pii.all_spans(text, model)[1] == [(13, 13 + len(key), "secret")], key
+    for address in ("jane.roe at example.com", "jane.roe at example DOT com", "jane.roe AT example dot com"):
+        z = pii.zone(*[(t, []) for _, t in pii.zones(f"write to {address} today", [])][0])
+        assert address in {z.text[z.tokens[i][0] : z.tokens[j - 1][1]] for i, j, kind, _ in pii.candidates(z) if kind == "email"}, address
+    assert not list(pii.zones("we met at home. Then", []))
+
+
+def test_zones_do_not_cut_runs():
+    key = "abcDEF" * 20 + "7" + "ghiJKL" * 20
+    assert [text[begin : begin + len(part)] == part and key in part for text in (f"a key {key} and words " * 2,) for begin, part in pii.zones(text, [])] == [True, True]
+    text = "1a" * 50_000 + "." + "b" * 50_000 + "2"
+    assert sum(len(part) for _, part in pii.zones(text, [])) == len(text)
+    assert len(pii.candidates(pii.zone("1a" * 4000, []), True)) < 8000 * 25
