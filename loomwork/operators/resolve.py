@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.functions.text import grounded_in, tokens
 
 LEAST_OVERLAP, LEAST_COSINE = 0.5, 0.90
+#: Rows that are settled at once, on the driver.
+BLOCK = 8192
 
 
 def by_name(mentions: DataFrame) -> DataFrame:
@@ -32,60 +40,103 @@ def attributes_folded(values: DataFrame) -> DataFrame:
 def aliases_merged(entities: DataFrame) -> DataFrame:
     """(type, normalised, keeper): greedily, names of more tokens first, then by first mention; a name goes to the first survivor of which it is the end, with two tokens or more.
 
-    An alias shares its last two tokens with its keeper, so names are compared in groups of these, not in whole types. In
-    a group all depends on the order, so one task takes it; its rows are names alone.
+    The first name with a given end survives: whatever it went to would come before it and have that end too. So each
+    name's keeper is the first of all names that end with it, which an aggregation finds, however many share an end.
     """
     parts = tokens(F.col("normalised"))
     keyed = entities.select("type", "normalised", "first", parts.alias("parts")).where(F.size("parts") > 0)
-    tail = F.when(F.size("parts") >= 2, F.concat_ws(" ", F.slice("parts", F.size("parts") - 1, F.lit(2)))).otherwise(F.concat(F.lit("\0"), F.col("normalised")))
-    keyed = keyed.select("type", tail.alias("tail"), "normalised", F.size("parts").alias("n"), F.col("first.chunk").alias("chunk"), F.col("first.start").alias("start"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n", "chunk", "start", "normalised"], ascending=[False, True, True, True])
-        survivors: set[str] = set()
-        by_end: dict[str, str] = {}
-        keeper = []
-        for name, n in zip(group["normalised"], group["n"], strict=True):
-            found = by_end.get(name) if n >= 2 else None
-            if found is None:
-                survivors.add(name)
-                words = name.split()
-                for k in range(len(words) - 1):  # the ends that may come as an alias; the first survivor holds them
-                    by_end.setdefault(" ".join(words[k:]), name)
-            keeper.append(found or name)
-        return pd.DataFrame({"type": group["type"], "normalised": group["normalised"], "keeper": keeper})
-
-    return keyed.groupBy("type", "tail").applyInPandas(fold, "type string, normalised string, keeper string")
-
-
-def similar_merged(entities: DataFrame, least_overlap: float = LEAST_OVERLAP, least_cosine: float = LEAST_COSINE) -> DataFrame:
-    """(type, normalised, keeper) of entities (type, normalised, position, embedding): in order of position, each goes to the first survivor of its type that shares enough tokens and points the same way."""
-    import numpy as np
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("position")
-        x = np.array(group["embedding"].tolist(), float)
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-        names = group["normalised"].tolist()
-        sets = [set(n.split()) for n in names]
-        by_token: dict[str, list[int]] = {}
-        keeper = []
-        for i, own in enumerate(sets):
-            found = None
-            for j in sorted({j for t in own for j in by_token.get(t, ())}):
-                other = sets[j]
-                overlap = 1.0 if own <= other or other <= own else len(own & other) / len(own | other)
-                if overlap >= least_overlap and float(x[i] @ x[j]) >= least_cosine:
-                    found = j
-                    break
-            if found is None:
-                for t in own:
-                    by_token.setdefault(t, []).append(i)
-            keeper.append(names[i if found is None else found])
-        return pd.DataFrame({"type": group["type"], "normalised": names, "keeper": keeper})
-
-    return entities.select("type", "normalised", "position", "embedding").groupBy("type").applyInPandas(fold, "type string, normalised string, keeper string")
+    chunk, start = F.col("first.chunk"), F.col("first.start")
+    order = F.struct((-F.size("parts")).alias("n"), chunk.isNull().alias("c"), chunk.alias("chunk"), start.isNull().alias("s"), start.alias("start"), F.col("normalised").alias("name"))
+    ends = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: F.concat_ws(" ", F.slice("parts", k, F.size("parts"))))
+    firsts = keyed.where(F.size("parts") >= 2).select(F.col("type").alias("_type"), F.explode(ends).alias("_end"), order.alias("order"))
+    firsts = firsts.groupBy("_type", "_end").agg(F.min("order").alias("order"))
+    found = keyed.select("type", "normalised").join(firsts, F.col("type").eqNullSafe(F.col("_type")) & (F.col("normalised") == F.col("_end")), "left")
+    return found.select("type", "normalised", F.coalesce("order.name", "normalised").alias("keeper"))
+
+
+def _first_alike(x: np.ndarray, similar: np.ndarray, own: set[str], survivors: list[tuple[str, set[str], np.ndarray]], least_overlap: float, least_cosine: float) -> str | None:
+    """The first survivor (name, tokens, unit vector) with a shared token and both likenesses; similar: the cosines, but for rounding."""
+    for j in np.flatnonzero(similar >= least_cosine - 1e-9) if own else ():
+        name, other, y = survivors[j]
+        if own & other and (own <= other or other <= own or len(own & other) / len(own | other) >= least_overlap) and float(x @ y) >= least_cosine:
+            return name
+    return None
+
+
+def _units(vectors: list) -> np.ndarray:
+    width = max((len(v) for v in vectors if v is not None), default=0)
+    x = np.array([v if v is not None else [0.0] * width for v in vectors], float).reshape(len(vectors), width)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+
+def similar_merged(entities: DataFrame, least_overlap: float = LEAST_OVERLAP, least_cosine: float = LEAST_COSINE, block: int = BLOCK) -> DataFrame:
+    """(type, normalised, keeper) of entities (type, normalised, position, embedding): in order of position, then name, each goes to the first survivor of its type that shares enough tokens and points the same way.
+
+    In rounds: of the first block undecided rows, whatever their types, the driver finds the survivors, as no undecided
+    row comes before these. All tasks compare their undecided rows with the new survivors. No pair is a row, and rows
+    alike are decided in the round in which their keeper is found. Rounds are at most rows / block.
+    """
+    spark = entities.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-resolve-")
+    folder = f"{base.rstrip('/')}/similar-{uuid.uuid4().hex}"
+    schema = T.StructType([*entities.select("type", "normalised", "position", "embedding").schema.fields, T.StructField("row", T.LongType()), T.StructField("keeper", T.StringType())])
+    names = [f.name for f in schema]
+    first = entities.select("type", "normalised", "position", "embedding", F.monotonically_increasing_id().alias("row"), F.lit(None).cast("string").alias("keeper"))
+    first.write.parquet(f"{folder}/round=0")
+    k = 0
+    while True:
+        rest = spark.read.schema(schema).parquet(f"{folder}/round={k}").where("keeper is null")
+        head = rest.orderBy(F.asc_nulls_last("position"), "normalised", "row").limit(block).select("row", "type", "normalised", "embedding").toArrow().to_pydict()
+        if not head["row"]:
+            break
+        shared = spark.sparkContext.broadcast(_settled(head, least_overlap, least_cosine))
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            settled, survivors = shared.value
+            matrices = {kind: np.array([y for *_, y in found]) for kind, found in survivors.items()}
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    kinds, own, vectors, rows = (batch.column(c).to_pylist() for c in (0, 1, 3, 4))
+                    keepers = [settled.get(r) for r in rows]
+                    by_kind: dict[object, list[int]] = {}
+                    for i, kind in enumerate(kinds):
+                        if keepers[i] is None and kind in survivors:
+                            by_kind.setdefault(kind, []).append(i)
+                    for kind, members in by_kind.items():
+                        x = _units([vectors[i] for i in members])
+                        similar = x @ matrices[kind].T if x.shape[1] else np.zeros((len(members), len(matrices[kind])))
+                        for n, i in enumerate(members):
+                            keepers[i] = _first_alike(x[n], similar[n], set((own[i] or "").split()), survivors[kind], least_overlap, least_cosine)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(keepers, pa.string())], names=names)
+
+        k += 1
+        rest.mapInArrow(run, schema).write.parquet(f"{folder}/round={k}")
+        shared.unpersist()
+    done = spark.read.schema(schema).parquet(*[f"{folder}/round={j}" for j in range(k + 1)])
+    return done.where("keeper is not null").select("type", "normalised", "keeper")
+
+
+def _settled(head: dict[str, list], least_overlap: float, least_cosine: float) -> tuple[dict[int, str], dict[object, list]]:
+    """({row: keeper}, {type: survivors}) of rows in their order, one by one."""
+    settled: dict[int, str] = {}
+    survivors: dict[object, list] = {}
+    by_kind: dict[object, list[int]] = {}
+    for i, kind in enumerate(head["type"]):
+        by_kind.setdefault(kind, []).append(i)
+    for kind, members in by_kind.items():
+        x = _units([head["embedding"][i] for i in members])
+        alive, found = np.empty_like(x), survivors.setdefault(kind, [])
+        for n, i in enumerate(members):
+            name = head["normalised"][i]
+            own = set((name or "").split())
+            keeper = _first_alike(x[n], alive[: len(found)] @ x[n], own, found, least_overlap, least_cosine)
+            if keeper is None:
+                alive[len(found)] = x[n]
+                found.append((name, own, x[n]))
+            settled[head["row"][i]] = (name or "") if keeper is None else keeper
+    return settled, survivors
 
 
 def folded(entities: DataFrame, keepers: DataFrame) -> DataFrame:

@@ -125,3 +125,51 @@ def test_stream_scores_once(spark, tmp_path):
     scorer = lambda df: df.select("post_id", F.lit(0.5).alias("score")).union(df.select(F.lit(99).cast("long"), F.lit(1.0)))
     rounds.scored_once(stream, scorer, str(tmp_path / "scores"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.post_id for r in spark.read.parquet(str(tmp_path / "scores")).collect()) == [1, 3]
+
+
+def _greedy(rows, least_overlap, least_cosine):
+    """As defined, one row after the other."""
+    import numpy as np
+
+    out, alive = {}, []
+    for kind, name, _, v in sorted(rows, key=lambda r: (r[2], r[1])):
+        own, x = set(name.split()), np.array(v) / np.linalg.norm(v)
+        for other_kind, other, words, y in alive:
+            overlap = 1.0 if own <= words or words <= own else len(own & words) / len(own | words)
+            if kind == other_kind and own & words and overlap >= least_overlap and float(x @ y) >= least_cosine:
+                out[kind, name] = other
+                break
+        else:
+            alive.append((kind, name, own, x))
+            out[kind, name] = name
+    return out
+
+
+def test_similar_merge_in_rounds(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), f"{rng.choice(['x', 'y', 'x y'])} n{k}", k, [rng.gauss(0, 1) for _ in range(3)] if k % 3 else [1.0, 1.0, 1.0]) for k in range(240)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "type string, normalised string, position long, embedding array<double>").repartition(5)
+    monkeypatch.setattr(type(df.groupBy("type")), "applyInPandas", None)  # no type goes to one task
+    for block in (7, 10_000):
+        got = {(r.type, r.normalised): r.keeper for r in resolve.similar_merged(df, 0.3, 0.8, block).collect()}
+        assert got == _greedy(rows, 0.3, 0.8)
+
+
+def test_alias_merge_without_groups(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    names = sorted({" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(300)})
+    rng.shuffle(names)
+    rows = spark.createDataFrame([("P", n, n, k, 0) for k, n in enumerate(names)], "type string, normalised string, surface string, chunk int, start int")
+    entities = resolve.by_name(rows)
+    monkeypatch.setattr(type(entities.groupBy("type")), "applyInPandas", None)
+    alive, want = [], {}
+    for n in sorted(names, key=lambda n: (-len(n.split()), names.index(n))):
+        want[n] = next((s for s in alive if s.endswith(" " + n)), n) if " " in n else n
+        if want[n] == n:
+            alive.append(n)
+    assert {r.normalised: r.keeper for r in resolve.aliases_merged(entities).collect()} == want
