@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
 #: Documents, zones of each, and zones in all that the field learns from, at most.
 TRAIN_DOCS, ZONES_EACH, TRAIN_ZONES = 3_000, 8, 600
+#: Longer zones are not learned from.
+LONGEST = 600
 MOST_TOKENS = 24
 #: Characters that a zone reaches beyond a trigger.
 REACH = 40
@@ -308,9 +311,7 @@ def _variants(span: str, kind: str) -> list[str]:
 def examples(texts: Iterable[tuple[int, str]], most: int = TRAIN_ZONES) -> list[Zone]:
     """Zones with their base spans and secrets that are named as such as gold, and once more with a variant in a span's place."""
     out: list[Zone] = []
-    for n, text in texts:
-        if len(out) >= most:
-            break
+    for n, text in islice(texts, most):
         gold: list[Span] = []
         for s in [*base_spans(text), *[(*m.span(), "secret") for m in _SECRET.finditer(text) if _KEY_WORD.search(text[max(0, m.start() - 16) : m.start()])]]:
             if all(s[1] <= a or b <= s[0] for a, b, _ in gold):
@@ -333,12 +334,17 @@ def fit(documents: DataFrame, docs: int = TRAIN_DOCS, most: int = TRAIN_ZONES) -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [t for text in texts_of(batch.column(0)) for t in [x for _, x in zones(text, [])][:ZONES_EACH] if len(t) <= 600]
+            found = [t for text in texts_of(batch.column(0)) for t in _some({x for _, x in zones(text, []) if len(x) <= LONGEST})]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["zone"])
 
     sample = sampled(documents.select("doc_id", "text").where("text rlike '[0-9@]'"), docs, "doc_id", "text").select("text")
-    texts = sorted({r.zone for r in sample.mapInArrow(run, "zone string").orderBy(F.xxhash64("zone")).limit(most).collect()})
-    return trained(examples(enumerate(texts), most))
+    chosen = sample.mapInArrow(run, "zone string").distinct().orderBy(F.xxhash64("zone"), "zone").limit(most).collect()
+    return trained(examples(enumerate(r.zone for r in chosen), most))
+
+
+def _some(found: set[str]) -> list[str]:
+    """ZONES_EACH of a document's zones at most, by hash, wherever they stand."""
+    return sorted(found, key=lambda t: hashlib.sha256(t.encode("utf-8", "replace")).digest())[:ZONES_EACH]
 
 
 def all_spans(text: str, model: Field) -> tuple[list[Span], list[Span]]:

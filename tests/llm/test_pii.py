@@ -82,3 +82,13 @@ def test_zones_do_not_cut_runs():
     text = "1a" * 50_000 + "." + "b" * 50_000 + "2"
     assert sum(len(part) for _, part in pii.zones(text, [])) == len(text)
     assert len(pii.candidates(pii.zone("1a" * 4000, []), True)) < 8000 * 25
+
+
+def test_different_zones_are_learned_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "trained", lambda examples: seen.append([z.text for z in examples]) or pii.Field())
+    texts = [f"alone in {1000 + k} here" for k in range(40)] + ["one copied text of 1999"] * 60 + [(" " * 100).join(f"place {k}" for k in range(10, 40))]
+    pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most=49)
+    assert len(seen[0]) == len(set(seen[0])) == 49 and sum("copied" in t for t in seen[0]) == 1
+    assert sum("place" in t for t in seen[0]) == 8 and any(int(re.search("[0-9]+", t)[0]) >= 18 for t in seen[0] if "place" in t)
+    assert len(pii.examples(((k, f"a{k}@b.com") for k in range(9)), 9)) == 18  # variants take no zone's place
