@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.common import LOWER, Words, byte_class, chunks, columns_added, mixed, utf8, written
+from loomwork.llm.common import LOWER, Words, byte_class, chunks, columns_added, discarded, mixed, utf8, written
 from loomwork.llm.graph import components
 
 NGRAM, THRESHOLD = 5, 0.8
@@ -176,6 +176,7 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     joined = classes.join(roots.withColumnRenamed("node", "k1"), "k1", "left").join(counted, "k1", "left").select("k1", "k2", "n", F.col("rep.doc_id").alias("copy_id"), F.coalesce("root", "k1").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     # Only classes with more than one document or with links need to be looked up.
     joined = written(joined.where("n > 1 or links > 0"), "joined")
+    discarded(classes, chosen, links, groups, roots)
     ids = joined.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     final = joined.join(ids, "root").select("k1", "k2", "copy_id", "class_id", (F.col("n") - 1 + F.col("links")).alias("n_links"))
     out = rows.select("doc_id", "text_hash", "k1", "k2").join(final, ["k1", "k2"], "left")
@@ -209,9 +210,10 @@ def _links(docs: DataFrame, wanted: DataFrame, n: int, threshold: float) -> Data
 
 
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those that are linked, over any number of links, to one with a smaller id. Rows that repeat an id and its text count once, rows with a null id stay."""
+    """The documents, with the columns they had, without those that are linked, over any number of links, to one with a smaller id. Rows that repeat an id and its text count once, rows with a null id stay, as do null and empty texts."""
     found = written(jaccard_join(documents, id_col, text_col, n, threshold), "near")
     if not found.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).isEmpty():
         documents = documents.dropDuplicates([id_col, text_col])
-    gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return documents.join(gone, (F.col(f"`{id_col}`") == F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_hash")), "left_anti")
+    gone = found.where("class_id <> doc_id").select("doc_id", "text_hash").distinct()
+    rows = documents.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
+    return rows.join(gone, ["doc_id", "text_hash"], "left_anti").select("row.*")

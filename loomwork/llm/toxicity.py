@@ -17,7 +17,7 @@ from loomwork.llm.training import held_out, labelled_sample, logistic, logistic_
 
 #: Labelled documents to learn from, at most.
 TRAIN_ROWS = 12_000
-#: Token scores kept, those of the largest z: bounds the model's size.
+#: Token scores kept, those of the largest z, and as many of beginnings of tokens: bounds the model's size. TRAIN_ROWS documents have fewer with LEAST_Z.
 MODEL_TERMS = 100_000
 FOLDS, HELD_FOLD = 4, 2
 THRESHOLD = 0.3
@@ -226,6 +226,6 @@ def toxicity(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pa
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents that aren't predicted toxic, with the columns they had."""
+    """The documents that aren't predicted toxic, with the columns they had. Null and empty texts have no passages, so they stay; repeated rows are treated one by one; an empty table gives no rows."""
     model = fit(documents, labels, rows)
-    return with_scores(documents.select(F.struct("*").alias("_row"), "text"), model).where("predicted = 0").select("_row.*")
+    return with_scores(documents.select(F.struct("*").alias("row"), "text"), model).where("predicted = 0").select("row.*")

@@ -27,7 +27,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     ids = sampled(ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")), limit, "doc_id")
-    found = documents.join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("_label").alias("label"))
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(ids), "doc_id").select("text", F.col("_label").alias("label"))
     return found.groupBy("text").agg(F.max("label").alias("label"))
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -71,3 +72,27 @@ def test_sample_is_bounded(spark):
     rows = spark.range(10_000).withColumnRenamed("id", "doc_id")
     got = [r.doc_id for r in sampled(rows, 50, "doc_id").collect()]
     assert len(set(got)) == 50 == len(got) and got == [r.doc_id for r in sampled(rows.repartition(7), 50, "doc_id").collect()]
+
+
+def test_odds_and_decay_against_plain_versions(spark):
+    docs, labels, truth = labelled(spark, 400)
+    model = toxicity.fit(docs, labels)
+    seen = {}
+    for r in docs.collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 4 == 2:
+            continue
+        words = toxicity.tokens(r.text.encode())
+        for k, w in enumerate(words):
+            around = tuple(words[k - 1 : k + 2]) if 0 < k < len(words) - 1 else None
+            seen.setdefault((w, truth[r.doc_id]), set()).add(around)
+    t, c = ({w: len(x) for (w, y), x in seen.items() if y == label} for label in (1, 0))
+    total_t, total_c, prior = sum(t.values()), sum(c.values()), toxicity.PRIOR
+    odds = lambda k, a, total: math.log((k + a) / (total + prior * (total_t + total_c) + 1 - k - a))
+    assert len(model.terms) >= 8
+    for w, s in model.terms.items():
+        a = prior * (t.get(w, 0) + c.get(w, 0))
+        assert abs(s - odds(t.get(w, 0), a, total_t) + odds(c.get(w, 0), a, total_c)) < 1e-9
+    weights = {w: c.get(w, 0) + prior * (t.get(w, 0) + c.get(w, 0)) for w in model.terms}
+    rest = max(total_c - sum(c.get(w, 0) for w in model.terms), 1.0)
+    expected = sum(p * math.exp(model.decay * model.terms[w]) for w, p in weights.items()) + rest * math.exp(model.decay * model.other)
+    assert abs(expected / (sum(weights.values()) + rest) - 1) < 1e-3
