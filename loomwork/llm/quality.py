@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -11,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.common import Words, byte_class, chunks, columns_added, utf8, written
+from loomwork.llm.common import Words, byte_class, chunks, columns_added, sliced, utf8, written
 from loomwork.llm.training import held_out, labelled_sample, logistic, logistic_fit
 
-#: Labelled documents to learn from, and lines of each, at most.
+#: Labelled documents to learn from, at most. The field learns from a stretch of so many lines of each, at a place given by the text's hash; how marginals make a document's score is learned from whole texts.
 TRAIN_ROWS, TRAIN_LINES = 6_000, 150
 FOLDS, HELD_FOLD = 5, 0
 THRESHOLD = 0.3
@@ -162,29 +163,40 @@ def trained(x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 1
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES) -> Model:
-    """Learns from at most rows labelled documents outside the held-out fold, and from at most lines lines of each."""
+    """Learns from at most rows labelled documents outside the held-out fold: the field from a stretch of lines of each, wherever it stands, the documents' weights from whole texts."""
     sample = written(labelled_sample(documents, labels, "quality", FOLDS, HELD_FOLD, rows), "quality-sample")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, found, length = batch.column(1).to_pylist(), [], []
-            for _, data, offsets in chunks(utf8(batch.column(0))):
+            label, texts, found = batch.column(1).to_pylist(), utf8(batch.column(0)), []
+            for start, data, offsets in chunks(texts):
                 parsed = Lines(data, offsets)
-                for a, b in zip(parsed.first[:-1].tolist(), parsed.first[1:].tolist(), strict=True):
+                for i, (a, b) in enumerate(zip(parsed.first[:-1].tolist(), parsed.first[1:].tolist(), strict=True)):
+                    if b - a > lines:
+                        a += zlib.crc32(texts[start + i]) % (b - a - lines + 1)
                     found.append(parsed.features[a : min(b, a + lines)].tobytes())
-                    length.append(parsed.length[a : min(b, a + lines)].astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(found, pa.binary()), pa.array(length, pa.binary())], names=["label", "x", "length"])
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(found, pa.binary())], names=["label", "x"])
 
-    got = sorted((bytes(r.x), bytes(r.length), r.label) for r in sample.mapInArrow(run, "label int, x binary, length binary").collect())
+    got = sorted((bytes(r.x), r.label) for r in sample.mapInArrow(run, "label int, x binary").collect())
     if not got:
         width = Lines(b" ", np.array([0, 1])).features.shape[1]
         return Model(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), logistic_fit(np.zeros((0, 3)), np.zeros(0)))
-    length = [np.frombuffer(b, np.int64) for _, b, _ in got]
-    first = np.cumsum([0, *map(len, length)])
-    x = np.frombuffer(b"".join(a for a, _, _ in got), np.float32).reshape(first[-1], -1).astype(float)
-    label = np.array([c for _, _, c in got], float)
-    model = trained(x, first, label)
-    model.final = logistic_fit(model.documents(x, np.concatenate(length), first), label, ridge=0.1)
+    width = 4 * Lines(b" ", np.array([0, 1])).features.shape[1]
+    first = np.cumsum([0, *[len(a) // width for a, _ in got]])
+    x = np.frombuffer(b"".join(a for a, _ in got), np.float32).reshape(first[-1], -1).astype(float)
+    model = trained(x, first, np.array([c for _, c in got], float))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = [np.zeros((0, 3))]
+            for _, data, offsets in chunks(utf8(batch.column(0))):
+                parsed = Lines(data, offsets)
+                found.append(shared.value.documents(parsed.features, parsed.length, parsed.first))
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), *[pa.array(c) for c in np.concatenate(found).T]], names=["label", "a", "b", "c"])
+
+    figures = np.array(sorted(tuple(r) for r in sample.mapInArrow(whole, "label int, a double, b double, c double").collect()), float)
+    model.final = logistic_fit(figures[:, 1:], figures[:, 0], ridge=0.1)
     return model
 
 
