@@ -100,7 +100,8 @@ _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^\sA-Za-z0-9]")
 _AT = re.compile(r"@|(?i:\s?[\[(]at[\])]\s?|\sat\s)")
 _MAIL_LIKE = re.compile(r"(?i)[a-z0-9._%+-]+(?:@|\s?[\[(]at[\])]\s?|\sat\s)[a-z0-9-]+(?:(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s)[a-z0-9-]+)+")
 _SECRET = re.compile(r"[A-Za-z0-9_/+=-]{16,}")
-_RUN, _RUN_MARKS = re.compile(r"[A-Za-z0-9_/+=-]*"), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_/+=-"
+#: What an address, a number or a secret may hold without a blank: no zone begins or ends inside such a run.
+_RUN, _RUN_MARKS = re.compile(r"[A-Za-z0-9_/+=.%@-]*"), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_/+=.%@-"
 _KEY_WORD = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|key|credential)s?[\"']?\s*[:=]\s*[\"']?$")
 _NUMBER = re.compile(r"[+(]?[0-9][0-9 ().\-/]*[0-9]")
 
@@ -116,7 +117,7 @@ class Zone:
 
 
 def zones(text: str, base: list[Span]) -> Iterator[tuple[int, str]]:
-    """(begin, text) of the stretches around triggers, joined if they meet. None begins or ends inside a run of letters, digits and marks that secrets have."""
+    """(begin, text) of the stretches around triggers, joined if they meet. None begins or ends inside a run of letters, digits and marks that addresses and secrets have."""
     begin = end = -1
     for m in _TRIGGER.finditer(text):
         if m.end() + REACH <= end:
@@ -297,14 +298,21 @@ def trained(examples: list[Zone], rounds: int = 40, rate: float = 0.5, ridge: fl
     return Field({name: float(w[k]) for name, k in names.items()})
 
 
+#: Letters of hexadecimal digits as others, of both cases: keys of another alphabet.
+_BEYOND_HEX = str.maketrans("abcdefABCDEF", "gKpXtMHrWnQz")
+
+
 def _variants(span: str, kind: str) -> list[str]:
-    """Other ways to write a base span, which the patterns miss."""
+    """Other ways to write a span, which the patterns miss, or other kinds of keys."""
     if kind == "email":
         name, _, domain = span.partition("@")
         return [f"{name} at {domain.replace('.', ' dot ')}", f"{name}[at]{domain.replace('.', '[dot]')}", f"{name} (at) {domain.replace('.', ' (dot) ')}", f"{name} [at] {domain}"]
     if kind == "phone":
         digits = _digits(span)[-10:]
         return [f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"{digits[:3]}-{digits[3:6]}-{digits[6:]}"]
+    if kind == "secret" and len(span) > 22 and not span.isalpha():
+        other = span.translate(_BEYOND_HEX)
+        return [other[:22], other] if _digits(other[:22]) else []
     return []
 
 
@@ -329,7 +337,7 @@ def examples(texts: Iterable[tuple[int, str]], most: int = TRAIN_ZONES) -> list[
     return out
 
 
-def fit(documents: DataFrame, docs: int = TRAIN_DOCS, most: int = TRAIN_ZONES) -> Field:
+def fit(documents: DataFrame, docs: int = TRAIN_DOCS, most: int = TRAIN_ZONES, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Learns from the zones of at most docs documents, chosen by their texts' hashes; without any, the field adds nothing."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +345,8 @@ def fit(documents: DataFrame, docs: int = TRAIN_DOCS, most: int = TRAIN_ZONES) -
             found = [t for text in texts_of(batch.column(0)) for t in _some({x for _, x in zones(text, []) if len(x) <= LONGEST})]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["zone"])
 
-    sample = sampled(documents.select("doc_id", "text").where("text rlike '[0-9@]'"), docs, "doc_id", "text").select("text")
+    rows = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    sample = sampled(rows.where("text rlike '[0-9@]'"), docs, "doc_id", "text").select("text")
     chosen = sample.mapInArrow(run, "zone string").distinct().orderBy(F.xxhash64("zone"), "zone").limit(most).collect()
     return trained(examples(enumerate(r.zone for r in chosen), most))
 
@@ -405,8 +414,14 @@ def personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return with_spans(docs, fit(docs)).select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans")
 
 
-def without_personal_data(documents: DataFrame) -> DataFrame:
-    """The documents with what spans cover replaced in text, and n_chars counted anew."""
-    model = fit(documents)
-    out = with_spans(documents.select(F.struct("*").alias("_row"), "text"), model)
-    return out.select(F.col("_row").withField("text", F.col("masked")).withField("n_chars", F.length("masked").cast(documents.schema["n_chars"].dataType)).alias("_row")).select("_row.*")
+def without_personal_data(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The documents, with the columns they had, with what spans cover replaced in text, and n_chars, where there is such a column, counted anew.
+
+    Null texts stay null, and so does their length; empty texts stay empty. Repeated rows stay, each masked alike. An empty table gives no rows.
+    """
+    model = fit(documents, id_col=id_col, text_col=text_col)
+    out = with_spans(documents.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text")), model)
+    row = F.col("row").withField(f"`{text_col}`", F.col("masked"))
+    if length_col in documents.columns:
+        row = row.withField(f"`{length_col}`", F.length("masked").cast(documents.schema[length_col].dataType))
+    return out.select(row.alias("row")).select("row.*")

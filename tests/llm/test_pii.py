@@ -70,6 +70,8 @@ def test_long_keys_and_spelled_out_addresses(spark):
     for key in ("f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "1a2b3c4d5e" * 4, "f0e1d2c3" * 8, "a1" * 40):
         text = f'see token = "{key}" end'
         assert pii.all_spans(text, model)[1] == [(13, 13 + len(key), "secret")], key
+    key = "abcDEF1234567890ghijkl"
+    assert pii.all_spans(f'api_key = "{key}" end', model)[1] == [(11, 11 + len(key), "secret")]
     for address in ("jane.roe at example.com", "jane.roe at example DOT com", "jane.roe AT example dot com"):
         z = pii.zone(*[(t, []) for _, t in pii.zones(f"write to {address} today", [])][0])
         assert address in {z.text[z.tokens[i][0] : z.tokens[j - 1][1]] for i, j, kind, _ in pii.candidates(z) if kind == "email"}, address
@@ -92,3 +94,31 @@ def test_different_zones_are_learned_from(spark, monkeypatch):
     assert len(seen[0]) == len(set(seen[0])) == 49 and sum("copied" in t for t in seen[0]) == 1
     assert sum("place" in t for t in seen[0]) == 8 and any(int(re.search("[0-9]+", t)[0]) >= 18 for t in seen[0] if "place" in t)
     assert len(pii.examples(((k, f"a{k}@b.com") for k in range(9)), 9)) == 18  # variants take no zone's place
+
+
+def test_zones_hold_whole_addresses():
+    text = "x" * 60 + ".smith at example dot com"
+    assert [begin for begin, _ in pii.zones(text, [])] == [0]
+    text = "call " + ".".join(["part"] * 30) + "@mail.example.com now"
+    assert any(text[5:-4] in part for _, part in pii.zones(text, []))
+
+
+def test_best_split_against_all_splits():
+    rng = random.Random(9)
+    words = ["a1b2", "7", "at", "jo", "@", "x.com", "555-1234", "2019", "(", ")", "+1", "dot", "com", "-", "10.0.0.1"]
+    for _ in range(150):
+        z = pii.zone(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 6))), [])
+        found = pii.candidates(z)
+        names = {(kind, f) for *_, kind, features in found for f in ("", *features)}
+        field = pii.Field({name: rng.uniform(-1, 2) for name in names})
+
+        def best(at, z=z, found=found, field=field):
+            """The highest sum from token at on, over all splits."""
+            if at == len(z.tokens):
+                return 0.0
+            return max([best(at + 1), *[field.score(kind, f) - pii.MARGIN + best(j) for i, j, kind, f in found if i == at]])
+
+        scores = {(z.tokens[i][0], z.tokens[j - 1][1], kind): field.score(kind, f) - pii.MARGIN for i, j, kind, f in found}
+        spans = field.best(z)
+        assert abs(sum(scores[s] for s in spans) - best(0)) < 1e-9
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
