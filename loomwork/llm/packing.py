@@ -143,8 +143,9 @@ def best_fit(lengths: Iterable[int], size: int = SEQUENCE_TOKENS, open_bins: int
 def packed(parts: DataFrame, size: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS, task_tokens: int = TASK_TOKENS) -> DataFrame:
     """parts (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    Pieces are dealt by document over as many tasks as their tokens ask for. In a task they arrive longest first, ties by
-    document and place, so a task that runs again packs alike; a full piece passes straight through.
+    Pieces are dealt by a hash of all they have and of their row in parts, a written table, over as many tasks as their
+    tokens ask for, so that no id or repeated row fills a task. In a task they arrive longest first, ties by document and
+    place, so a task that runs again packs alike; a full piece passes straight through.
     """
     total = parts.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, round(total / task_tokens))
@@ -160,8 +161,9 @@ def packed(parts: DataFrame, size: int = SEQUENCE_TOKENS, open_bins: int = OPEN_
             got = [next(places) for _ in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([base + x for x, _ in got], pa.int64()), pa.array([o for _, o in got], pa.int64())], names=schema.names)
 
-    dealt = parts.repartition(tasks, F.xxhash64("doc_id", "piece"))
-    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(run, schema)
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32")
+    dealt = parts.select(*columns, F.monotonically_increasing_id().alias("row")).select(*columns, F.xxhash64(*columns, "row").alias("deal")).repartition(tasks, "deal")
+    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32").select(*columns).mapInArrow(run, schema)
 
 
 def best_fit_packing(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS) -> DataFrame:

@@ -58,3 +58,11 @@ def test_whole_documents(spark, tokenizer):
         own = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == doc_id)
         assert own == [(k, a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
     assert packing.best_fit_packing(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_rows_without_ids_are_spread(spark):
+    docs = spark.createDataFrame([(None, "the same text " * 4)] * 4000, "doc_id long, text string")
+    parts = packing.written(packing.pieces(docs, tokenizer_path()), "pieces")
+    tokens = parts.agg({"length": "sum"}).first()[0]
+    got = packing.packed(parts, task_tokens=tokens // 8).selectExpr("sequence_id >> 40 AS task").groupBy("task").count().collect()
+    assert len(got) == 8 and max(r["count"] for r in got) < 800
