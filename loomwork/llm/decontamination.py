@@ -14,8 +14,8 @@ from loomwork.llm.common import LOWER, Words, byte_class, chunks, columns_added,
 WINDOW = 13
 #: Words in a fingerprinted gram. Of each WINDOW - GRAM + 1 consecutive grams the least hash is kept, so every shared span of WINDOW words shares a fingerprint.
 GRAM = 5
-#: Items of up to about so many bytes of text are indexed at once; a larger benchmark is taken in blocks of this size.
-BLOCK_BYTES = 64 << 20
+#: Items of up to about so many bytes of text are indexed at once; a larger benchmark is taken in blocks of this size. An item is never split.
+BLOCK_BYTES = 32 << 20
 
 _PLAIN = byte_class("plain")
 RUN = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -32,63 +32,83 @@ def least(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+class Keys:
+    """Sorted hashes, and which low bits they have: of most values these are no key's, so they need no search."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = values
+        self.bits = 16 if len(values) < 1 << 12 else 24
+        self.low = np.zeros(1 << self.bits, bool)
+        self.low[values & np.uint64((1 << self.bits) - 1)] = True
+
+    def among(self, values: np.ndarray) -> np.ndarray:
+        out = self.low[values & np.uint64((1 << self.bits) - 1)]
+        maybe = np.flatnonzero(out)
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.values, values[maybe]), len(self.values) - 1)
+            out[maybe] = self.values[at] == values[maybe]
+        return out
+
+
+class Windows:
+    """Windows of one length, by hash: where each one's words stand in the index's text, and the item that has it."""
+
+    def __init__(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, text: bytes) -> None:
+        order = np.lexsort((item, hashes))
+        hashes, begin, end, item = hashes[order], begin[order], end[order], item[order]
+        new = np.ones(len(hashes), bool)  # an item has each window once
+        for k in (np.flatnonzero((hashes[1:] == hashes[:-1]) & (item[1:] == item[:-1])) + 1).tolist():
+            new[k] = text[begin[k] : end[k]] != text[begin[k - 1] : end[k - 1]]
+        self.keys = Keys(hashes[new])
+        self.begin, self.end, self.item = begin[new].astype(np.int32), end[new].astype(np.int32), item[new].astype(np.int32)
+
+
 class Index:
-    """The windows of some benchmark items: fingerprints, then windows by hash, then their words and the items that hold them."""
+    """The windows of some benchmark items: fingerprints, then windows by hash, then their words and the items that hold them.
+
+    Numbers in arrays and the items' words once: about four bytes for each byte of text, built in the time of a sort.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, gram: int = GRAM) -> None:
         self.window, self.gram = window, gram
-        prints: set[int] = set()
-        #: By length of the window (short items have shorter ones): hash -> [(words, item id)].
-        self.windows: dict[int, dict[int, list[tuple[bytes, str]]]] = {}
+        self.items = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.items)}
+        own = np.array([number[item] for item, _ in items], np.int64)
+        prints, texts, at = [np.zeros(0, np.uint64)], [], 0
+        #: By length of the window (short items have shorter ones).
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for start, data, offsets in chunks([t.encode("utf-8", "surrogatepass").translate(LOWER) for _, t in items]):
             w = Words(data, offsets, _PLAIN)
-            fps = least(w.grams(gram), window - gram + 1)
-            whole = {}
-            for i in range(len(offsets) - 1):
-                first, last = int(w.first[i]), int(w.first[i + 1])
-                size = min(window, last - first)
-                if not size:
-                    continue
-                if size not in whole:
-                    whole[size] = w.grams(size)
-                places = range(first, last - size + 1)
+            many = np.diff(w.first)
+            length = w.ends - w.starts
+            place = at + np.r_[0, np.cumsum(length + 1)]
+            texts.append(w.text(0, len(length)))
+            at += len(texts[-1]) + 1
+            text = np.repeat(np.arange(len(many)), many)
+            for size in np.unique(np.minimum(many[many > 0], window)).tolist():
+                p = np.flatnonzero(w.within(size))
+                p = p[many[text[p]] >= window] if size == window else p[many[text[p]] == size]
+                found.setdefault(size, []).append((w.grams(size)[p], place[p], place[p + size - 1] + length[p + size - 1], own[start + text[p]]))
                 if size == window:
-                    prints.update(fps[first : last - size + 1].tolist())
-                for p in places:
-                    found = self.windows.setdefault(size, {}).setdefault(int(whole[size][p]), [])
-                    entry = (w.text(p, size), items[start + i][0])
-                    if entry not in found:
-                        found.append(entry)
-        self.prints = np.array(sorted(prints), np.uint64)
-        self.keys = {size: np.array(sorted(x), np.uint64) for size, x in self.windows.items()}
-
-    @staticmethod
-    def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        if not len(keys) or not len(values):
-            return np.zeros(len(values), bool)
-        # Of most values the low bits are no key's: they need no search.
-        bits = 16 if len(keys) < 1 << 12 else 24
-        low = np.zeros(1 << bits, bool)
-        low[keys & np.uint64((1 << bits) - 1)] = True
-        out = low[values & np.uint64((1 << bits) - 1)]
-        maybe = np.flatnonzero(out)
-        at = np.minimum(np.searchsorted(keys, values[maybe]), len(keys) - 1)
-        out[maybe] = keys[at] == values[maybe]
-        return out
+                    prints.append(np.unique(least(w.grams(gram), window - gram + 1)[p]))
+        self.text = b" ".join(texts)
+        self.prints = Keys(np.unique(np.concatenate(prints)))
+        self.windows = {size: Windows(*(np.concatenate(x) for x in zip(*parts, strict=True)), self.text) for size, parts in found.items()}
 
     def hits(self, w: Words) -> list[tuple[int, int, str]]:
         """(first word, words, item id) of every window that occurs, in any of the texts."""
         out = []
-        for size, keys in self.keys.items():
+        for size, own in self.windows.items():
             places = np.arange(max(0, len(w.hashes) - size + 1))
             if size == self.window:  # fingerprints first, then the windows around them
-                places = places[self._among(least(w.grams(self.gram), self.window - self.gram + 1), self.prints)]
+                places = places[self.prints.among(least(w.grams(self.gram), self.window - self.gram + 1))]
             hashes = w.grams(size)
             places = places[w.within(size)[places]]
-            places = places[self._among(hashes[places], keys)]
-            for p in places.tolist():
+            places = places[own.keys.among(hashes[places])]
+            first, last = (np.searchsorted(own.keys.values, hashes[places], side) for side in ("left", "right"))
+            for p, a, b in zip(places.tolist(), first.tolist(), last.tolist(), strict=True):
                 words = w.text(p, size)
-                out += [(p, size, item) for text, item in self.windows[size][int(hashes[p])] if text == words]
+                out += [(p, size, self.items[own.item[k]]) for k in range(a, b) if self.text[own.begin[k] : own.end[k]] == words]
         return out
 
 
@@ -151,10 +171,11 @@ def with_hits(documents: DataFrame, benchmark: DataFrame, text_col: str = "text"
     """
     out = documents
     for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        had = [F.col("hit_runs").alias("_runs"), F.col("hit_items").alias("_items")] if k else []
-        out = _indexed(out.select("*", *had), block, text_col)
+        before = f"before {uuid.uuid4().hex}"  # a name that documents can't have
+        out = _indexed(out.select("*", *[F.struct("hit_runs", "hit_items").alias(before)] * (k > 0)), block, text_col)
         if k:
-            out = out.withColumn("hit_runs", F.concat("_runs", "hit_runs")).withColumn("hit_items", F.array_distinct(F.concat("_items", "hit_items"))).drop("_runs", "_items")
+            had = F.col(f"`{before}`")
+            out = out.withColumns({"hit_runs": F.concat(had["hit_runs"], "hit_runs"), "hit_items": F.array_distinct(F.concat(had["hit_items"], "hit_items"))}).drop(before)
     # Words hit: the ranges by their begins, each counted from where those before it end.
     counted = F.aggregate(
         F.array_sort("hit_runs"),
@@ -176,5 +197,5 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that aren't contaminated, with the columns they had."""
-    return with_hits(documents.select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("text")), benchmark).where("not contaminated").select("_row.*")
+    """The documents that aren't contaminated, with the columns they had. Null texts and those without words stay; repeated rows are treated one by one; empty tables give no rows, or all."""
+    return with_hits(documents.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text")), benchmark).where("not contaminated").select("row.*")

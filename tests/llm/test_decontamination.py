@@ -1,5 +1,8 @@
 import hashlib
 import random
+import time
+
+import numpy as np
 
 from loomwork.llm import decontamination
 from tests.llm.helpers import CLASHING, awkward, plain_words, sentences
@@ -52,3 +55,19 @@ def test_stage_keeps_columns(spark):
     assert kept.schema == docs.schema and len(CLASHING) > 0
     bad = sum(brute(r.text, items)[4] for r in docs.collect())
     assert kept.count() == docs.count() - bad
+
+
+def test_an_index_of_items_that_share_a_window():
+    begin, shared = time.time(), " ".join(f"s{k}" for k in range(13))
+    index = decontamination.Index([(str(k), f"{shared} own{k}") for k in range(100_000)])
+    assert time.time() - begin < 5
+    data = f"before {shared} after ".encode()
+    found = index.hits(decontamination.Words(data, np.array([0, len(data)]), decontamination._PLAIN))
+    assert len(found) == 100_000 and {f[:2] for f in found} == {(1, 13)}
+
+
+def test_an_index_takes_a_few_bytes_for_each_of_the_text():
+    texts = [(str(k), t) for k, t in enumerate(sentences(5, 800, 400, 10**6))]
+    index = decontamination.Index(texts)
+    size = len(index.text) + sum(x.begin.nbytes + x.end.nbytes + x.item.nbytes + x.keys.values.nbytes for x in index.windows.values()) + index.prints.values.nbytes
+    assert size < 5 * sum(len(t) for _, t in texts)
