@@ -2,18 +2,20 @@
 
 Pages are dealt by ranges of their ids, whose bounds depend on the rows alone, and sorted in each range. A task writes a
 range's files, rolled by compressed size, under temporary names; a table that Spark commits lists those of the attempts that
-counted, and only these get their final names. So an attempt that is lost, or runs twice, leaves nothing behind but temporary
-files that no manifest names.
+counted, and only these get their final names. What an attempt that is lost, or runs twice, leaves behind is swept then, and a
+manifest beside the files is written last.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import urllib.parse
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from typing import Any, BinaryIO
 
@@ -28,8 +30,8 @@ from loomwork.llm.common import shared_dir, written
 ROLL_BYTES = 64 << 20
 #: Payload bytes of a range, about.
 RANGE_BYTES = 32 << 20
-#: Steps of equal width that ids are counted in, from which ranges are put together; bounds a broadcast.
-STEPS = 1 << 14
+#: Ranges, and keys for each of them that their bounds are taken from, at most; a table of more than MOST_RANGES * RANGE_BYTES (512 GB) has larger ranges.
+MOST_RANGES, SAMPLED = 1 << 14, 24
 #: Records of smaller payloads are never revisits.
 REVISIT_BYTES = 0
 #: The date of every record: pages carry none, and the same pages must give the same files.
@@ -93,6 +95,8 @@ class Roller:
             self.out, self.number = None, self.number + 1
 
 
+#: The manifest beside the files: a JSON line for each.
+LISTING = "manifest.jsonl"
 MANIFEST = "shard long, number long, name string, temporary string, records long, bytes long"
 
 
@@ -103,26 +107,31 @@ def _filesystem(folder: str):
 
 
 def _ranges(rows: DataFrame, range_bytes: int) -> tuple[DataFrame, int]:
-    """rows with _shard, by ranges of page_id of about range_bytes; ids that aren't numbers are dealt by their hash."""
-    kind = rows.schema["page_id"].dataType
-    numeric = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first() if numeric else (0, 0)
-    if not numeric:
-        step = F.pmod(F.xxhash64("page_id"), F.lit(STEPS))
-    elif low is None:
-        step = F.lit(0)
-    else:
-        step = F.coalesce(((F.col("page_id").cast("decimal(20,0)") - F.lit(low)) * F.lit(STEPS) / F.lit(high - low + 1)).cast("long"), F.lit(0).cast("long"))
-    rows = rows.withColumn("_step", step.cast("long"))
-    shard = used = 0
-    shards = []
-    for r in rows.groupBy("_step").agg(F.sum("bytes").alias("bytes")).orderBy("_step").collect():  # STEPS rows at most
-        if used and used + r.bytes > range_bytes:
-            shard, used = shard + 1, 0
+    """rows with _shard, by ranges of (page_id, sha), null ids first, each of about range_bytes; rows with the same id and payload aren't parted.
+
+    Bounds are quantiles, by bytes, of the rows whose key's hash is a multiple of a number that grows with the table: the
+    same rows give the same bounds, however ids are spread, and the sample is bounded.
+    """
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    wanted = min(MOST_RANGES, max(1, -(-size.bytes // range_bytes)))
+    every = max(1, size.n // (SAMPLED * wanted))
+    keys = rows.where(F.pmod(F.xxhash64("page_id", "sha"), F.lit(every)) == 0).groupBy("page_id", "sha").agg(F.sum("bytes").alias("bytes"))
+    sample = keys.orderBy(F.asc_nulls_first("page_id"), "sha").collect() if wanted > 1 else []
+    share, used, bounds = sum(r.bytes for r in sample) / wanted, 0, []
+    for r in sample:
+        if used and used + r.bytes > share:
+            bounds.append((r.page_id is not None, r.page_id, r.sha))
+            used = 0
         used += r.bytes
-        shards.append((r._step, shard))
-    table = rows.sparkSession.createDataFrame(shards, "_step long, _shard long")
-    return rows.join(F.broadcast(table), "_step").drop("_step"), shard + 1
+    shared = rows.sparkSession.sparkContext.broadcast(bounds)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, shas = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "sha"))
+            shard = [bisect_right(shared.value, (i is not None, i, s)) for i, s in zip(ids, shas, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int64())], names=[*batch.schema.names, "_shard"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_shard", T.LongType())])), len(bounds) + 1
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -144,7 +153,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     ahead = written(later, "revisits").select("page_id", "sha", "first", empty("url"), empty("html"), F.lit(0).alias("own"), F.lit(0).cast("long").alias("bytes"))
     body = rows.select("page_id", F.sha1("html").alias("sha"), F.lit(None).cast(rows.schema["page_id"].dataType).alias("first"), "url", "html", F.lit(1).alias("own"), F.octet_length("html").cast("long").alias("bytes"))
     both, shards = _ranges(body.unionByName(ahead), range_bytes)
-    dealt = both.repartitionById(shards, F.col("_shard").cast("int")).sortWithinPartitions("_shard", "page_id", "sha", "own", "url")
+    dealt = both.repartitionById(shards, F.col("_shard").cast("int")).sortWithinPartitions("_shard", F.asc_nulls_first("page_id"), "sha", "own", "url")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, where = _filesystem(folder)
@@ -180,11 +189,10 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
 
 
 def _committed(manifest: DataFrame, folder: str) -> None:
-    """Gives the manifest's files their final names; a file that has its name already is left, so this may run again."""
+    """Gives the manifest's files their final names, drops temporary files that it doesn't name, and at last writes the manifest beside the files. A file that has its name already is left, so this may run again."""
+    from pyarrow import fs
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         target, where = _filesystem(folder)
         for batch in batches:
             for r in batch.to_pylist():
@@ -193,6 +201,15 @@ def _committed(manifest: DataFrame, folder: str) -> None:
             yield batch.select(["name"])
 
     manifest.mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+    target, where = _filesystem(folder)
+    for info in target.get_file_info(fs.FileSelector(where)):
+        if info.base_name.startswith(".pages-") and info.type == fs.FileType.File:
+            target.delete_file(info.path)
+    unfinished = f"{where}/.{LISTING}.{uuid.uuid4().hex}"
+    with target.open_output_stream(unfinished, compression=None) as out:
+        for r in manifest.select("name", "records", "bytes").orderBy("name").toLocalIterator():  # a line for each file
+            out.write((json.dumps(r.asDict()) + "\n").encode())
+    target.move(unfinished, f"{where}/{LISTING}")
 
 
 # ---- reading -------------------------------------------------------------------------------------------------------

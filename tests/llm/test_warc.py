@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import json
 
 import pytest
 
@@ -34,7 +35,8 @@ def test_round_trip(spark, tmp_path, sizes):
     texts = {r.page_id: r.html for r in pages.collect()}
     assert all(r.payload.decode() == (texts[r.page_id] or "") for r in got.where("record_type = 'response'").collect())
     names = {r.name for r in manifest.collect()}
-    assert {p.name for p in (tmp_path / "a").iterdir()} == names and (len(names) > 5) == (sizes[0] == 2000)
+    assert {p.name for p in (tmp_path / "a").iterdir()} == names | {warc.LISTING} and (len(names) > 5) == (sizes[0] == 2000)
+    assert {json.loads(x)["name"] for x in (tmp_path / "a" / warc.LISTING).read_text().splitlines()} == names
     warc.write_archives(pages.repartition(5), f"file://{tmp_path}/b", *sizes)  # the same files from other partitions
     assert all((tmp_path / "a" / n).read_bytes() == (tmp_path / "b" / n).read_bytes() for n in names)
 
@@ -42,7 +44,7 @@ def test_round_trip(spark, tmp_path, sizes):
 def test_damage_is_seen(spark, tmp_path):
     folder = f"file://{tmp_path}/a"
     warc.write_archives(table(spark), folder)
-    data = next((tmp_path / "a").iterdir()).read_bytes()
+    data = next((tmp_path / "a").glob("*.gz")).read_bytes()
     import io
 
     with pytest.raises(Exception):  # noqa: B017
@@ -53,3 +55,22 @@ def test_damage_is_seen(spark, tmp_path):
 
 def test_empty(spark):
     assert warc.archived(table(spark).limit(0)).count() == 0
+
+
+def test_ranges_follow_the_ids(spark, monkeypatch):
+    """An outlying id, null ids alone, and ids that are no numbers: many ranges, in order."""
+    monkeypatch.setattr(warc, "SAMPLED", 8)
+    text = "x" * 500
+    for ids, kind in (([*range(2000), 2**60], "long"), ([None] * 2000, "long"), ([f"p{i:05d}" for i in range(2000)], "string")):
+        rows = spark.createDataFrame([(i, f"{k} {text}") for k, i in enumerate(ids)], f"page_id {kind}, html string").selectExpr("page_id", "sha1(html) AS sha", "length(html) AS bytes")
+        dealt, shards = warc._ranges(rows, 50_000)
+        found = [tuple(r) for r in dealt.groupBy("_shard").agg({"bytes": "sum", "page_id": "min"}).orderBy("_shard").selectExpr("_shard", "`sum(bytes)`", "`min(page_id)`").collect()]
+        assert 12 <= shards <= 40 and len(found) == shards and max(b for _, b, _ in found) < 200_000
+        assert kind == "long" and ids[0] is None or [i for *_, i in found] == sorted(i for *_, i in found)
+
+
+def test_what_lost_attempts_leave_is_swept(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / ".pages-00000000-00000.warc.gz.0123").write_bytes(b"cut off")
+    warc.write_archives(table(spark), f"file://{tmp_path}/a")
+    assert not [p for p in (tmp_path / "a").iterdir() if p.name.startswith(".pages")]
