@@ -5,8 +5,10 @@ places, so an anchor's count is no less than its windows' counts, and the sketch
 fewer anchors than windows. Each partition's sketch leaves its task as sorted cells, by range of cells; ranges are merged as
 they stream in; what remains is a bit for each cell that was counted twice or more, whose number is bounded.
 
-Equal texts are one document to the windows: a first sketch, of whole texts, picks those that may have copies, and one of each
-kind is kept. Its copies lose all their words, or none if they are shorter than a window.
+Windows that may repeat are computed once: a task settles those that it holds, so a window that all documents share leaves it once,
+and the first of each in the corpus is found by a sort. Equal texts are one document to the windows: a first sketch, of whole
+texts, picks those that may have copies, and one of each kind is kept. Its copies lose all their words, or none if they are
+shorter than a window.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +31,8 @@ WINDOW, GRAM = 20, 5
 ROWS, LEAST_BITS, MOST_BITS = 3, 20, 28
 #: Ranges of cells that a sketch is cut into.
 RANGES = 512
+#: Windows that a task holds at once to meet equal ones.
+HELD_WINDOWS = 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 _SPACE = byte_class("nonspace")
 
@@ -160,14 +165,18 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     Words are whatever stands between spaces and the control characters 9 to 13. A word goes if a window that covers it
     also starts earlier: in a document with a smaller id, or before in the same one. Windows are judged on the input. Null
-    and empty texts, and those with fewer words than a window, lose nothing. Null ids come last and count as one document;
-    rows repeated in full are one document too, and each is returned; ids must tell other texts apart. Beyond about
-    2**MOST_BITS / 4 anchors (about 3 GB of text) the sketch lets more windows through, which the exact step then groups.
+    and empty texts, and those with fewer words than a window, lose nothing. Null ids come last. Different texts of one id,
+    or without an id, are documents of their own, in the order of their hashes; rows that repeat an id and its text are one
+    document, and each is returned. Other columns are left out. Beyond about 2**MOST_BITS / 4 anchors (about 3 GB of text)
+    the sketch lets more windows through, which the exact step then groups.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     docs = documents.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
     broadcast = docs.sparkSession.sparkContext.broadcast
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    # What tells texts of one id apart travels with every window, so it is nothing where ids tell enough.
+    unique = docs.select("doc_id", "h1").distinct().groupBy("doc_id").count().where("count > 1").limit(1).isEmpty()
+    docs = docs.withColumn("tie", F.lit(0).cast("long") if unique else F.col("h1"))
 
     bits = _bits(size.n)
     texts = broadcast(_sketch(partition_sketches(docs.select("h1"), bits, lambda: lambda batch: iter([_hashes(batch.column(0))])), bits))
@@ -175,7 +184,7 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     def words_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Words]]:
         """Rows, and the words of their texts: of rows that stand for themselves."""
-        rows = np.flatnonzero(~texts.value.may_repeat(_hashes(batch.column(2)))) if batch.num_columns > 2 else np.arange(batch.num_rows)
+        rows = np.flatnonzero(~texts.value.may_repeat(_hashes(batch.column(3)))) if batch.num_columns > 3 else np.arange(batch.num_rows)
         column = batch.column(1).take(pa.array(rows)) if len(rows) < batch.num_rows else batch.column(1)
         for first, data, offsets in chunks(utf8(column)):
             yield rows[first : first + len(offsets) - 1], Words(data, offsets, _SPACE)
@@ -184,12 +193,16 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
         for _, w in words_of(batch):
             yield w.grams(gram)[np.unique(anchors(w, window, gram)[1])]
 
-    own, kinds = docs.select("doc_id", "text", "h1"), reps.select("doc_id", "text")
+    own, kinds = docs.select("doc_id", "text", "tie", "h1"), reps.select("doc_id", "text", "tie")
     bits = _bits((size.bytes or 0) / 45)  # an anchor begins about every 45 bytes
     sketches = [partition_sketches(df, bits, lambda: anchors_of) for df in (own, kinds)]
     shared = broadcast(_sketch(sketches[0].unionByName(sketches[1]), bits))
 
+    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.IntegerType()), docs.schema["doc_id"], T.StructField("tie", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("many", T.IntegerType())])
+
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows that may repeat, the first of its words in its text: many is 0 for the first among those held together, whose place in the corpus is to be found; others are lost, as runs of many."""
+        held = _Held(schema.names)
         for batch in sliced(batches):
             for rows, w in words_of(batch):
                 starts = _candidates(w, shared.value, window, gram)
@@ -197,26 +210,28 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
                     k1, k2 = _keys(w, window)
                     starts = starts[_first_here(w, starts, (k1, k2))]
                     at = np.searchsorted(w.first, starts, "right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(k1[starts]), pa.array(k2[starts]), batch.column(0).take(pa.array(rows[at])), pa.array((starts - w.first[at]).astype(np.int32))],
-                        names=["k1", "k2", "doc_id", "start"],
-                    )
+                    held.add(k1[starts], k2[starts], at, starts - w.first[at], batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows)))
+                    if held.size > HELD_WINDOWS:
+                        yield held.judged()
+        if held.size:
+            yield held.judged()
 
-    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.IntegerType()), docs.schema["doc_id"], T.StructField("start", T.IntegerType())])
     found = own.mapInArrow(windows, schema).unionByName(kinds.mapInArrow(windows, schema))
-    earliest = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
-    later = found.join(earliest, ["k1", "k2"]).where("first is not null and (doc_id is null or doc_id <> first)")
-    removed = later.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).select(F.col("doc_id").alias("_id"), "starts")
+    # A passage that all documents share comes once from every HELD_WINDOWS windows: lost ones are spread by keys of their own.
+    place = F.row_number().over(Window.partitionBy("k1", "k2", F.col("many") > 0).orderBy(F.asc_nulls_last("doc_id"), "tie"))
+    later = found.withColumn("place", place).where("many > 0 or place > 1")
+    run = (F.col("start").cast("long") * F.lit(1 << 32) + F.greatest("many", F.lit(1))).alias("run")
+    removed = later.select("doc_id", "tie", run).groupBy("doc_id", "tie").agg(F.collect_list("run").alias("runs")).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "runs")
 
     kept_fields = [T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.StringType())] * with_text]
-    judged_schema = T.StructType([docs.schema["doc_id"], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("open_text", T.StringType()), *kept_fields])
+    judged_schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("tie", "h1", "h2", "n_words")], T.StructField("open_text", T.StringType()), *kept_fields])
 
     def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts without a window that may repeat keep all; the others' texts go on. Kinds of texts carry their hashes."""
         for batch in sliced(batches):
             is_kind = "h2" in batch.schema.names
             out: list[tuple] = []
-            for rows, w in words_of(batch.select(["doc_id", "text"]) if is_kind else batch):
+            for rows, w in words_of(batch.select(["doc_id", "text", "tie"]) if is_kind else batch):
                 may = set((np.searchsorted(w.first, _candidates(w, shared.value, window, gram), "right") - 1).tolist())
                 for i, count in enumerate(np.diff(w.first).tolist()):
                     row = int(rows[i])
@@ -226,17 +241,52 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
                         words = w.text(int(w.first[i]), count)
                         out.append((row, count, None, hashlib.sha256(words).hexdigest(), words.decode("utf-8", "surrogatepass") if with_text else None))
             at = pa.array([r[0] for r in out], pa.int64())
-            hashes = [batch.column(k).take(at) if is_kind else pa.nulls(len(out), pa.int64()) for k in (2, 3)]
+            hashes = [batch.column(k).take(at) if is_kind else pa.nulls(len(out), pa.int64()) for k in (3, 4)]
             rest = [pa.array([r[k] for r in out], kind) for k, kind in ((1, pa.int64()), (2, pa.string()), (3, pa.string()), *[(4, pa.string())] * with_text)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *hashes, *rest], names=judged_schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), *hashes, *rest], names=judged_schema.names)
 
-    both = own.mapInArrow(judged, judged_schema).unionByName(reps.select("doc_id", "text", "h1", "h2").mapInArrow(judged, judged_schema))
-    both = both.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    inputs = ["open_text", "starts", *[f.name for f in kept_fields]]
-    done = columns_added(both, inputs, [T.StructField("n_removed", T.LongType()), *kept_fields], lambda: lambda *c: _without(*c, window=window), keep=["doc_id", "h1", "h2", "n_words"])
+    both = own.mapInArrow(judged, judged_schema).unionByName(reps.select("doc_id", "text", "tie", "h1", "h2").mapInArrow(judged, judged_schema))
+    both = both.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").drop("_id", "_tie")
+    inputs = ["open_text", "runs", *[f.name for f in kept_fields]]
+    done = columns_added(both, inputs, [T.StructField("n_removed", T.LongType()), *kept_fields], lambda: lambda *c: _without(*c, window=window), keep=["doc_id", "tie", "h1", "h2", "n_words"])
     return _with_copies(docs, texts, written(done, "kept"), window, with_text)
 
 
+class _Held:
+    """Windows that a task holds until they are many, so that those of equal words leave it as one that may be the first, and as lost ones."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+        self._clear()
+
+    def _clear(self) -> None:
+        self.parts, self.ids, self.ties, self.documents, self.size = [], [], [], 0, 0
+
+    def add(self, k1: np.ndarray, k2: np.ndarray, document: np.ndarray, start: np.ndarray, ids: pa.Array, ties: pa.Array) -> None:
+        self.parts.append((k1, k2, document + self.documents, start))
+        self.ids.append(ids)
+        self.ties.append(ties)
+        self.documents, self.size = self.documents + len(ids), self.size + len(k1)
+
+    def judged(self) -> pa.RecordBatch:
+        k1, k2, document, start = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        ids, ties = pa.concat_arrays(self.ids), pa.concat_arrays(self.ties)
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.sort_indices(pa.table([ids, ties], names=["id", "tie"]), sort_keys=[("id", "ascending"), ("tie", "ascending")], null_placement="at_end").to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((rank[document], k2, k1))
+        first = np.ones(len(order), bool)
+        first[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
+        chosen, lost = order[first], np.sort(order[~first])
+        begins = np.flatnonzero(np.r_[True, (document[lost][1:] != document[lost][:-1]) | (start[lost][1:] != start[lost][:-1] + 1)]) if len(lost) else np.zeros(0, np.int64)
+        runs = lost[begins]
+        many = np.r_[np.zeros(len(chosen), np.int32), np.diff(np.r_[begins, len(lost)]).astype(np.int32)]
+        spread = mixed(mixed(k1[runs].view(np.uint64)) + rank[document[runs]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[runs].astype(np.uint64)).view(np.int64)
+        who = pa.array(np.r_[document[chosen], document[runs]])
+        columns = [pa.array(np.r_[k1[chosen], spread]), pa.array(np.r_[k2[chosen], k2[runs]]), ids.take(who), ties.take(who), pa.array(np.r_[start[chosen], start[runs]].astype(np.int32)), pa.array(many)]
+        self._clear()
+        return pa.RecordBatch.from_arrays(columns, names=self.names)
+
+
 def _one_of_each_text(docs: DataFrame, texts) -> DataFrame:
     """(h1, h2, doc_id, text): each text that may have copies once, with the smallest id. A task sends each text once for every batch, so copies meet as few rows."""
 
@@ -249,26 +299,27 @@ def _one_of_each_text(docs: DataFrame, texts) -> DataFrame:
                     first[key] = i
             yield batch.take(pa.array(list(first.values()), pa.int64()))
 
-    some = docs.select("doc_id", "text", "h1", "h2")
-    return some.mapInArrow(run, some.schema).groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    some = docs.select("doc_id", "text", "h1", "h2", "tie")
+    return some.mapInArrow(run, some.schema).groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("tie").alias("tie"))
 
 
-def _without(column: pa.Array, starts: pa.Array, sha_before: pa.Array, *kept_before: pa.Array, window: int) -> dict:
-    """What stays of texts without the windows at starts, and without those that the text itself has before."""
-    texts, gone, sha = column.to_pylist(), starts.to_pylist(), sha_before.to_pylist()
+def _without(column: pa.Array, runs: pa.Array, sha_before: pa.Array, *kept_before: pa.Array, window: int) -> dict:
+    """What stays of texts without the runs of windows (first * 2**32 + number), and without windows that the text itself has before."""
+    texts, sha = column.to_pylist(), sha_before.to_pylist()
     kept = kept_before[0].to_pylist() if kept_before else [None] * len(texts)
+    gone, cuts = runs.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum([0, *[n or 0 for n in pc.list_value_length(runs).to_pylist()]])
     removed = [0] * len(texts)
     for i, text in enumerate(texts):
         if text is None:
             continue
         data = text.encode("utf-8", "surrogatepass")
         w = Words(data + b" ", np.array([0, len(data) + 1]), _SPACE)
-        places = np.flatnonzero(w.within(window))
-        places = places[~_first_here(w, places, _keys(w, window))] if len(places) else places
-        places = np.concatenate([places, np.array(gone[i] or [], np.int64)])
+        again = np.flatnonzero(w.within(window))
+        again = again[~_first_here(w, again, _keys(w, window))] if len(again) else again
+        own = gone[cuts[i] : cuts[i + 1]]
         edge = np.zeros(len(w.hashes) + 1, np.int64)
-        np.add.at(edge, places, 1)
-        np.add.at(edge, places + window, -1)
+        np.add.at(edge, np.r_[again, own >> 32], 1)
+        np.add.at(edge, np.r_[again + window, (own >> 32) + (own & 0xFFFFFFFF) + window - 1], -1)
         out = np.cumsum(edge[:-1]) > 0
         words = b" ".join(data[a:b] for a, b, x in zip(w.starts.tolist(), w.ends.tolist(), out.tolist(), strict=True) if not x)
         removed[i], sha[i], kept[i] = int(out.sum()), hashlib.sha256(words).hexdigest(), words.decode("utf-8", "surrogatepass") if kept_before else None
@@ -286,7 +337,8 @@ def _with_copies(docs: DataFrame, texts, done: DataFrame, window: int, with_text
     columns = ["n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
     kinds = done.where("h1 is not null").withColumnRenamed("doc_id", "first")
     joined = slim.mapInArrow(run, slim.schema).join(kinds, ["h1", "h2"])
-    copy = F.expr(f"first is not null and (doc_id is null or doc_id <> first) and n_words >= {window}")
+    # Copies share a text, so those with the first one's id, or like it without any, are the same document.
+    copy = F.expr(f"not (doc_id <=> first) and n_words >= {window}")
     nothing = {"n_removed": F.col("n_words"), "kept_sha256": F.sha2(F.lit(""), 256), "kept": F.lit("")}
     joined = joined.select("doc_id", *[F.when(copy, nothing[c]).otherwise(F.col(c)).alias(c) if c in nothing else F.col(c) for c in columns])
     return done.where("h1 is null").select("doc_id", *columns).unionByName(joined)
