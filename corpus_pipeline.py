@@ -12,27 +12,27 @@ from loomwork.llm.queries import tokenizer_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go."""
+    """Documents that are predicted toxic go. Null and empty texts stay; columns and repeated rows stay as they are."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays. Null ids, and texts without words, stay; of rows that repeat an id and its text one stays."""
     return near.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are contaminated by the benchmark go."""
+    """Documents that are contaminated by the benchmark go. Null texts stay."""
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind."""
+    """Personal data in the texts is replaced by its kind, and n_chars counted anew. Null texts stay null."""
     return pii.without_personal_data(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, with the sequence that each goes to and its place there."""
+    """The documents' pieces, with the sequence that each goes to and its place there. A null or empty text is one end id; other columns are left out."""
     return packing.best_fit_packing(docs, tokenizer_path())
 
 
@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packed),
 ]
 
-#: Learned scores and tokenizers are beyond SQL; tests hold the stages against brute force.
+#: Learned scores and tokenizers are beyond SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
