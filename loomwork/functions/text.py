@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import unicodedata
 
 import pandas as pd
@@ -87,6 +88,7 @@ def labelled(values: Column, kind: str) -> Column:
 
 def references(text: Column) -> Column:
     """[(kind, value)] of what reads like a reference to a post, an agent, a round or a handle, in this order of kinds."""
+    # Fixed values.
     patterns = {
         "post": r"(?i)\bposts?[\s_#]*(?:id)?[\s#]*(\d+)", "agent": r"(?i)\b(?:agents?|users?)[\s_#]*(?:id)?[\s#]*(\d+)",
         "round": r"(?i)\brounds?[\s_#]*(\d+)", "username": r"@([A-Za-z0-9_]{2,32})",
@@ -126,11 +128,11 @@ def without_invisible(text: Column) -> Column:
 
 
 def normalised_text(text: Column, dehyphenate: bool = False) -> Column:
-    """Line ends as \\n, invisible characters gone, no trailing blanks, no more than one empty line, trimmed. Texts beyond ASCII: apply nfkc to what without_invisible returns."""
-    out = without_invisible(F.regexp_replace(text, r"\r\n?", "\n"))
+    """Line ends as \\n, invisible characters gone, normal form KC, no trailing blanks, no more than one empty line, trimmed."""
+    out = nfkc(without_invisible(F.regexp_replace(text, r"\r\n?", "\n")))
     if dehyphenate:
         out = F.regexp_replace(out, r"([a-z])-\n([a-z])", "$1$2")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?dm)[ \t]+$", ""), r"\n{3,}", "\n\n")
     return F.regexp_replace(out, r"(?U)^\s+|\s+\z", "")
 
 
@@ -160,10 +162,58 @@ MARKDOWN = [
 def normalised_markdown(text: Column) -> Column:
     """The words of Markdown: labels, headings and items stay, code, addresses, rules and markup go."""
     for pattern, put in MARKDOWN:
-        text = F.regexp_replace(text, pattern, put)
+        text = F.regexp_replace(text, "(?d)" + pattern, put)  # a line ends at \\n alone
     return normalised_text(text)
 
 
+def salvaged(text: Column) -> Column:
+    """The first whole JSON object or array in a text, whatever stands around it; null if there is none. Braces inside strings don't count."""
+
+    def first(t: str) -> str | None:
+        closers: list[str] = []
+        begin, quoted, k = -1, False, 0
+        while k < len(t):
+            c = t[k]
+            if quoted:
+                k += c == "\\"
+                quoted = c != '"'
+            elif c in "{[":
+                begin = k if not closers else begin
+                closers.append("}" if c == "{" else "]")
+            elif closers and c == '"':
+                quoted = True
+            elif closers and c in "}]":
+                if closers.pop() != c:
+                    closers, k = [], begin  # not balanced: the next opening is tried
+                elif not closers:
+                    return t[begin : k + 1]
+            k += 1
+        return None
+
+    return F.pandas_udf(lambda texts: texts.map(first, na_action="ignore"), "string")(text)
+
+
+def suggestion(word: Column, known: list[str], least: float = 0.6) -> Column:
+    """The known word that is most like it, if any is like enough."""
+
+    def closest(words: pd.Series) -> pd.Series:
+        found = {w: (difflib.get_close_matches(w, sorted(known), n=1, cutoff=least) or [None])[0] for w in words.dropna().unique()}
+        return words.map(found, na_action="ignore")
+
+    return F.pandas_udf(closest, "string")(word)
+
+
+def is_identifier(name: Column) -> Column:
+    """Whether a name may stand in a query unquoted: letters, digits and underscores, no digit first, 63 characters at most."""
+    return F.coalesce(name.rlike("^[A-Za-z_][A-Za-z0-9_]*$") & (F.length(name) <= MOST_IDENTIFIER), F.lit(False))
+
+
+def shortened(text: Column, length: int) -> Column:
+    """Blanks collapsed; what is longer is cut and ends in an ellipsis, within the length."""
+    plain = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.when(F.length(plain) <= length, plain).otherwise(F.concat(F.rtrim(F.substring(plain, 1, length - 1)), F.lit("…")))
+
+
 def defanged(text: Column) -> Column:
     return F.replace(text, F.lit("```"), F.lit("'''"))
 

@@ -94,5 +94,15 @@ def uniform(*keys: Column, seed: int = 0) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / (1 << 30)).cast("double")
 
 
+def run_id(at: Column, key: Column, kind: str = "sim") -> Column:
+    """The name of a run or report: its time to the second, and six hexadecimal digits of the key's hash."""
+    return F.concat(F.lit(f"{kind}-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit("-"), F.substring(F.sha2(key.cast("string"), 256), 1, 6))
+
+
+def cutoff(now: Column, days: Column) -> Column:
+    """What ended before this may go."""
+    return F.timestamp_micros(F.unix_micros(now) - days.cast("long") * 86_400_000_000)
+
+
 def round_time(start: Column, hours: Column, index: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(start) + (hours * 3_600_000_000 * index).cast("long"))

@@ -84,6 +84,24 @@ def with_engagement(rows: DataFrame, replies: DataFrame) -> DataFrame:
     return out.withColumn("kind", kind()).withColumn("engagement", reactions() + F.col("comments"))
 
 
+def parsed_or_raw(text: Column) -> Column:
+    """What is JSON as JSON, normalised, and all else as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+
+
+def matching(rows: DataFrame, needle: str) -> DataFrame:
+    """Rows with the needle, in lower case, in their username, name or action; a blank one keeps all."""
+    needle = needle.strip().lower()
+    return rows.where(F.contains(F.lower(F.concat_ws(" ", "username", "name", "action")), F.lit(needle))) if needle else rows
+
+
+def on_platform(rows: DataFrame, own: str, asked: str | None) -> DataFrame:
+    """rows, if the platform that is asked for is the run's own; another one is an error, as rows have no platform to filter by."""
+    if asked and asked.strip().lower() != own:
+        raise ValueError(f"this run is on {own}, not on {asked}")
+    return rows
+
+
 def interviews(trace: DataFrame, agent: int | None = None) -> DataFrame:
     """Interview rows with prompt and response from info; what isn't a JSON object is all response."""
     rows = trace.where(F.lower("action") == "interview")

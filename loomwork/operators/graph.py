@@ -39,15 +39,15 @@ def edges_between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def neighbours(entities: DataFrame, edges: DataFrame, uuid: str, depth: int = 1) -> DataFrame:
     """(uuid, distance) within depth steps either way, the start included; nothing if there's no such entity.
 
-    One join for each step with the nodes reached last; those reached before are left out by an anti join.
+    Each step takes what is reached once: a node reached last brings its neighbours along, and the least distance of each
+    node stays; so the plan has one join and one aggregation for each step.
     """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
     reached = entities.where(F.col("uuid") == uuid).select("uuid", F.lit(0).alias("distance"))
-    last = reached
     for step in range(1, min(max(1, depth), MOST_DEPTH) + 1):
-        found = both.join(last.select(F.col("uuid").alias("a")), "a").select(F.col("b").alias("uuid")).distinct()
-        last = found.join(reached.select("uuid"), "uuid", "left_anti").withColumn("distance", F.lit(step))
-        reached = reached.unionByName(last)
+        grown = reached.join(both, (F.col("uuid") == F.col("a")) & (F.col("distance") == step - 1), "left")
+        ends = F.filter(F.array(F.struct("uuid", "distance"), F.struct(F.col("b").alias("uuid"), F.lit(step).alias("distance"))), lambda x: x["uuid"].isNotNull())
+        reached = grown.select(F.explode(ends).alias("e")).groupBy("e.uuid").agg(F.min("e.distance").alias("distance"))
     return reached
 
 

@@ -19,6 +19,11 @@ def round_bounds(ledger: DataFrame, mark: str) -> DataFrame:
     return filled.select("round", F.lag("upper", 1, 0).over(by_round).alias("lower"), "upper")
 
 
+def decoded(stored: DataFrame) -> DataFrame:
+    """The ledger as it is stored, with its JSON columns read: counts of actions, and what failed; a column that is no JSON is null."""
+    return stored.withColumns({"action_counts": F.from_json("action_counts", "map<string, bigint>"), "failures": F.from_json("failures", "array<string>")}).orderBy("round")
+
+
 def attributed(rows: DataFrame, bounds: DataFrame, rid: str = "rid") -> DataFrame:
     """rows with round, null in the open round after the last mark.
 
@@ -77,6 +82,8 @@ def action_distribution(counts: DataFrame) -> DataFrame:
 
 def timeline(ledger: DataFrame, posts: DataFrame, comments_per_post: DataFrame, from_round: int | None = None, to_round: int | None = None) -> DataFrame:
     """Per round: what the ledger has, posts and comments on them, and whether it is the seed; both ends of the range are included."""
+    if from_round is not None and to_round is not None and to_round < from_round:
+        raise ValueError(f"the range ends at {to_round}, before it begins at {from_round}")
     bounds = round_bounds(ledger, "post_mark")
     made = attributed(posts.select("rid", "post_id"), bounds).where("round is not null").join(comments_per_post, "post_id", "left")
     made = made.groupBy("round").agg(F.count("*").alias("posts"), F.coalesce(F.sum("n_comments"), F.lit(0)).alias("comments"))

@@ -52,6 +52,12 @@ def remembered(posts: DataFrame, before_round: int, limit: int = 5) -> DataFrame
     return posts.where(F.col("round") < before_round).orderBy(F.desc("engagement"), F.desc("round"), "post_id").limit(limit)
 
 
+def with_names(posts: DataFrame, about: DataFrame, before_round: int) -> DataFrame:
+    """Posts of earlier rounds with the names (post_id, name) that each is about, sorted; none is an empty list."""
+    names = about.groupBy("post_id").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return posts.where(F.col("round") < before_round).join(names, "post_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+
+
 def trimmed(messages: DataFrame, keep: int, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Each conversation's last user turns with what follows each, and its system messages; keep of 0 or less keeps all."""
     if keep <= 0:

@@ -41,6 +41,11 @@ def named_quota(total: int, ratio: float, named: int) -> int:
     return min(named, max(int(total * ratio), 1)) if named else 0
 
 
+def quota(total: Column, ratio: float, named: Column) -> Column:
+    """named_quota of columns."""
+    return F.when(named > 0, F.least(named, F.greatest(F.floor(total * ratio), F.lit(1)))).otherwise(0).cast("long")
+
+
 def usernames(people: DataFrame, key: str = "user_id", name: str = "name") -> DataFrame:
     """people with username: the name's slug, numbered from the second on within equal slugs, by key. Groups of equal slugs are numbered by windows, so no group is collected."""
     own = Window.partitionBy("_slug").orderBy(key)

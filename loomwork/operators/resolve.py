@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions.text import grounded_in, tokens
+from loomwork.sources.shared import scratch
 
 LEAST_OVERLAP, LEAST_COSINE = 0.5, 0.90
 #: Rows that are settled at once, on the driver.
@@ -78,8 +77,7 @@ def similar_merged(entities: DataFrame, least_overlap: float = LEAST_OVERLAP, le
     alike are decided in the round in which their keeper is found. Rounds are at most rows / block.
     """
     spark = entities.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-resolve-")
-    folder = f"{base.rstrip('/')}/similar-{uuid.uuid4().hex}"
+    folder = scratch(spark, "similar")
     schema = T.StructType([*entities.select("type", "normalised", "position", "embedding").schema.fields, T.StructField("row", T.LongType()), T.StructField("keeper", T.StringType())])
     names = [f.name for f in schema]
     first = entities.select("type", "normalised", "position", "embedding", F.monotonically_increasing_id().alias("row"), F.lit(None).cast("string").alias("keeper"))

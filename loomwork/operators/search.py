@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +79,32 @@ def _arrow(name: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
 
 
+def embedded(texts: DataFrame, embed: Callable[[list[str]], np.ndarray], dim: int, batch: int = 32) -> DataFrame:
+    """(text, vector) of each different text, by a function that takes a batch of them at once; vectors of another width are an error, and all are single precision."""
+
+    def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            column = frame.column(0)
+            for part in (column.slice(k, batch) for k in range(0, len(column), batch)):
+                x = np.asarray(embed(part.to_pylist()), np.float32)
+                if x.shape != (len(part), dim):
+                    raise ValueError(f"vectors of shape {x.shape}, not of {(len(part), dim)}")
+                yield pa.RecordBatch.from_arrays([part, pa.array(list(x), pa.list_(pa.float32()))], names=["text", "vector"])
+
+    return texts.where("text is not null").select("text").distinct().mapInArrow(run, "text string, vector array<float>")
+
+
+def in_scope(vectors: DataFrame, members: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of one scope: the scope (id) is taken first, so nothing is fetched beyond what is asked for."""
+    return nearest(vectors.join(members.select("id"), "id", "left_semi"), queries, k)
+
+
+def first_of_both(first: DataFrame, second: DataFrame, key: str, limit: int) -> DataFrame:
+    """Two lists of hits (key, place) as one: the first list's in their order, then those of the second that aren't among them."""
+    more = second.join(first.select(key), key, "left_anti")
+    return first.withColumn("arm", F.lit(0)).unionByName(more.withColumn("arm", F.lit(1))).orderBy("arm", "place", key).limit(limit)
+
+
 def hybrid(words: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
     """Hits by words (uuid, score, place) first, then those by vectors that aren't among them, limit in all."""
     both = words.select("uuid", "score", "place", F.lit(0).alias("arm")).unionByName(vectors.select("uuid", "score", "place", F.lit(1).alias("arm")))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +11,6 @@ from loomwork.operators import feed, ledger, memory, population, report, tools
 from loomwork.plans.registry import query
 from loomwork.plans.views import Run
 from loomwork.sources.files import upserted
-from loomwork.streaming import rounds
 
 
 def _interviews(run: Run) -> DataFrame:
@@ -127,31 +123,3 @@ def udf1_tools(run: Run) -> DataFrame:
         one = tools.asked(own, name, **arguments).agg(F.count("*").alias("n")).select(F.lit(name).alias("tool"), "n")
         out = one if out is None else out.unionByName(one)
     return out
-
-
-# A stream takes a folder or a pattern, and the table may be a single file: so its path is given as a pattern.
-
-
-def _folder(run: Run) -> str:
-    """A new folder beside Spark's checkpoints, or a temporary one where none are set."""
-    base = run.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-@query("SELECT 0 AS round, max(event_id) + 1 AS trace_mark, count(*) AS acted FROM events")
-def str2_stream_rounds(run: Run) -> DataFrame:
-    """The events as a stream: each micro-batch is a round with a ledger row; what is there now is one."""
-    folder = _folder(run)
-    source = run.spark.readStream.schema(run.table("events").schema).parquet(f"{run.sf_dir}/events.parque[t]")
-    stream = source.select((F.col("event_id") + 1).alias("rid"), "user_id", F.col("ts").alias("created_at"), F.col("event_type").alias("action"), F.col("props").alias("info"))
-    rounds.run_rounds(stream, folder, f"{folder}/checkpoint").awaitTermination()
-    return run.spark.read.parquet(f"{folder}/ledger").select("round", "trace_mark", "acted")
-
-
-@query("SELECT event_id AS rid FROM events ORDER BY event_id DESC LIMIT 400")
-def str1_stream_feed(run: Run) -> DataFrame:
-    """The last 400 events of the stream."""
-    folder = _folder(run)
-    source = run.spark.readStream.schema(run.table("events").schema).parquet(f"{run.sf_dir}/events.parque[t]")
-    rounds.feed(source.select(F.col("event_id").alias("rid")), folder, f"{folder}-checkpoint").awaitTermination()
-    return run.spark.read.parquet(folder).select("rid")

@@ -110,7 +110,7 @@ def fnt2_markdown_pages(run: Run) -> DataFrame:
 
 @query()
 def fnt1_normalised_documents(run: Run) -> DataFrame:
-    return run.table("documents").select("doc_id", ft.normalised_text(ft.nfkc(ft.without_invisible(F.col("text")))).alias("text"))
+    return run.table("documents").select("doc_id", ft.normalised_text(F.col("text")).alias("text"))
 
 
 @query()
@@ -189,11 +189,6 @@ def join21_embedding_cache(run: Run) -> DataFrame:
     return keys.agg(F.count("*").alias("texts"), F.countDistinct("key").alias("keys")).withColumns({"cached": cache.agg(F.count("*")).scalar(), "missing": missing.agg(F.count("*")).scalar()})
 
 
-@query()
-def fnh1_derived_uuids(run: Run) -> DataFrame:
-    return run.entities.select("uuid", fv.derived_uuid(F.lit("graph-1"), F.col("type"), F.col("normalised")).alias("derived"))
-
-
 # ---- graph and search ----------------------------------------------------------------------------------------------
 
 

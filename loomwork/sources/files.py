@@ -2,31 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.sources.shared import exists, removed
+
 MOST_BYTES = 50 << 20
 EXTENSIONS = (".txt", ".md", ".markdown")
-RUN_ID = r"sim-\d{8}-\d{6}-[0-9a-f]{6}"
+RUN_ID, REPORT_ID = (kind + r"-\d{8}-\d{6}-[0-9a-f]{6}" for kind in ("sim", "rep"))
 
 PROFILE = T.StructType(
     [T.StructField("user_id", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("username", "name", "provenance", "occupation", "activity_level")], T.StructField("interests", T.ArrayType(T.StringType()))]
 )
 
 
+class RunNotReadable(LookupError):
+    """A run whose folder isn't there."""
+
+
+def opened(spark: SparkSession, folder: str) -> Callable[[str, T.StructType], DataFrame]:
+    """A reader of a run's tables by name and schema, where a table that is absent has no rows. A folder that is absent is an error."""
+    if not exists(spark, folder):
+        raise RunNotReadable(folder)
+    return lambda name, schema: table_or_empty(spark, f"{folder}/{name}.parquet", schema)
+
+
 def table_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet table, or no rows of its schema if there's none."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
 
+def json_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Whole files of one JSON document each: ontologies, settings, reports."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def asked(spark: SparkSession, text: str, tables: dict[str, DataFrame], **arguments: object) -> DataFrame:
+    """SQL over the named tables (in braces) with parameters (:name). A parameter without a value is refused, rather than taken as null."""
+    if missing := set(re.findall(r"(?<![:\w]):([A-Za-z_]\w*)", re.sub(r"'[^']*'", "''", text))) - set(arguments):
+        raise ValueError(f"no value for {', '.join(sorted(missing))}")
+    return spark.sql(text, args=arguments, **tables)
+
+
 def population(spark: SparkSession, path: str) -> DataFrame:
     """Profiles from JSON arrays; those without an id, or with one below 0, are skipped."""
     return spark.read.schema(PROFILE).option("multiLine", True).json(path).where("user_id >= 0")
@@ -41,20 +65,41 @@ def partial(spark: SparkSession, path: str, schema: T.StructType, index: str = "
     return rows.groupBy(F.col(f"r.`{index}`").alias("_index")).agg(last.alias("r")).select(*[F.col(f"r.`{f.name}`") for f in schema.fields])
 
 
-def runs(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """The runs of a folder, newest first: the files named meta.json in folders that are named as runs are."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "meta.json").json(folder)
-    return rows.withColumn("sim_id", F.regexp_extract("_metadata.file_path", f"/({RUN_ID})/meta.json$", 1)).where("sim_id <> ''").orderBy(F.desc("sim_id"))
+def folders(spark: SparkSession, folder: str, schema: T.StructType, named: str, key: str, limit: int | None = None) -> DataFrame:
+    """The JSON documents in folders whose names match, with the name as key, newest first, as names begin with their time; a name may stand behind the key's own, as partitions have it."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
+    found = rows.withColumn(key, F.regexp_extract("_metadata.file_path", rf"/(?:{key}=)?({named})/[^/]+\.json$", 1)).where(F.col(key) != "").orderBy(F.desc(key))
+    return found if limit is None else found.limit(limit)
+
+
+def runs(spark: SparkSession, folder: str, schema: T.StructType, graph_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """The runs of a folder, newest first, of one graph or of all."""
+    found = folders(spark, folder, schema, RUN_ID, "sim_id")
+    found = found if graph_id is None else found.where(F.col("graph_id") == graph_id)
+    return found if limit is None else found.limit(limit)
+
+
+def reports(spark: SparkSession, folder: str, schema: T.StructType, sim_id: str | None = None) -> DataFrame:
+    """The reports of a folder, newest first, with their summaries' first 200 characters and how many of their references were checked and found."""
+    found = folders(spark, folder, schema, REPORT_ID, "report_id")
+    found = found if sim_id is None else found.where(F.col("sim_id") == sim_id)
+    return found.select("report_id", "sim_id", F.substring("summary", 1, 200).alias("summary"), F.coalesce("grounding.checked", F.lit(0)).alias("checked"), F.coalesce("grounding.resolved", F.lit(0)).alias("resolved"))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text, encoding, problem) of text files, decoded where they are read; what can't be used says why. Spark lists no empty files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", F.when(F.col("length") <= MOST_BYTES, F.col("content")).alias("content"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return decoded_files(files)
+
+
+def decoded_files(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(path, text, encoding, problem) of files (path, length, content)."""
+    files = files.select("path", "length", F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
     name = F.lower("path")
     allowed = F.lit(False)
     for e in EXTENSIONS:
         allowed = allowed | name.endswith(e)
-    why = F.when(~allowed, "extension").when(F.col("length") > MOST_BYTES, "too large")
+    why = F.when(~allowed, "extension").when(F.col("length") > most_bytes, "too large").when(F.col("length") == 0, "empty")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,3 +148,18 @@ def faults(profiles: DataFrame, required: tuple[str, ...] = ("user_id", "usernam
 def upserted(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """stored with new rows in place of those with their keys."""
     return stored.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def cached(keys: DataFrame, cache: DataFrame) -> DataFrame:
+    """keys (key) with the cache's vector, null where it has none; a key is looked up once, however often it is asked for."""
+    return keys.join(keys.select("key").distinct().join(cache.select("key", "vector"), "key"), "key", "left")
+
+
+def scored_rows(rows: DataFrame) -> DataFrame:
+    """Scores (post_id, score, stance, rationale) as they are stored: the rationale's blanks collapsed, 200 characters at most."""
+    return rows.select("post_id", "score", "stance", F.substring(F.trim(F.regexp_replace("rationale", r"\s+", " ")), 1, 200).alias("rationale"))
+
+
+def dropped(spark: SparkSession, path: str, column: str, value: object) -> bool:
+    """Deletes one partition of a table that is partitioned by column: a graph, a run, a model's vectors or a report. False if there was none."""
+    return removed(spark, f"{path}/{column}={value}")

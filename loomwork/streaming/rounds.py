@@ -6,12 +6,17 @@ a batch that runs again after a failure replaces what it left, and recovery need
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from loomwork.sources.shared import exists, removed
 
 
 def recorded(rows: DataFrame, number: int) -> DataFrame:
@@ -41,23 +46,24 @@ def rolled_back(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feed(stream: DataFrame, folder: str, checkpoint: str, most: int = 400) -> StreamingQuery:
-    """The last rows of a stream, by rid, as a table that each micro-batch replaces: those kept so far and its own."""
+    """The last rows of a stream, by rid: each micro-batch writes those kept so far and its own, and then deletes what the one before the last wrote. latest reads them."""
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         last = f"{folder}/batch={number - 1}"
         rows = batch
-        if number and _exists(spark, last):
+        if number and exists(spark, last):
             rows = spark.read.schema(batch.schema).parquet(last).unionByName(batch)
         rows.orderBy(F.desc("rid")).limit(most).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        removed(spark, f"{folder}/batch={number - 2}")  # the last one stays, in case this batch runs again
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    """What the newest micro-batch left of a feed."""
+    kept = spark.read.parquet(folder)
+    return kept.withColumn("_newest", kept.agg(F.max("batch")).scalar()).where("batch = _newest").drop("batch", "_newest")
 
 
 def scored_once(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
@@ -66,7 +72,7 @@ def scored_once(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], fol
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         todo = batch.where("trim(coalesce(content, '')) <> ''").dropDuplicates(["post_id"])
-        if _exists(spark, folder):
+        if exists(spark, folder):
             known = spark.read.parquet(folder).where(F.col("batch") != number).select("post_id")
             todo = todo.join(known, "post_id", "left_anti")
         asked = todo.select("post_id")
@@ -76,6 +82,53 @@ def scored_once(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], fol
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def appended(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Rows as JSON lines, each micro-batch in a folder of its own, which it replaces if it runs again."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{folder}/batch={number}")
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+TURN = "conv_id long, turn long, role string"
+
+
+def remembered_turns(stream: DataFrame, keep: int, folder: str, checkpoint: str) -> StreamingQuery:
+    """The last so many turns of each conversation (conv_id, turn, role), kept as state from batch to batch, in whatever order turns come; each batch writes the conversations that it changed. latest_turns reads the newest of each."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = pd.DataFrame(json.loads(state.get[0]) if state.exists else [], columns=["conv_id", "turn", "role"])
+        rows = pd.concat([known, *frames], ignore_index=True).drop_duplicates("turn").sort_values("turn").tail(keep)
+        state.update((rows.to_json(orient="records"),))
+        yield rows[["conv_id", "turn", "role"]]
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    kept = stream.groupBy("conv_id").applyInPandasWithState(update, TURN, "turns string", "update", GroupStateTimeout.NoTimeout)
+    return kept.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_turns(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(folder)
+    return rows.join(rows.groupBy("conv_id").agg(F.max("batch").alias("batch")), ["conv_id", "batch"], "left_semi").drop("batch")
+
+
+def refreshed(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Counts of actions (round, action) as a table that is made anew only when the highest round has moved; folder/rows has all rows, folder/counts=r what was made when round r came."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        rows = spark.read.schema(batch.schema).parquet(f"{folder}/rows")
+        newest = rows.agg(F.max("round")).first()[0]
+        if newest is not None and not exists(spark, f"{folder}/counts/round={newest}/_SUCCESS"):
+            rows.groupBy("action").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/counts/round={newest}")
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 SESSION = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("start", T.TimestampType()), T.StructField("end", T.TimestampType()), T.StructField("n", T.LongType())])
 
 
