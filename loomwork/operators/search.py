@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import match_kind, match_score
 
-#: Query vectors that are compared at once; more go in blocks.
-BLOCK = 4096
+#: Query vectors that are compared at once, and rows of a cell, about, where there are more.
+BLOCK, CELL = 4096, 50_000
 
 
 def lexical(entities: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -27,52 +28,70 @@ def lexical(entities: DataFrame, query: str, limit: int = 10) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, id, similarity, place): for each query (id, vector) the k most similar rows of vectors (id, vector) by cosine, ties by id.
 
-    Exact. Queries are read block by block, each of bounded size; a task keeps the k best of its rows for each query, and
-    only these are compared across tasks. Zero vectors have similarity 0; null vectors aren't compared.
+    Exact. Queries of one block go to all tasks, and a task keeps the k best of its rows for each of them. More queries and
+    the rows are dealt into the cells of a grid, blocks of queries by parts of rows, each cell of bounded size, and only
+    its k best leave a cell: the plan is the same for any number of blocks. Zero vectors have similarity 0; null vectors
+    aren't compared.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // block))
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        found = _block(vectors, [tuple(r) for r in part.where("vector is not null").select("id", "vector").collect()], queries.schema["id"].dataType.simpleString(), k)
-        out = found if out is None else out.unionByName(found)
-    return out
+    some, asked = (df.where("vector is not null").select("id", "vector") for df in (vectors, queries))
+    kinds = queries.schema["id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    blocks = max(1, -(-asked.count() // block))
+    found = _by_task(some, [tuple(r) for r in asked.collect()], kinds, k) if blocks == 1 else _by_cell(some, asked, kinds, k, blocks, max(1, -(-some.count() // CELL)))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _block(vectors: DataFrame, queries: list[tuple], id_type: str, k: int) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(queries)
-    schema = f"query_id {id_type}, id {vectors.schema['id'].dataType.simpleString()}, similarity double"
+def _units(x: np.ndarray) -> np.ndarray:
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [q for q, _ in shared.value]
-        if not ids:
+class _Best:
+    """The k most similar rows so far for each of some queries."""
+
+    def __init__(self, queries: list[tuple], k: int) -> None:
+        self.ids, self.k = [q for q, _ in queries], k
+        self.units = _units(np.array([v for _, v in queries], np.float64)) if queries else None
+        self.rows: list[list[tuple[float, object]]] = [[] for _ in queries]
+
+    def add(self, own: list, x: list) -> None:
+        if not own or not self.ids:
             return
-        q = unit(np.array([v for _, v in shared.value], np.float64))
-        best: list[list[tuple[float, object]]] = [[] for _ in ids]
+        similar = self.units @ _units(np.array(x, np.float64)).T
+        kept = min(self.k, len(own))
+        floor = -np.partition(-similar, kept - 1, axis=1)[:, kept - 1]
+        for i, rows in enumerate(self.rows):
+            at = np.flatnonzero(similar[i] >= floor[i])  # with ties, which the id decides
+            self.rows[i] = sorted([*rows, *((-float(similar[i, j]), own[j]) for j in at)])[: self.k]
+
+    def columns(self) -> tuple[list, list, list]:
+        flat = [(q, j, -s) for q, rows in zip(self.ids, self.rows, strict=True) for s, j in rows]
+        return tuple(map(list, zip(*flat, strict=True))) if flat else ([], [], [])
+
+
+def _by_task(vectors: DataFrame, queries: list[tuple], kinds: tuple[str, str], k: int) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast(queries)
+    target = pa.schema([("query_id", _arrow(kinds[0])), ("id", _arrow(kinds[1])), ("similarity", pa.float64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(shared.value, k)
         for batch in batches:
-            keep = pa.compute.is_valid(batch.column(1))
-            own, x = batch.column(0).filter(keep).to_pylist(), batch.column(1).filter(keep)
-            if not own:
-                continue
-            similar = q @ unit(np.array(x.to_pylist(), np.float64)).T
-            top = np.argpartition(-similar, min(k, similar.shape[1] - 1), axis=1)[:, :k] if similar.shape[1] > k else np.tile(np.arange(similar.shape[1]), (len(ids), 1))
-            floor = np.take_along_axis(similar, top, 1).min(axis=1)
-            for i in range(len(ids)):
-                at = np.flatnonzero(similar[i] >= floor[i])  # with ties, which the id decides
-                best[i] = sorted([*best[i], *((-float(similar[i, j]), own[j]) for j in at)])[:k]
-        rows = [(ids[i], j, -s) for i, found in enumerate(best) for s, j in found]
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        target = pa.schema([("query_id", _arrow(id_type)), ("id", _arrow(schema.split(", ")[1].split()[1])), ("similarity", pa.float64())])
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, target, strict=True)], schema=target)
-
-    found = vectors.select("id", "vector").mapInArrow(run, schema)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+            best.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(best.columns(), target, strict=True)], schema=target)
+
+    return vectors.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
+
+
+def _by_cell(vectors: DataFrame, queries: DataFrame, kinds: tuple[str, str], k: int, blocks: int, parts: int) -> DataFrame:
+    dealt = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    rows, asked = dealt(vectors, "part", parts, "block", blocks), dealt(queries, "block", blocks, "part", parts)
+
+    def cell(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        best = _Best(list(zip(q["id"], q["vector"], strict=True)), k)
+        best.add(x["id"].tolist(), x["vector"].tolist())
+        return pd.DataFrame(dict(zip(("query_id", "id", "similarity"), best.columns(), strict=True)))
+
+    return rows.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(cell, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
 
 
 def _arrow(name: str) -> pa.DataType:

@@ -106,9 +106,9 @@ def top14_evidence_posts(run: Run) -> DataFrame:
     return report.bundle(run.posts, feed.reactions()).select("post_id", "user_id")
 
 
-@query("SELECT d.doc_id AS post_id, string_agg(DISTINCT n.name, ',' ORDER BY n.name) AS names FROM documents d JOIN (SELECT DISTINCT substr(lower(text), 1, 12) AS name FROM benchmark) n ON contains(lower(d.text), n.name) GROUP BY d.doc_id")
+@query("SELECT d.doc_id AS post_id, string_agg(DISTINCT n.name, ',' ORDER BY n.name) AS names FROM documents d JOIN (SELECT DISTINCT lower(text) AS name FROM benchmark) n ON contains(lower(d.text), n.name) GROUP BY d.doc_id")
 def agg25_names_per_post(run: Run) -> DataFrame:
-    names = run.table("benchmark").select(F.substring(F.lower("text"), 1, 12).alias("normalised"))
+    names = run.table("benchmark").select(F.lower("text").alias("normalised"))
     found = memory.mentioned(run.table("documents").select(F.col("doc_id").alias("post_id"), F.lower("text").alias("normalised")), names)
     return found.groupBy("post_id").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("names"))
 

@@ -169,10 +169,11 @@ def fnm7_mbti(run: Run) -> DataFrame:
     return run.table("part").select("p_partkey", fv.mbti(bit(s % 3 > 0), bit(s % 5 == 0), bit(s % 2 == 0), bit(s >= 25)).alias("mbti"))
 
 
-@query("SELECT p_partkey, 3 AS n, p_brand AS first FROM part")
+@query("SELECT p_partkey, array_to_string(list_filter([p_brand, p_type, CASE WHEN p_size % 2 = 0 THEN 'size ' || p_size END, CASE WHEN p_size % 3 = 0 THEN 'sand' END], lambda x: x IS NOT NULL), '|') AS items FROM part")
 def fnm5_lists(run: Run) -> DataFrame:
-    listed = fv.listed(F.concat(F.col("p_brand"), F.lit("; ,"), F.col("p_type"), F.lit(" and "), F.col("p_size")))
-    return run.table("part").select("p_partkey", F.size(listed).alias("n"), listed[0].alias("first"))
+    """Two to four items, parted by marks and by the word and, but not inside another word."""
+    text = F.concat(F.col("p_brand"), F.lit("; ,"), F.col("p_type"), F.expr("if(p_size % 2 = 0, concat(' and  size ', p_size), ',')"), F.expr("if(p_size % 3 = 0, ',sand ', ' and ')"))
+    return run.table("part").select("p_partkey", F.array_join(fv.listed(text), "|").alias("items"))
 
 
 @query("SELECT doc_id, sha256('model|768|' || text) AS key FROM documents")
@@ -261,15 +262,14 @@ def join18_nearest(run: Run) -> DataFrame:
     return search.nearest(v, v.where("id % 50 = 0"), 5).select("query_id", "id", "place")
 
 
-@query()
+@query(_nested(["w AS (SELECT uuid, mention_count FROM entities WHERE type = 'Supplier' AND contains(lower(name), '0000000') ORDER BY mention_count DESC, name, uuid LIMIT 4)", "v AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 1)) AS s FROM embeddings)", "n AS (SELECT 'Supplier:' || vec_id AS uuid, row_number() OVER (ORDER BY s DESC, vec_id) AS place FROM v)"],
+    "SELECT uuid, arm FROM (SELECT uuid, 0 AS arm, -mention_count AS place FROM w UNION ALL SELECT uuid, 1, place FROM n WHERE place <= 12 AND uuid NOT IN (SELECT uuid FROM w)) u ORDER BY arm, place LIMIT 10"))
 def top7_hybrid_search(run: Run) -> DataFrame:
     """Suppliers by name, then by the vectors nearest to the first one's."""
-    e = run.entities.where("type = 'Supplier'")
-    words = search.lexical(e, "supplier#00000000", 4).select("uuid", "score", "name")
-    words = words.select("uuid", "score", (F.lit(10) - F.length("name")).alias("place"))
+    words = search.lexical(run.entities.where("type = 'Supplier'"), "0000000", 4).select("uuid", "score", (-F.col("mention_count")).alias("place"))
     near = search.nearest(_vectors(run), _vectors(run).where("id = 1"), 12)
-    vectors = near.select(F.concat(F.lit("Supplier:"), F.col("id")).alias("uuid"), F.col("similarity").alias("score"), "place")
-    return search.hybrid(words, vectors, 10)
+    vectors = near.select(F.concat(F.lit("Supplier:"), F.col("id")).alias("uuid"), F.col("similarity").alias("score"), F.col("place").cast("long").alias("place"))
+    return search.hybrid(words, vectors, 10).select("uuid", "arm")
 
 
 @query()
@@ -282,27 +282,27 @@ def top9_passages(run: Run) -> DataFrame:
 # ---- influence, memory, resolution and population ------------------------------------------------------------------
 
 
-@query(_nested(["acts AS (SELECT o_custkey AS source, CAST(o_orderkey // 3 AS BIGINT) AS post_id FROM orders WHERE o_orderkey % 4 = 0)", "found AS (SELECT a.source, p.o_custkey AS target FROM acts a JOIN orders p ON p.o_orderkey = a.post_id)"], "SELECT source, target, count(*) AS weight FROM found WHERE source <> target GROUP BY 1, 2"))
+@query(_nested(["acts AS (SELECT o_custkey AS source, CAST(o_orderkey // 3 AS BIGINT) AS post_id FROM orders)", "found AS (SELECT a.source, p.o_custkey AS target FROM acts a JOIN orders p ON p.o_orderkey = a.post_id)"], "SELECT source, target, count(*) AS weight FROM found WHERE source <> target GROUP BY 1, 2"))
 def join9_influence_edges(run: Run) -> DataFrame:
     return influence.edges(_amplified(run))
 
 
 def _amplified(run: Run) -> DataFrame:
     info = F.to_json(F.struct((F.col("o_orderkey").cast("long") - F.col("o_orderkey") % 3).alias("x"), F.expr("cast(o_orderkey div 3 as bigint)").alias("reposted_id")))
-    acts = run.table("orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("user_id"), influence.amplified_id(info).alias("post_id"))
+    acts = run.table("orders").select(F.col("o_custkey").alias("user_id"), influence.amplified_id(info).alias("post_id"))
     return influence.amplifications(acts, run.table("orders").select(F.col("o_orderkey").alias("post_id"), F.col("o_custkey").alias("user_id")))
 
 
-@query(_nested(["acts AS (SELECT o_custkey AS source, CAST(o_orderkey // 3 AS BIGINT) AS post_id FROM orders WHERE o_orderkey % 4 = 0)", "edge AS (SELECT a.source, p.o_custkey AS target, count(*) AS weight FROM acts a JOIN orders p ON p.o_orderkey = a.post_id WHERE a.source <> p.o_custkey GROUP BY 1, 2)",
-    "ends AS (SELECT target AS user_id, weight AS score, false AS mark, true AS e FROM edge UNION ALL SELECT source, 0, false, true FROM edge UNION ALL SELECT c_custkey, 0, true, false FROM customer WHERE c_custkey % 10 = 0)"],
+@query(_nested(["acts AS (SELECT o_custkey AS source, CAST(o_orderkey // 3 AS BIGINT) AS post_id FROM orders)", "edge AS (SELECT a.source, p.o_custkey AS target, count(*) AS weight FROM acts a JOIN orders p ON p.o_orderkey = a.post_id WHERE a.source <> p.o_custkey GROUP BY 1, 2)",
+    "ends AS (SELECT target AS user_id, weight AS score, false AS mark, true AS e FROM edge UNION ALL SELECT source, 0, false, true FROM edge UNION ALL SELECT c_custkey, 0, true, false FROM customer WHERE c_mktsegment = 'BUILDING')"],
     "SELECT user_id, sum(score) AS score, bool_or(mark) AS highlighted, bool_or(mark) AND NOT bool_or(e) AS isolated FROM ends GROUP BY user_id"))
 def agg14_influence_nodes(run: Run) -> DataFrame:
-    return influence.nodes(influence.edges(_amplified(run)), run.table("customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("user_id")))
+    return influence.nodes(influence.edges(_amplified(run)), run.table("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id")))
 
 
-@query("SELECT d.doc_id AS post_id, n.name AS name FROM documents d JOIN (SELECT DISTINCT substr(lower(text), 1, 12) AS name FROM benchmark) n ON contains(lower(d.text), n.name)")
+@query("SELECT d.doc_id AS post_id, n.name AS name FROM documents d JOIN (SELECT DISTINCT lower(text) AS name FROM benchmark) n ON contains(lower(d.text), n.name)")
 def join11_mentions(run: Run) -> DataFrame:
-    names = run.table("benchmark").select(F.substring(F.lower("text"), 1, 12).alias("normalised"))
+    names = run.table("benchmark").select(F.lower("text").alias("normalised"))
     return memory.mentioned(run.table("documents").select(F.col("doc_id").alias("post_id"), F.lower("text").alias("normalised")), names)
 
 
@@ -317,9 +317,10 @@ def top10_remembered(run: Run) -> DataFrame:
     return memory.remembered(rows, 12)
 
 
-@query()
+@query("""SELECT user_id, min(t) AS start, max(t) + 3600000000 AS "end", count(*) AS n FROM (SELECT user_id, t, sum(CASE WHEN t - before < 3600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) a) b GROUP BY user_id, session""")
 def str7_idle_sessions(run: Run) -> DataFrame:
-    return memory.idle_sessions(run.table("events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), 3600)
+    sessions = memory.idle_sessions(run.table("events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), 3600)
+    return sessions.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 
 def _mentions(run: Run) -> DataFrame:
@@ -334,13 +335,22 @@ def agg19_entities_by_name(run: Run) -> DataFrame:
     return resolve.by_name(_mentions(run)).select("type", "normalised", "mention_count", F.size("aliases").cast("long").alias("n_aliases"))
 
 
-@query()
+_NAMES = "names AS (SELECT p_brand AS type, lower(p_type) || ' ' || p_size AS normalised, min(p_partkey) AS chunk, count(*) AS mention_count, min_by(CASE p_partkey % 3 WHEN 0 THEN 'Dr ' WHEN 1 THEN 'the ' ELSE '' END || lower(p_type) || ' ' || p_size, p_partkey) AS name, len(string_split(p_type, ' ')) + 1 AS size FROM part GROUP BY p_brand, 2, p_type)"
+
+
+@query(_nested([_NAMES, "kept AS (SELECT a.type, a.normalised, coalesce(min_by(b.normalised, (-b.size, b.chunk, b.normalised)), a.normalised) AS keeper FROM names a LEFT JOIN names b ON a.type = b.type AND b.size >= 2 AND a.size >= 2 AND (a.normalised = b.normalised OR suffix(b.normalised, ' ' || a.normalised)) GROUP BY a.type, a.normalised)"],
+    "SELECT n.type, k.keeper, max(CASE WHEN n.normalised = k.keeper THEN n.name END) AS name, CAST(sum(n.mention_count) AS BIGINT) AS mention_count, false AS inferred, count(*) AS merged FROM names n JOIN kept k ON n.type = k.type AND n.normalised = k.normalised GROUP BY 1, 2"))
 def join19_aliases_merged(run: Run) -> DataFrame:
     entities = resolve.by_name(_mentions(run))
     return resolve.folded(entities, resolve.aliases_merged(entities)).drop("aliases", "first")
 
 
-@query()
+_ALIVE = "list_filter(g.alive, lambda x: x.label = v.label AND list_cosine_similarity(x.e, v.e) >= 0.9)"
+
+
+@query(f"""SELECT type, normalised, keeper FROM (WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, label, 'vector ' || vec_id AS name, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(label INTEGER, name VARCHAR, e DOUBLE[])[]) AS alive, '' AS type, '' AS normalised, '' AS keeper
+UNION ALL SELECT v.k, CASE WHEN len({_ALIVE}) = 0 THEN list_append(g.alive, {{'label': v.label, 'name': v.name, 'e': v.e}}) ELSE g.alive END, CAST(v.label AS VARCHAR), v.name, coalesce({_ALIVE}[1].name, v.name) FROM g JOIN v ON v.k = g.k + 1) SELECT * FROM g WHERE k > 0) q""")
 def join20_similar_merged(run: Run) -> DataFrame:
     e = run.table("embeddings").select(F.col("label").cast("string").alias("type"), F.concat(F.lit("vector "), F.col("vec_id")).alias("normalised"), F.col("vec_id").alias("position"), "embedding")
     return resolve.similar_merged(e, least_overlap=0.3, least_cosine=0.9)
@@ -375,11 +385,11 @@ def join25_population_replaced(run: Run) -> DataFrame:
     return population.replaced(run.profiles, new)
 
 
-@query("SELECT count(*) AS n, count(DISTINCT occupation) AS occupations FROM (SELECT p_type AS occupation FROM part GROUP BY p_type) o")
+@query("SELECT split_part(p_type || ' ' || p_brand, ' ', 1) AS sector, p_type || ' ' || p_brand AS occupation, CAST(2 AS BIGINT) AS n FROM part GROUP BY ALL")
 def fnr1_occupations(run: Run) -> DataFrame:
-    """As many places as there are occupations, so each comes once."""
-    o = run.table("part").select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("sector"), F.col("p_type").alias("occupation")).distinct()
-    return population.sampled_occupations(o, o.count()).agg(F.count("*").alias("n"), F.countDistinct("occupation").alias("occupations"))
+    """Twice as many places as there are occupations, so each comes twice, in its sector."""
+    o = run.table("part").select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("sector"), F.concat_ws(" ", "p_type", "p_brand").alias("occupation")).distinct()
+    return population.sampled_occupations(o, 2 * o.count()).groupBy("sector", "occupation").agg(F.count("*").alias("n"))
 
 
 @query()

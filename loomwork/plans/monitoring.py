@@ -99,10 +99,10 @@ def _likes(run: Run, disliked: bool) -> DataFrame:
 
 
 @query("""SELECT p.post_id, (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = p.post_id AND l_returnflag <> 'R') AS num_likes, (SELECT count(*) FROM lineitem l WHERE l.l_orderkey = p.post_id AND l_returnflag = 'R') AS num_dislikes,
-(SELECT count(*) FROM posts s WHERE s.original_post_id = p.post_id AND s.rid <= 5000) AS num_shares FROM posts p WHERE p.rid <= 5000""")
+(SELECT count(*) FROM posts s WHERE s.original_post_id = p.post_id) AS num_shares FROM posts p""")
 def agg12_recount(run: Run) -> DataFrame:
-    """Counters after posts beyond a mark are gone."""
-    return ledger.recounted(run.posts.where("rid <= 5000"), _likes(run, False), _likes(run, True)).select("post_id", "num_likes", "num_dislikes", "num_shares")
+    """Counters of all posts, made anew from what is left of the reactions."""
+    return ledger.recounted(run.posts, _likes(run, False), _likes(run, True)).select("post_id", "num_likes", "num_dislikes", "num_shares")
 
 
 @query("SELECT * FROM (SELECT 'trace' AS name, count(*) AS removed FROM trace WHERE rid > (SELECT trace_mark FROM ledger WHERE round = 3) UNION ALL SELECT 'message', count(*) FROM messages) r WHERE removed > 0")
