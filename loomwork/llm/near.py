@@ -1,9 +1,10 @@
 """N-gram Jaccard join: MinHash bands find candidates, which are verified on their full sets of word n-grams.
 
-Documents with equal sets are one class. Classes that share a band's hash are linked to the bucket's smallest class, and the
-components of those links are verified group by group: inside a group all pairs are compared by counting what they share, in
-blocks of bounded size, so no pair is ever a row and a large group is spread over many tasks. Each class returns with the
-number of documents it is linked to and one link to a root, whose components are the final groups.
+Documents with equal sets are one class. Classes that share a band's hash are a bucket, and buckets that share classes a
+component. A component that fits a block is compared in one task, so its sets are shuffled once. A larger one, which chains of
+chance collisions may have joined, is compared bucket by bucket, and a pair counts in the first bucket that it shares. Pairs are
+compared by counting what they share, in blocks of bounded size, so no pair is ever a row and a large bucket is spread over many
+tasks. Each class returns with the number of documents it is linked to and one link to a root, whose components are the final groups.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +25,7 @@ from loomwork.llm.graph import components
 NGRAM, THRESHOLD = 5, 0.8
 #: Share of the pairs at the threshold that bands must find, and hash functions at most.
 RECALL, MOST_HASHES = 0.9999, 96
-#: Documents and n-grams of a block of a large group, about.
+#: Documents and n-grams of a block, about.
 BLOCK_DOCS, BLOCK_GRAMS = 1024, 1_000_000
 #: N-grams that more documents of a block share are counted by a matrix product, the others pair by pair.
 OFTEN = 24
@@ -99,8 +100,8 @@ def signatures(documents: DataFrame, n: int, threshold: float, recall: float) ->
 
 
 def _verified(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """For one block, or two of one group: each class's number of linked documents, and the smallest class it is linked to through links here."""
-    frame = frame.drop_duplicates("k1").sort_values("k1", ignore_index=True)
+    """For one block, or two of one group: each class's number of linked documents, and the smallest class it is linked to through links here. Classes that share one of the bands in before are left to that band's bucket."""
+    frame = frame.drop_duplicates("node").sort_values("node", ignore_index=True)
     m = len(frame)
     sets = [np.frombuffer(x, np.uint64) for x in frame["set"]]
     size = np.array([len(x) for x in sets], np.int64)
@@ -137,6 +138,9 @@ def _verified(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     first, last = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
     if first != last:  # links inside a block are counted where it stands alone
         link &= blocks[:, None] != blocks[None, :]
+    if frame["band"].iloc[0] > 0:
+        for values in np.stack(frame["before"].to_list()).T:
+            link &= values[:, None] != values[None, :]
     links = link @ frame["n"].to_numpy(np.int64)
     root = np.arange(m)
     while True:  # the smallest in reach
@@ -146,8 +150,16 @@ def _verified(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
             break
         root = new
     some = links > 0
-    k1 = frame["k1"].to_numpy()
-    return pd.DataFrame({"k1": k1[some], "links": links[some], "root": k1[root[some]]})
+    node = frame["node"].to_numpy()
+    return pd.DataFrame({"node": node[some], "links": links[some], "root": node[root[some]]})
+
+
+def told_apart(classes: DataFrame) -> DataFrame:
+    """classes with a node of one number each: k1, or a hash of k1 and k2 where different classes share k1."""
+    shared = classes.groupBy("k1").count().where("count > 1").select("k1", F.lit(True).alias("shared"))
+    if shared.isEmpty():
+        return classes.withColumn("node", F.col("k1"))
+    return classes.join(shared, "k1", "left").withColumn("node", F.expr("if(shared, xxhash64(k1, k2), k1)")).drop("shared")
 
 
 def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -162,33 +174,52 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = written(signatures(docs, n, threshold, recall), "signatures")
     classes = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash")).alias("_all"), F.min(F.expr("if(doc_id is null, null, struct(doc_id, text_hash))")).alias("_id"), F.count("*").alias("n"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
-    classes = written(classes.select("k1", "k2", F.coalesce("_id", "_all").alias("rep"), "n", "grams", "bands"), "classes")
+    found = written(classes.select("k1", "k2", F.coalesce("_id", "_all").alias("rep"), "n", "grams", "bands"), "classes")
+    classes = told_apart(found)
     # Buckets of more than one class: every member is linked to the smallest.
-    members = classes.select("k1", F.posexplode("bands").alias("band", "hash"))
-    buckets = members.groupBy("band", "hash").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least <> most").select("band", "hash", "least")
-    groups = components(members.join(buckets, ["band", "hash"]).select(F.col("k1").alias("a"), F.col("least").alias("b")))
-    chosen = written(groups.select(F.col("node").alias("k1"), F.col("root").alias("group")).join(classes.select("k1", "k2", "rep", "n", "grams"), "k1"), "chosen")
-    sizes = chosen.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    wanted = chosen.join(sizes, "group").select("k1", "k2", "n", "group", "blocks", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"))
-    links = written(_links(docs, wanted, n, threshold), "links")
-    roots = components(links.select(F.col("k1").alias("a"), F.col("root").alias("b")))
-    counted = links.groupBy("k1").agg(F.sum("links").alias("links"))
-    joined = classes.join(roots.withColumnRenamed("node", "k1"), "k1", "left").join(counted, "k1", "left").select("k1", "k2", "n", F.col("rep.doc_id").alias("copy_id"), F.coalesce("root", "k1").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    members = classes.select("node", F.posexplode("bands").alias("band", "hash"))
+    buckets = members.groupBy("band", "hash").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "hash", "least")
+    groups = components(members.join(buckets, ["band", "hash"]).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    chosen = written(groups.select("node", F.col("root").alias("group")).join(classes.select("node", "rep", "n", "grams", "bands"), "node"), "chosen")
+    links = written(_links(docs, _dealt(chosen), n, threshold), "links")
+    roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = classes.join(roots, "node", "left").join(counted, "node", "left").select("k1", "k2", "n", F.col("rep.doc_id").alias("copy_id"), F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     # Only classes with more than one document or with links need to be looked up.
     joined = written(joined.where("n > 1 or links > 0"), "joined")
-    discarded(classes, chosen, links, groups, roots)
+    discarded(found, chosen, links, groups, roots)
     ids = joined.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     final = joined.join(ids, "root").select("k1", "k2", "copy_id", "class_id", (F.col("n") - 1 + F.col("links")).alias("n_links"))
     out = rows.select("doc_id", "text_hash", "k1", "k2").join(final, ["k1", "k2"], "left")
     return out.select("doc_id", "text_hash", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _blocks() -> Column:
+    return F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks")
+
+
+def _dealt(chosen: DataFrame) -> DataFrame:
+    """(node, n, doc_id, text_hash, bands, parts): parts are the groups (band, hash, blocks) in which a class is compared.
+
+    That is its component if this fits a block (band -1, without bands), or else its buckets, of which it has no more than there are bands.
+    """
+    placed = chosen.join(chosen.groupBy("group").agg(_blocks()), "group")
+    large = placed.where("blocks > 1")
+    spots = large.select("node", "grams", F.posexplode("bands").alias("band", "hash"))
+    buckets = spots.groupBy("band", "hash").agg(_blocks(), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    parts = spots.join(buckets, ["band", "hash"]).groupBy("node").agg(F.collect_list(F.struct("band", "hash", "blocks")).alias("parts"))
+    whole = F.array(F.struct(F.lit(-1).alias("band"), F.col("group").alias("hash"), "blocks")).alias("parts")
+    small = placed.where("blocks = 1").select("node", "n", "rep", F.lit(None).cast("array<bigint>").alias("bands"), whole)
+    wanted = small.unionByName(large.join(parts, "node").select("node", "n", "rep", "bands", "parts"))
+    return wanted.select("node", "n", "rep.*", "bands", "parts")
+
+
 def _links(docs: DataFrame, wanted: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(k1, links, root) from every block or pair of blocks of the candidate groups; wanted names one document for each class."""
+    """(node, links, root) from every block or pair of blocks of the groups; wanted names one document for each class."""
     rows = docs.withColumn("text_hash", F.xxhash64("text"))
     same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_hash"] == wanted["text_hash"])
     # A shuffle at every size: the number of candidates grows with the documents, so a broadcast would only suit small inputs.
-    found = rows.join(wanted.hint("merge"), same).select("k1", "n", "group", "blocks", "text")
+    found = rows.join(wanted.hint("merge"), same).select("node", "n", "bands", "parts", "text")
 
     def make():
         def apply(column):
@@ -202,11 +233,12 @@ def _links(docs: DataFrame, wanted: DataFrame, n: int, threshold: float) -> Data
 
         return apply
 
-    sets = columns_added(found, ["text"], [T.StructField("set", T.BinaryType())], make, keep=["k1", "n", "group", "blocks"])
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
+    sets = columns_added(found, ["text"], [T.StructField("set", T.BinaryType())], make, keep=["node", "n", "bands", "parts"])
+    sets = sets.withColumn("part", F.explode("parts")).select("node", "n", "set", "bands", "part.*")
+    sets = sets.withColumn("before", F.slice("bands", F.lit(1), F.greatest("band", F.lit(0)))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Block b meets every block: as (b, j) for j from b on, and as (i, b) before.
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k1", "n", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set")
-    return dealt.groupBy("group", "i", "j").applyInPandas(lambda f: _verified(f, threshold), "k1 long, links long, root long")
+    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "n", "band", "hash", "before", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set")
+    return met.groupBy("band", "hash", "i", "j").applyInPandas(lambda f: _verified(f, threshold), "node long, links long, root long")
 
 
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:

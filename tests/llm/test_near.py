@@ -53,7 +53,7 @@ def test_against_brute_force(spark, monkeypatch):
     docs = awkward(spark, cases(), clashing=True)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     expected = sorted(brute(rows), key=str)
-    for size in (near.BLOCK_DOCS, 16):  # one block for each group, and pairs of blocks
+    for size in (near.BLOCK_DOCS, 24, 4):  # whole components, buckets, and pairs of a bucket's blocks
         monkeypatch.setattr(near, "BLOCK_DOCS", size)
         got = near.jaccard_join(docs).collect()
         assert sorted([(r.doc_id, r.class_id, r.n_links) for r in got], key=str) == expected
@@ -81,3 +81,19 @@ def test_bands_reach_recall():
         bands, rows = near.bands_and_rows(threshold)
         assert bands * rows <= near.MOST_HASHES or rows == 1
         assert threshold < 0.6 or 1 - (1 - threshold**rows) ** bands >= near.RECALL
+
+
+def test_classes_of_one_number_are_told_apart(spark):
+    classes = spark.createDataFrame([(1, 5, "a"), (1, 6, "b"), (2, 5, "c")], "k1 long, k2 long, x string")
+    got = {r.x: r.node for r in near.told_apart(classes).collect()}
+    assert got["c"] == 2 and len(set(got.values())) == 3
+    assert [r.node for r in near.told_apart(classes.where("x <> 'b'")).orderBy("k1").collect()] == [1, 2]
+
+
+def test_chained_groups(spark, monkeypatch):
+    """Texts that a sliding stretch of words chains into one component, of which neighbours alone are similar."""
+    words = sentences(11, 1, 700)[0].split()
+    rows = [(i, " ".join(words[i * 6 : i * 6 + 100])) for i in range(90)]
+    monkeypatch.setattr(near, "BLOCK_DOCS", 16)
+    got = near.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted(brute(rows))
