@@ -8,6 +8,7 @@ import pytest
 
 from loomwork.functions import text as ft
 from loomwork.operators import chunking, graph, profiles, search, sentiment
+from loomwork.plans import knowledge, registry  # noqa: F401
 from loomwork.sources import files
 from loomwork.streaming import rounds
 
@@ -111,3 +112,19 @@ def test_feed_keeps_the_newest_over_batches(spark, tmp_path):
     rounds.feed(stream, f"file://{tmp_path}/feed", f"file://{tmp_path}/check", most=50).awaitTermination()
     assert sorted(r.rid for r in rounds.latest(spark, f"file://{tmp_path}/feed").collect()) == list(range(950, 1000))
     assert len(list((tmp_path / "feed").iterdir())) == 2
+
+
+def test_sentences_against_sql(spark):
+    """The SQL of the sentences on texts with paragraphs, abbreviations, numbers and marks of all kinds."""
+    import duckdb
+
+    texts = [
+        "Dr. Who met J. Smith at 3.5 p. m. on No. 12. It was 4. 5 came later!  \"Really?\" she said. (Yes.) So it was.\n\nNext etc.\n \t\nand lower. end",
+        "One.Two. Three...four? five! Six “seven.” Eight. Nine", "\n\n  \n", " . . ! a", "No end", "Mr.\n\nX.", "A. B? 12ab. c", "vs. \n\n\nThen. été. Été.", None, "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = chunking.split_sentences(docs).select("doc_id", "index", "start", "end", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(registry.ORACLES["fnt7_sentences"]).select("doc_id, index, start, \"end\", text").fetchall())
