@@ -50,10 +50,10 @@ def unit_interval(value: Column) -> Column:
     """Between 0 and 1: words, percentages, scales of ten and of a hundred; null if there's no number. A percentage is divided once."""
     text = F.regexp_replace(F.lower(F.trim(value)), "%+$", "")
     number = F.regexp_extract(text, r"-?\d+(?:\.\d+)?", 0)
-    n = F.nullif(number, F.lit("")).cast("double")
-    n = F.when(F.contains(value, F.lit("%")), n / 100).otherwise(n)
-    n = F.when((n > 1) & (n < 2), F.lit(1.0)).when((n >= 2) & (n <= 10), n / 10).when(n > 10, n / 100).otherwise(n)
-    return F.coalesce(_looked_up(text, LEVEL_WORDS), F.when(n.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), n))))
+    n = F.nullif(number, F.lit("")).cast("double") / F.when(F.contains(value, F.lit("%")), 100).otherwise(1)
+    # Each use of n is a copy of its expression, so there are few; what lies between 1 and 2 is cut to 1.
+    scaled = n / F.when(n < 2, 1).when(n <= 10, 10).otherwise(100)
+    return F.coalesce(_looked_up(text, LEVEL_WORDS), F.when(number != "", F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))))
 
 
 def age(value: Column) -> Column:
