@@ -131,39 +131,74 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BYTE_MUL))
 
 
+#: Long buffers are hashed in pieces of so many values, so that what is held beside the results stays small.
+PIECE = (1 << 20) - 1
+
+
+def rolling(values: np.ndarray, k: int, powers: _Powers, prepared: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """A hash of each k consecutive values: a difference of prefix sums, moved to the place 0. Pieces overlap by k - 1, and each begins with the power 0."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, PIECE):
+        b = min(n, a + PIECE)
+        part = values[a : b + k - 1]
+        up, down = powers.upto(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((prepared(part) if prepared else part) * up, out=sums[1:])
+        out[a:b] = mixed((sums[k:] - sums[:-k]) * down[: b - a] + np.uint64(k))
+    return out
+
+
+def _bounds(buffer: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end."""
+    starts, ends, before = [], [], False
+    for a in range(0, len(buffer), PIECE):
+        inside = is_word[buffer[a : a + PIECE]]
+        step = np.diff(inside.view(np.int8), prepend=np.int8(before))
+        starts.append(np.flatnonzero(step == 1) + a)
+        ends.append(np.flatnonzero(step == -1) + a)
+        before = bool(inside[-1])
+    if before:
+        ends.append(np.array([len(buffer)]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *starts]), np.concatenate([none, *ends])
+
+
+def _word_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each word the sum of its bytes' numbers times powers, in pieces: a word that goes on in the next piece gets what is there times the power of what it had."""
+    out = np.zeros(len(starts), np.uint64)
+    for a in range(0, len(buffer), PIECE):
+        part = buffer[a : a + PIECE]
+        lo, hi = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, a + len(part)))
+        if lo == hi:
+            continue
+        up, down = _BYTES.upto(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_TABLE[part] * up[:-1], out=sums[1:])
+        begin, end = np.maximum(starts[lo:hi] - a, 0), np.minimum(ends[lo:hi] - a, len(part))
+        value = (sums[end] - sums[begin]) * down[begin]
+        if starts[lo] < a:
+            value[0] *= np.uint64(pow(_BYTE_MUL, a - int(starts[lo]), 1 << 64))
+        out[lo:hi] += value
+    return mixed(out + (ends - starts).astype(np.uint64) * np.uint64(_SECOND_MUL))
+
+
 class Words:
     """The words of some texts, which were joined into one buffer: places, hashes and the text of each."""
 
     def __init__(self, data: bytes, offsets: np.ndarray, is_word: np.ndarray) -> None:
         """data: the texts' bytes, each followed by a separator; offsets: where each begins, and the end; is_word: by byte."""
-        buffer = np.frombuffer(data, np.uint8)
-        inside = np.empty(len(buffer) + 2, np.int8)
-        inside[0] = inside[-1] = 0
-        inside[1:-1] = is_word[buffer]
-        step = np.diff(inside)
         self.data = data
-        self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        self.starts, self.ends = _bounds(np.frombuffer(data, np.uint8), is_word)
         #: For text i: its words are those from first[i] to first[i + 1].
         self.first = np.searchsorted(self.starts, offsets)
-        up, down = _BYTES.upto(len(buffer) + 1)
-        sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(_TABLE[buffer] * up[:-1], out=sums[1:])
-        length = (self.ends - self.starts).astype(np.uint64)
-        self.hashes = mixed((sums[self.ends] - sums[self.starts]) * down[self.starts] + length * np.uint64(_SECOND_MUL))
-        self._sums: dict[int, np.ndarray] = {}
+        self.hashes = _word_hashes(np.frombuffer(data, np.uint8), self.starts, self.ends)
 
     def grams(self, k: int, second: bool = False) -> np.ndarray:
         """Hashes of each k consecutive words, by the first one's number; across texts too, which callers mask."""
-        n = len(self.hashes) - k + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        powers = _GRAMS2 if second else _GRAMS
-        up, down = powers.upto(len(self.hashes) + 1)
-        if second not in self._sums:
-            sums = self._sums[second] = np.zeros(len(self.hashes) + 1, np.uint64)
-            np.cumsum((mixed(self.hashes + np.uint64(_BYTE_MUL)) if second else self.hashes) * up[:-1], out=sums[1:])
-        sums = self._sums[second]
-        return mixed((sums[k:] - sums[:-k]) * down[:n] + np.uint64(k))
+        return rolling(self.hashes, k, _GRAMS2 if second else _GRAMS, (lambda x: mixed(x + np.uint64(_BYTE_MUL))) if second else None)
 
     def within(self, k: int) -> np.ndarray:
         """For each k consecutive words: whether one text holds them all."""

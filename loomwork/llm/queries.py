@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontamination, media, near, packing, pii, pseudo, quality, substrings, toxicity, warc
+from loomwork.llm import decontamination, media, near, packing, periodic, pii, pseudo, quality, substrings, toxicity, warc
 from loomwork.llm.common import table
 
 
@@ -56,7 +56,11 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quality, op4_decontamination, op5_ogg, op6_pii, op7_jaccard_join, op8_substring_dedup, op9_warc, op10_pseudo_likelihood)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.with_planted_periods(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quality, op4_decontamination, op5_ogg, op6_pii, op7_jaccard_join, op8_substring_dedup, op9_warc, op10_pseudo_likelihood, op11_periodic_runs)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
