@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontamination, media, near, packing, periodic, pii, pseudo, quality, ranking, substrings, toxicity, warc
+from loomwork.llm import decontamination, media, near, packing, periodic, pii, pseudo, quality, ranking, substrings, suffixes, toxicity, warc
 from loomwork.llm.common import table
 
 
@@ -64,7 +64,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quality, op4_decontamination, op5_ogg, op6_pii, op7_jaccard_join, op8_substring_dedup, op9_warc, op10_pseudo_likelihood, op11_periodic_runs, op12_lexical_search)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quality, op4_decontamination, op5_ogg, op6_pii, op7_jaccard_join, op8_substring_dedup, op9_warc, op10_pseudo_likelihood, op11_periodic_runs, op12_lexical_search, op13_suffix_dedup)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
