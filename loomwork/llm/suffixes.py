@@ -8,7 +8,8 @@ the order of the bytes before, show the outermost windows around each anchor tha
 
 Only anchors that a count-min sketch holds for repeated leave their tasks, with the windows around them as one segment; equal segments
 that a task holds leave it as one, and are settled. An anchor in too many different segments, as at the edges of a passage that all
-documents share, is no group: its windows are told apart by their own hashes instead, which spread. Equal texts are one text.
+documents share, is no group: its windows are told apart by their own hashes instead, in parts of bounded size, and once more across
+these. Equal texts are one text.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ PIECE_BYTES = 1 << 19
 HELD_BYTES, SORTED_BYTES = 1 << 25, 1 << 19
 #: Different segments of a group at most, and anchors that may have more: where segments are many, groups may be as large as a share of them.
 MOST_SEGMENTS, MOST_HOT = 512, 1 << 20
+#: Segments whose single windows are compared at once.
+HELD_SEGMENTS = 2048
 _PLACE = np.uint64((1 << 28) - 1)
 
 GONE = T.StructType([T.StructField(c, T.LongType()) for c in ("h1", "h2", "start", "end")])
@@ -355,51 +358,69 @@ def _outermost_rows(rows: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
 WINDOWS = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), *GONE.fields, T.StructField("many", T.IntegerType())])
 
 
-def _single_windows(window: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of segments the windows, by two hashes; those that a task holds twice are gone, and leave it as one."""
+def _windows_of(batch: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
+    """Two hashes of each window of the batch's segments, its segment, and its place there."""
+    texts = batch.column(batch.schema.get_field_index("segment")).to_pylist()
+    sizes = np.array([len(t) for t in texts], np.int64)
+    count = sizes - window + 1
+    values = common._TABLE[np.frombuffer(b"".join(texts), np.uint8)]
+    own = np.repeat(np.arange(len(texts)), count)
+    at = np.arange(len(own)) - np.r_[0, np.cumsum(count)[:-1]][own]
+    place = np.r_[0, np.cumsum(sizes)[:-1]][own] + at
+    return rolling(values, window, common._BYTES)[place], rolling(values, window, common._GRAMS, mixed)[place], own, at
+
+
+def _single_windows(window: int, sketch) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Windows of segments: those that stand twice among some thousand segments are gone; and once each those that others may have too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 4096):
-            texts = batch.column(batch.schema.get_field_index("segment")).to_pylist()
+        for batch in sliced(batches, HELD_SEGMENTS):
             h1, h2, start, many = (batch.column(batch.schema.get_field_index(c)).fill_null(0).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "start", "many"))
-            sizes = np.array([len(t) for t in texts], np.int64)
-            values = common._TABLE[np.frombuffer(b"".join(texts), np.uint8)]
-            begin = np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes - window + 1)
-            own = np.repeat(np.arange(len(texts)), sizes - window + 1)
-            at = np.arange(len(own)) - np.r_[0, np.cumsum(sizes - window + 1)[:-1]][own]
-            w1, w2 = (x[begin + at].view(np.int64) for x in (rolling(values, window, common._BYTES), rolling(values, window, common._GRAMS, mixed)))
+            w1, w2, own, at = _windows_of(batch, window)
             order = np.lexsort((w2, w1))
             new = np.r_[True, (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])]
             group = np.cumsum(new) - 1
             total = np.bincount(group, many[own[order]])
-            known = total[group] > 1  # in the order of hashes
-            lost = order[known & (many[own[order]] == 1)]
+            lost = order[(total[group] > 1) & (many[own[order]] == 1)]
             p = start[own[lost]] + at[lost]
             yield _gone_batch(h1[own[lost]], h2[own[lost]], p, p + window, WINDOWS, "w1")
             one = order[new]
-            twice = total > 1
+            may = sketch.value.may_repeat(w1[one])
+            one, twice = one[may], total[may] > 1
             owner = own[one]
             p = start[owner] + at[one]
-            columns = [pa.array(w1[one]), pa.array(w2[one]), *[pa.array(x, mask=twice) for x in (h1[owner], h2[owner], p, p + window)], pa.array(np.where(twice, 2, 1).astype(np.int32))]
+            columns = [pa.array(w1[one].view(np.int64)), pa.array(w2[one].view(np.int64)), *[pa.array(x, mask=twice) for x in (h1[owner], h2[owner], p, p + window)], pa.array(np.where(twice, 2, 1).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=WINDOWS.names)
 
     return run
 
 
+def _gone_singly(segments_: DataFrame, hot: DataFrame, window: int) -> DataFrame:
+    """(h1, h2, start, end) of windows that stand elsewhere too, of the segments of frequent anchors. Segments are dealt by anchor in parts of bounded size, so that few parts have a window; a sketch of each slice's windows holds back what no other slice has."""
+    salt = F.pmod(F.xxhash64("segment"), F.ceil(F.col("count") / MOST_SEGMENTS))
+    dealt = segments_.join(F.broadcast(hot), "anchor").withColumn("salt", salt).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+    dealt = written(dealt.select("h1", "h2", "start", "many", "segment"), "frequent")
+    bits = _bits(dealt.agg(F.sum(F.length("segment") - window + 1)).first()[0] or 0)
+    # Both passes read the same files in the same slices, so what two slices have is counted twice.
+    values = lambda batch: (np.unique(_windows_of(batch.slice(a, HELD_SEGMENTS), window)[0]) for a in range(0, batch.num_rows, HELD_SEGMENTS))
+    sketch = dealt.sparkSession.sparkContext.broadcast(_sketch(partition_sketches(dealt, bits, lambda: values), bits))
+    found = dealt.mapInArrow(_single_windows(window, sketch), WINDOWS)
+    found = found.withColumn("total", F.sum("many").over(Window.partitionBy("w1", "w2")))
+    return found.where("many is null or many = 1 and total > 1").select(*GONE.names)
+
+
 def _gone(found: DataFrame, window: int) -> DataFrame:
     """(h1, h2, start, end) of what stands elsewhere too, from a table of segments."""
     whole = found.where("segment is not null")
     counts = whole.groupBy("anchor").count()
     rows = counts.agg(F.sum("count")).first()[0] or 0
     # No more than MOST_HOT anchors can have more rows than this, so their broadcast is bounded.
-    hot = F.broadcast(counts.where(F.col("count") > max(MOST_SEGMENTS, rows // MOST_HOT)).select("anchor"))
-    groups = whole.join(hot, "anchor", "left_anti").select("anchor", "h1", "h2", "start", F.length("segment").alias("size"), "off", "many", "segment")
+    hot = written(counts.where(F.col("count") > max(MOST_SEGMENTS, rows // MOST_HOT)), "anchors")
+    groups = whole.join(F.broadcast(hot), "anchor", "left_anti").select("anchor", "h1", "h2", "start", F.length("segment").alias("size"), "off", "many", "segment")
     sorted_ = groups.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups(window), GONE)
-    windows = whole.join(hot, "anchor", "left_semi").select("h1", "h2", "start", "many", "segment").mapInArrow(_single_windows(window), WINDOWS)
-    windows = windows.withColumn("total", F.sum("many").over(Window.partitionBy("w1", "w2")))
-    single = windows.where("many is null or many = 1 and total > 1").select(*GONE.names)
     here = found.where("segment is null").select(*GONE.names)
-    return here.unionByName(sorted_).unionByName(single)
+    both = here.unionByName(sorted_)
+    return both if hot.limit(1).isEmpty() else both.unionByName(_gone_singly(whole, hot, window))
 
 
 def suffix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
