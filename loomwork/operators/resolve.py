@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomwork.functions.text import grounded_in, tokens
-from loomwork.sources.shared import scratch
+from loomwork.operators.cells import cells_of, compared, units, visiting
+from loomwork.operators.profiles import indexed
+from loomwork.sources.shared import written
 
 LEAST_OVERLAP, LEAST_COSINE = 0.5, 0.90
-#: Rows that are settled at once, on the driver.
-BLOCK = 8192
 
 
 def by_name(mentions: DataFrame) -> DataFrame:
@@ -53,88 +52,63 @@ def aliases_merged(entities: DataFrame) -> DataFrame:
     return found.select("type", "normalised", F.coalesce("order.name", "normalised").alias("keeper"))
 
 
-def _first_alike(x: np.ndarray, similar: np.ndarray, own: set[str], survivors: list[tuple[str, set[str], np.ndarray]], least_overlap: float, least_cosine: float) -> str | None:
-    """The first survivor (name, tokens, unit vector) with a shared token and both likenesses; similar: the cosines, but for rounding."""
-    for j in np.flatnonzero(similar >= least_cosine - 1e-9) if own else ():
-        name, other, y = survivors[j]
-        if own & other and (own <= other or other <= own or len(own & other) / len(own | other) >= least_overlap) and float(x @ y) >= least_cosine:
-            return name
-    return None
+def _alike(tokens_: list[set[str]], other: list[set[str]], x: np.ndarray, y: np.ndarray, kinds: tuple[list, list], order: tuple[np.ndarray, np.ndarray], least_overlap: float, least_cosine: float) -> Iterator[tuple[int, int]]:
+    """(i, j) where j comes before i, is of its type, shares a token, and is as like as must be in tokens and in direction."""
+    number: dict[object, int] = {}
+    of_x, of_y = (np.array([number.setdefault(k, len(number)) for k in some]) for some in kinds)
+    near = (x @ y.T >= least_cosine) & (of_x[:, None] == of_y[None, :]) & (order[1][None, :] < order[0][:, None])
+    for i, j in zip(*(k.tolist() for k in np.nonzero(near)), strict=True):
+        a, b = tokens_[i], other[j]
+        both = len(a & b)
+        if both and (both == min(len(a), len(b)) or both / (len(a) + len(b) - both) >= least_overlap):
+            yield i, j
 
 
-def _units(vectors: list) -> np.ndarray:
-    width = max((len(v) for v in vectors if v is not None), default=0)
-    x = np.array([v if v is not None else [0.0] * width for v in vectors], float).reshape(len(vectors), width)
-    length = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-
-
-def similar_merged(entities: DataFrame, least_overlap: float = LEAST_OVERLAP, least_cosine: float = LEAST_COSINE, block: int = BLOCK) -> DataFrame:
+def similar_merged(entities: DataFrame, least_overlap: float = LEAST_OVERLAP, least_cosine: float = LEAST_COSINE) -> DataFrame:
     """(type, normalised, keeper) of entities (type, normalised, position, embedding): in order of position, then name, each goes to the first survivor of its type that shares enough tokens and points the same way.
 
-    In rounds: of the first block undecided rows, whatever their types, the driver finds the survivors, as no undecided
-    row comes before these. All tasks compare their undecided rows with the new survivors. No pair is a row, and rows
-    alike are decided in the round in which their keeper is found. Rounds are at most rows / block.
+    Exact, in rounds: a row that no undecided earlier row is like survives, and rows that are like a new survivor are merged; so
+    of many rows alike all but one go in one round. What is compared are rows in the cells of their directions (see cells)
+    and those that visit these, in blocks: no pair is a row, nothing is settled on the driver, and no task has all of a type. Rounds are
+    as many as the longest chain in which each row is like one before it that is merged only for one before that: few,
+    unless names are made for it. Null positions come last; null or zero embeddings, and names without tokens, are like none.
     """
-    spark = entities.sparkSession
-    folder = scratch(spark, "similar")
-    schema = T.StructType([*entities.select("type", "normalised", "position", "embedding").schema.fields, T.StructField("row", T.LongType()), T.StructField("keeper", T.StringType())])
-    names = [f.name for f in schema]
-    first = entities.select("type", "normalised", "position", "embedding", F.monotonically_increasing_id().alias("row"), F.lit(None).cast("string").alias("keeper"))
-    first.write.parquet(f"{folder}/round=0")
-    k = 0
-    while True:
-        rest = spark.read.schema(schema).parquet(f"{folder}/round={k}").where("keeper is null")
-        head = rest.orderBy(F.asc_nulls_last("position"), "normalised", "row").limit(block).select("row", "type", "normalised", "embedding").toArrow().to_pydict()
-        if not head["row"]:
-            break
-        shared = spark.sparkContext.broadcast(_settled(head, least_overlap, least_cosine))
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            settled, survivors = shared.value
-            matrices = {kind: np.array([y for *_, y in found]) for kind, found in survivors.items()}
-            for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    batch = whole.slice(at, 512)
-                    kinds, own, vectors, rows = (batch.column(c).to_pylist() for c in (0, 1, 3, 4))
-                    keepers = [settled.get(r) for r in rows]
-                    by_kind: dict[object, list[int]] = {}
-                    for i, kind in enumerate(kinds):
-                        if keepers[i] is None and kind in survivors:
-                            by_kind.setdefault(kind, []).append(i)
-                    for kind, members in by_kind.items():
-                        x = _units([vectors[i] for i in members])
-                        similar = x @ matrices[kind].T if x.shape[1] else np.zeros((len(members), len(matrices[kind])))
-                        for n, i in enumerate(members):
-                            keepers[i] = _first_alike(x[n], similar[n], set((own[i] or "").split()), survivors[kind], least_overlap, least_cosine)
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(keepers, pa.string())], names=names)
-
-        k += 1
-        rest.mapInArrow(run, schema).write.parquet(f"{folder}/round={k}")
-        shared.unpersist()
-    done = spark.read.schema(schema).parquet(*[f"{folder}/round={j}" for j in range(k + 1)])
-    return done.where("keeper is not null").select("type", "normalised", "keeper")
-
-
-def _settled(head: dict[str, list], least_overlap: float, least_cosine: float) -> tuple[dict[int, str], dict[object, list]]:
-    """({row: keeper}, {type: survivors}) of rows in their order, one by one."""
-    settled: dict[int, str] = {}
-    survivors: dict[object, list] = {}
-    by_kind: dict[object, list[int]] = {}
-    for i, kind in enumerate(head["type"]):
-        by_kind.setdefault(kind, []).append(i)
-    for kind, members in by_kind.items():
-        x = _units([head["embedding"][i] for i in members])
-        alive, found = np.empty_like(x), survivors.setdefault(kind, [])
-        for n, i in enumerate(members):
-            name = head["normalised"][i]
-            own = set((name or "").split())
-            keeper = _first_alike(x[n], alive[: len(found)] @ x[n], own, found, least_overlap, least_cosine)
-            if keeper is None:
-                alive[len(found)] = x[n]
-                found.append((name, own, x[n]))
-            settled[head["row"][i]] = (name or "") if keeper is None else keeper
-    return settled, survivors
+    place = F.struct(F.col("position").isNull(), "position", "normalised", "row")
+    rows = written(entities.select("type", "normalised", "position", "embedding").withColumn("row", F.monotonically_increasing_id()), "similar")
+    rows = written(indexed(rows.withColumn("place", place), "place", index="order").drop("place", "position"), "similar")
+    some = rows.where("embedding is not null and normalised <> ''")
+    cells, placed = cells_of(some, some.count(), "embedding")
+    placed = written(visiting(placed.drop("angle"), cells, float(np.arccos(min(1.0, least_cosine))), "embedding"), "similar")
+
+    def against(members: DataFrame, visitors: DataFrame, found: str) -> DataFrame:
+        """(row, order, keeper): for visitors the first of the members before them that they are like, in each block."""
+
+        def run(own: pa.Table, new: pa.Table) -> pa.Table:
+            one, other = ([set((t or "").split()) for t in x["normalised"].to_pylist()] for x in (new, own))
+            order = tuple(x["order"].to_numpy() for x in (new, own))
+            first: dict[int, int] = {}
+            kinds = new["type"].to_pylist(), own["type"].to_pylist()
+            for i, j in _alike(one, other, units(new["embedding"].to_pylist()), units(own["embedding"].to_pylist()), kinds, order, least_overlap, least_cosine) if len(new) and len(own) else ():
+                if i not in first or order[1][j] < order[1][first[i]]:
+                    first[i] = j
+            names, rows = own["normalised"].to_pylist(), new["row"].to_pylist()
+            columns = [[rows[i] for i in first], [int(order[1][j]) for j in first.values()], [names[j] for j in first.values()]]
+            return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["row", "before", found])
+
+        return compared(members.drop("visits"), visitors.drop("cell"), cells, run, f"row long, before long, {found} string")
+
+    undecided, survivors = placed, None
+    while not undecided.limit(1).isEmpty():
+        blocked = against(undecided, undecided, "like").select("row").distinct()
+        new = written(undecided.join(blocked, "row", "left_anti"), "similar")
+        merged = against(new, undecided, "like").select("row").distinct()
+        left = written(undecided.join(new, "row", "left_anti").join(merged, "row", "left_anti"), "similar")
+        survivors = new if survivors is None else survivors.unionByName(new)
+        undecided = left
+    if survivors is None:
+        return rows.select("type", "normalised", F.coalesce("normalised", F.lit("")).alias("keeper"))
+    keepers = against(survivors, placed.join(survivors.select("row"), "row", "left_anti"), "keeper").groupBy("row").agg(F.min_by("keeper", "before").alias("keeper"))
+    return rows.join(keepers, "row", "left").select("type", "normalised", F.coalesce("keeper", "normalised", F.lit("")).alias("keeper"))
 
 
 def folded(entities: DataFrame, keepers: DataFrame) -> DataFrame:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import match_kind, match_score
+from loomwork.operators.cells import cells_of, compared, nearest_cell, units, visiting
+from loomwork.sources.shared import written
 
-#: Query vectors that are compared at once, and rows of a cell, about, where there are more.
-BLOCK, CELL = 4096, 50_000
+#: Query vectors that go to all tasks at once.
+BLOCK = 4096
 
 
 def lexical(entities: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -28,44 +29,39 @@ def lexical(entities: DataFrame, query: str, limit: int = 10) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, id, similarity, place): for each query (id, vector) the k most similar rows of vectors (id, vector) by cosine, ties by id.
 
-    Exact. Queries of one block go to all tasks, and a task keeps the k best of its rows for each of them. More queries and
-    the rows are dealt into the cells of a grid, blocks of queries by parts of rows, each cell of bounded size, and only
-    its k best leave a cell: the plan is the same for any number of blocks. Zero vectors have similarity 0; null vectors
-    aren't compared.
+    Exact. Queries of one block go to all tasks, and a task keeps the k best of its rows for each of them. More queries
+    visit cells of rows around pivots, and only those that can hold rows nearer than k that are known; the plan is the same for
+    any number of queries. Zero vectors have similarity 0; null vectors aren't compared. Null and repeated ids are spread as others
+    are; queries of one id are one query.
     """
     some, asked = (df.where("vector is not null").select("id", "vector") for df in (vectors, queries))
     kinds = queries.schema["id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
-    blocks = max(1, -(-asked.count() // block))
-    found = _by_task(some, [tuple(r) for r in asked.collect()], kinds, k) if blocks == 1 else _by_cell(some, asked, kinds, k, blocks, max(1, -(-some.count() // CELL)))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    found = _by_task(some, [tuple(r) for r in asked.collect()], kinds, k) if asked.count() <= block else _by_cell(some, asked, kinds, k)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc_nulls_last("id")))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _units(x: np.ndarray) -> np.ndarray:
-    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-
-
 class _Best:
     """The k most similar rows so far for each of some queries."""
 
     def __init__(self, queries: list[tuple], k: int) -> None:
         self.ids, self.k = [q for q, _ in queries], k
-        self.units = _units(np.array([v for _, v in queries], np.float64)) if queries else None
-        self.rows: list[list[tuple[float, object]]] = [[] for _ in queries]
+        self.units = units(v for _, v in queries)
+        #: Similarities below zero, so that they sort, whether the id is null, and the id.
+        self.rows: list[list[tuple[float, bool, object]]] = [[] for _ in queries]
 
     def add(self, own: list, x: list) -> None:
         if not own or not self.ids:
             return
-        similar = self.units @ _units(np.array(x, np.float64)).T
+        similar = self.units @ units(x).T
         kept = min(self.k, len(own))
         floor = -np.partition(-similar, kept - 1, axis=1)[:, kept - 1]
         for i, rows in enumerate(self.rows):
             at = np.flatnonzero(similar[i] >= floor[i])  # with ties, which the id decides
-            self.rows[i] = sorted([*rows, *((-float(similar[i, j]), own[j]) for j in at)])[: self.k]
+            self.rows[i] = sorted([*rows, *((-float(similar[i, j]), own[j] is None, 0 if own[j] is None else own[j]) for j in at)])[: self.k]
 
     def columns(self) -> tuple[list, list, list]:
-        flat = [(q, j, -s) for q, rows in zip(self.ids, self.rows, strict=True) for s, j in rows]
+        flat = [(q, None if none else j, -s) for q, rows in zip(self.ids, self.rows, strict=True) for s, none, j in rows]
         return tuple(map(list, zip(*flat, strict=True))) if flat else ([], [], [])
 
 
@@ -82,16 +78,26 @@ def _by_task(vectors: DataFrame, queries: list[tuple], kinds: tuple[str, str], k
     return vectors.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
 
 
-def _by_cell(vectors: DataFrame, queries: DataFrame, kinds: tuple[str, str], k: int, blocks: int, parts: int) -> DataFrame:
-    dealt = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    rows, asked = dealt(vectors, "part", parts, "block", blocks), dealt(queries, "block", blocks, "part", parts)
-
-    def cell(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(list(zip(q["id"], q["vector"], strict=True)), k)
-        best.add(x["id"].tolist(), x["vector"].tolist())
-        return pd.DataFrame(dict(zip(("query_id", "id", "similarity"), best.columns(), strict=True)))
-
-    return rows.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(cell, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
+def _by_cell(vectors: DataFrame, queries: DataFrame, kinds: tuple[str, str], k: int) -> DataFrame:
+    """Each query's own cell gives k rows that are near, and so an angle within which all that it needs is; then it visits the cells that reach into that angle."""
+    rows = written(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asked = written(queries.withColumn("row", F.monotonically_increasing_id()), "queries")
+    cells, placed = cells_of(rows, rows.count())
+    placed = written(placed.drop("angle"), "placed")
+
+    def best(x: pa.Table, q: pa.Table) -> pa.Table:
+        best = _Best(list(zip(zip(q["row"].to_pylist(), q["id"].to_pylist(), strict=True), q["vector"].to_pylist(), strict=True)), k)
+        best.add(x["id"].to_pylist(), x["vector"].to_pylist())
+        keys, ids, similar = best.columns()
+        columns = [r for r, _ in keys], [i for _, i in keys], ids, similar
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *map(_arrow, kinds), pa.float64()), strict=True)], names=["row", "query_id", "id", "similarity"])
+
+    schema = f"row long, query_id {kinds[0]}, id {kinds[1]}, similarity double"
+    at_home = nearest_cell(asked, cells).withColumn("visits", F.array("cell")).drop("cell", "angle")
+    near = compared(placed, at_home, cells, best, schema)
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("similarity")))).where(F.col("r") == k)
+    reach = asked.join(ranked.select("row", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "similarity"))).alias("reach")), "row", "left")
+    return compared(placed, visiting(reach, cells, "reach").drop("reach"), cells, best, schema).drop("row")
 
 
 def _arrow(name: str) -> pa.DataType:

@@ -384,10 +384,17 @@ def agg18_attributes_folded(run: Run) -> DataFrame:
     return resolve.attributes_folded(v).select("type", "normalised", "key", "value", F.size("conflicts").cast("long").alias("n_conflicts"))
 
 
-@query("SELECT user_id, CASE WHEN r > 1 THEN 'user_' || (user_id % 40) || '_' || r ELSE 'user_' || (user_id % 40) END AS username FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id % 40 ORDER BY user_id) AS r FROM users) x")
+# A loop over the people in their order, which holds the handles so far: each takes the first of slug, slug_2 and so on that isn't among them.
+@query("""SELECT user_id, username FROM (WITH RECURSIVE people AS (SELECT user_id, row_number() OVER (ORDER BY user_id) AS n, 'user_' || (user_id % 40) || CASE WHEN user_id % 3 = 0 THEN '_' || (user_id % 7) ELSE '' END || CASE WHEN user_id % 15 = 0 THEN '_2' ELSE '' END AS slug FROM users),
+taken AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS user_id, CAST(NULL AS VARCHAR) AS username, CAST([] AS VARCHAR[]) AS handles
+  UNION ALL SELECT n, user_id, username, list_append(handles, username) FROM (SELECT p.n, p.user_id, t.handles,
+    list_filter(list_transform(range(1, len(t.handles) + 2), lambda k: CASE WHEN k = 1 THEN p.slug ELSE p.slug || '_' || k END), lambda h: NOT list_contains(t.handles, h))[1] AS username FROM taken t JOIN people p ON p.n = t.n + 1) x)
+SELECT user_id, username FROM taken WHERE n > 0) q""")
 def win3_usernames(run: Run) -> DataFrame:
-    people = run.users.select("user_id", F.concat(F.lit("User "), F.col("user_id") % 40).alias("name"))
-    return population.usernames(people).select("user_id", "username")
+    """Names that are shared, and names that are others' numbered handles."""
+    u = F.col("user_id")
+    name = F.concat(F.lit("User "), u % 40, F.when(u % 3 == 0, F.concat(F.lit(" "), u % 7)).otherwise(""), F.when(u % 15 == 0, " 2").otherwise(""))
+    return population.usernames(run.users.select("user_id", name.alias("name"))).select("user_id", "username")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE provenance = 'named') AS named, count(*) FILTER (WHERE provenance = 'synthetic') AS synthetic FROM profiles")

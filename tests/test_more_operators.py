@@ -5,17 +5,19 @@ import random
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.functions import text as ft
-from loomwork.operators import chunking, graph, profiles, search, sentiment
+from loomwork.operators import cells, chunking, graph, profiles, search, sentiment
 from loomwork.plans import knowledge, registry  # noqa: F401
 from loomwork.sources import files
 from loomwork.streaming import rounds
 
 
 def test_nearest_in_cells(spark, monkeypatch):
-    """Blocks of queries by parts of rows give what one block gives, with ties, zeros and nulls."""
-    monkeypatch.setattr(search, "CELL", 40)
+    """Cells that queries visit give what one block of queries gives, with ties, zeros and nulls."""
+    monkeypatch.setattr(cells, "MEMBERS", 20)
+    monkeypatch.setattr(cells, "BLOCK", 16)
     rng = random.Random(3)
     rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(150)] + [(200, [0.0] * 4), (201, None)]
     v = spark.createDataFrame(rows, "id long, vector array<double>")
@@ -35,6 +37,21 @@ def test_nearest_in_cells(spark, monkeypatch):
     assert search.nearest(v.limit(0), asked, 4, 6).count() == search.nearest(v, asked.limit(0), 4).count() == 0
 
 
+def test_cells_are_left_out(spark, monkeypatch):
+    """Rows around a few directions: queries visit few of the cells, and find the nearest all the same, with null and repeated ids."""
+    monkeypatch.setattr(cells, "MEMBERS", 30)
+    rng = random.Random(8)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    rows = [(k if k % 9 else None if k % 2 else 5, [c + rng.gauss(0, 0.05) for c in centres[k % 12]]) for k in range(900)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    found, placed = cells.cells_of(v.withColumn("row", F.monotonically_increasing_id()), 900)
+    visits = cells.visiting(placed, found, 0.4).select(F.size("visits").alias("n"), F.array_contains("visits", F.col("cell")).alias("home")).collect()
+    assert len(found.radii) == 30 and all(r.home for r in visits) and sum(r.n for r in visits) < 900 * 30 / 3
+    asked = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(rows[:300])], "id long, vector array<double>")
+    one, many = (sorted((r.query_id, r.place, str(r.id), round(r.similarity, 9)) for r in search.nearest(v, asked, 7, block).collect()) for block in (4096, 100))
+    assert one == many and len(one) == 2100
+
+
 def test_neighbourhood_plan_is_linear(spark):
     nodes = spark.createDataFrame([(f"n{k}",) for k in range(40)], "uuid string")
     edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(39)], "src string, dst string")

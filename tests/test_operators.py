@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.operators import chunking, ledger, population, quotes, resolve
+from loomwork.operators import cells, chunking, ledger, population, quotes, resolve
 from loomwork.sources import files
 from loomwork.streaming import rounds
 from tests.conftest import SF
@@ -153,9 +153,12 @@ def test_similar_merge_in_rounds(spark, monkeypatch):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "type string, normalised string, position long, embedding array<double>").repartition(5)
     monkeypatch.setattr(type(df.groupBy("type")), "applyInPandas", None)  # no type goes to one task
-    for block in (7, 10_000):
-        got = {(r.type, r.normalised): r.keeper for r in resolve.similar_merged(df, 0.3, 0.8, block).collect()}
+    for members, block in ((2048, 4096), (40, 16)):  # one cell, and several in small blocks
+        monkeypatch.setattr(cells, "MEMBERS", members)
+        monkeypatch.setattr(cells, "BLOCK", block)
+        got = {(r.type, r.normalised): r.keeper for r in resolve.similar_merged(df, 0.3, 0.8).collect()}
         assert got == _greedy(rows, 0.3, 0.8)
+    assert resolve.similar_merged(df.limit(0)).collect() == []
 
 
 def test_alias_merge_without_groups(spark, monkeypatch):
