@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -244,8 +244,11 @@ def _links(docs: DataFrame, wanted: DataFrame, n: int, threshold: float) -> Data
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with the columns they had, without those that are linked, over any number of links, to one with a smaller id. Rows that repeat an id and its text count once, rows with a null id stay, as do null and empty texts."""
     found = written(jaccard_join(documents, id_col, text_col, n, threshold), "near")
-    if not found.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).isEmpty():
-        documents = documents.dropDuplicates([id_col, text_col])
-    gone = found.where("class_id <> doc_id").select("doc_id", "text_hash").distinct()
+    gone = found.where("class_id <> doc_id").select("doc_id", "text_hash", F.lit(0).cast("long").alias("own")).distinct()
+    # A number of its own for each row without an id: it repeats no other row, and those of one text are spread.
     rows = documents.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
-    return rows.join(gone, ["doc_id", "text_hash"], "left_anti").select("row.*")
+    rows = rows.withColumn("own", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0)))
+    stay = rows.join(gone, ["doc_id", "text_hash", "own"], "left_anti")
+    # The join has dealt and sorted the rows by these keys, so the window shuffles nothing.
+    first = F.row_number().over(Window.partitionBy("doc_id", "text_hash", "own").orderBy("own"))
+    return stay.withColumn("place", first).where("place = 1").select("row.*")

@@ -69,6 +69,31 @@ def test_one_of_each(spark):
     assert sorted(map(str, [r.doc_id for r in kept.collect()])) == sorted(map(str, expected))
 
 
+def test_one_of_each_with_rows_that_repeat(spark):
+    """Rows without an id stay whatever else repeats; of rows that repeat an id and its text one stays."""
+    none, some = [(None, "no id, some words of a text that stands twice")] * 2, (1, "another text, of other words than the first one")
+    for rows, kept in (([*none, some], 3), ([*none, some, some], 3), ([*none, some, some, (2, some[1]), (3, None), (3, None), (4, "")], 5)):
+        docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, own string")
+        got = sorted(map(tuple, near.one_of_each(docs).collect()), key=str)
+        assert len(got) == kept and sum(r[0] is None for r in got) == 2 and sum(r[0] == 1 for r in got) == 1
+        assert near.one_of_each(docs).columns == docs.columns
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of texts of which a few words differ, as many as leave 0.8 to 0.83 of the n-grams."""
+    texts, links = [], 0
+    for k in range(150):
+        w = [f"w{k}x{n}" for n in range(100)]
+        v = list(w)
+        v[50] = v[51] = "changed"  # 6 of 96 n-grams, and 3 more at either end
+        v = v[2:] + ["more"] * 2
+        texts += [" ".join(w), " ".join(v)]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, v))
+        links += len(a & b) / len(a | b) >= 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert links > 100 and sum(r.n_links for r in near.jaccard_join(docs).collect()) == 2 * links
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
