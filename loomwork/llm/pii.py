@@ -27,10 +27,12 @@ KINDS = ("email", "ip", "card", "phone")
 #: The kinds that the field knows, in the order in which equal starts are listed.
 ALL_KINDS = (*KINDS, "secret")
 #: Documents, zones of each, and zones in all that the field learns from, at most.
-TRAIN_DOCS, ZONES_EACH, TRAIN_ZONES = 3_000, 8, 600
-#: Longer zones are not learned from.
+TRAIN_DOCS, ZONES_EACH, TRAIN_ZONES = 3_000, 8, 1_500
+#: Longer zones are learned from in parts.
 LONGEST = 600
 MOST_TOKENS = 24
+#: Digits of a number that may be a card's or a phone's, at most.
+MOST_DIGITS = 19
 #: Characters that a zone reaches beyond a trigger.
 REACH = 40
 #: An added span must beat the best split without it by so much in log-probability.
@@ -104,6 +106,10 @@ _SECRET = re.compile(r"[A-Za-z0-9_/+=-]{16,}")
 _RUN, _RUN_MARKS = re.compile(r"[A-Za-z0-9_/+=.%@-]*"), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_/+=.%@-"
 _KEY_WORD = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|key|credential)s?[\"']?\s*[:=]\s*[\"']?$")
 _NUMBER = re.compile(r"[+(]?[0-9][0-9 ().\-/]*[0-9]")
+#: Four numbers with the same between them: a dot, as such, in a word or in brackets, or a blank.
+_SPELLED_IP = re.compile(r"(?i)[0-9]+(\s?[\[(](?:dot|\.)[\])]\s?|\sdot\s|\s?\.\s?|\s)[0-9]+(?:\1[0-9]+){2}")
+#: Tokens that numbers, addresses and secrets may have.
+_IN_NUMBER, _IN_MAIL, _IN_SECRET = re.compile(r"(?i)[0-9]+|\s+|[().\-/+\[\]]|dot"), re.compile(r"[A-Za-z0-9]+|\s|[._%+\-@\[\]()]"), re.compile(r"[A-Za-z0-9]+|[_/+=\-]")
 
 
 @dataclass
@@ -182,14 +188,28 @@ def candidates(z: Zone, use_blocked: bool = False) -> list[tuple[int, int, str,
     free = [len(z.tokens)] * (len(z.tokens) + 1)  # where the next blocked token is
     for i in range(len(z.tokens) - 1, -1, -1) if not use_blocked else ():
         free[i] = i if z.blocked[i] else free[i + 1]
+    pieces = [z.text[a:b] for a, b in z.tokens]
+    # Up to where tokens are of a kind, where the next at-sign is, and digits so far: what can't be an entity is never looked at.
+    number, mail, secret = (_reach(pieces, kind) for kind in (_IN_NUMBER, _IN_MAIL, _IN_SECRET))
+    sign, digits = [len(pieces)] * (len(pieces) + 1), [0]
+    for i in range(len(pieces) - 1, -1, -1):
+        sign[i] = i if pieces[i] == "@" or pieces[i].lower() == "at" else sign[i + 1]
+    for p in pieces:
+        digits.append(digits[-1] + (len(p) if p.isascii() and p.isdigit() else 0))
     for i, (a, _) in enumerate(z.tokens):
         if z.blocked[i] and not use_blocked or z.text[a].isspace():
             continue
         head = z.text[a]
         if not (head.isalnum() and head.isascii() or head in "+(_-%."):
             continue
-        stop = free[i]
+        address = mail[i] if sign[i] < mail[i] else i
+        stop = min(free[i], max(number[i], address, secret[i]))
         for j in _ends(i, stop, run_at, run_inside):
+            n = digits[j] - digits[i]
+            if not (j <= number[i] and 4 <= n <= MOST_DIGITS or sign[i] < j <= address or j <= secret[i] and n):
+                if j > max(address, secret[i]) and n > MOST_DIGITS:
+                    break
+                continue
             b = z.tokens[j - 1][1]
             tail = z.text[b - 1]
             if not (tail.isascii() and tail.isalnum() or tail in "=_-"):
@@ -200,6 +220,14 @@ def candidates(z: Zone, use_blocked: bool = False) -> list[tuple[int, int, str,
     return out
 
 
+def _reach(pieces: list[str], kind: re.Pattern) -> list[int]:
+    """For each token the next one that isn't of the kind."""
+    out = [len(pieces)] * (len(pieces) + 1)
+    for i in range(len(pieces) - 1, -1, -1):
+        out[i] = out[i + 1] if kind.fullmatch(pieces[i]) else i
+    return out
+
+
 def span_features(s: str, left: str, right: str) -> Iterator[tuple[str, tuple[str, ...]]]:
     """What tells of a whole candidate, for each kind that it might be."""
     clean = ("open" if left[-1:].isalnum() or left[-1:] in ("@", "+") else "edge") + ("open" if right[:1].isalnum() or right[:1] == "@" else "edge")
@@ -208,20 +236,21 @@ def span_features(s: str, left: str, right: str) -> Iterator[tuple[str, tuple[st
         end = re.split(r"[.\s\])]", s)[-1]
         more = re.match(r"(?i)(?:\.|\s?[\[(]dot[\])]\s?|\sdot\s)[a-z0-9]", right + "  ") is not None
         yield "email", (clean, "sign" if "@" in s else "bracket" if "[" in s or "(" in s else "word", "top" if 2 <= len(end) <= 6 and end.isalpha() else "no top", "goes on" if more or right[:1] == "." and right[1:2].isalnum() else "ends", "digits" if digits else "letters")
-    if len(digits) >= 4 and _NUMBER.fullmatch(s):
-        n = len(digits)
-        size = "few" if n < 7 else "local" if n < 10 else "phone" if n <= 13 else "card" if n <= 19 else "many"
-        marks = "plain" if s.isdigit() else "dots" if set(s) <= set("0123456789.") else "dashes" if set(s) <= set("0123456789- ") else "mixed"
+    near = "number" if re.search(r"[0-9+][ .()-]?$", left) or left[-1:] == "(" and right[:1] != ")" or re.match(r"[ .()-]?[0-9]", right) else "alone"
+    if 4 <= len(digits) <= MOST_DIGITS and _NUMBER.fullmatch(s):
+        n, marked = len(digits), set(s) - set("0123456789")
+        size = "few" if n < 7 else "local" if n < 10 else "phone" if n <= 13 else "card"
+        marks = "plain" if not marked else "dots" if marked == {"."} else "dashes" if marked <= {" ", "-"} else "slashes" if marked <= {" ", "/"} else "mixed"
         start = "plus" if s[0] == "+" else "round" if s[0] == "(" else "digit"
-        near = "number" if re.search(r"[0-9+(][ .()-]?$", left) or re.match(r"[ .()-]?[0-9]", right) else "alone"
+        start = start if s.count("(") == s.count(")") else "torn"
         groups = ".".join(str(len(x)) for x in re.split(r"[^0-9]+", s) if x)
         if n >= 7 and s[0] != "0":
             yield "phone", (clean, size, marks, start, near, "groups " + groups[-7:])
-        if 12 <= n <= 19 and start == "digit":
+        if 12 <= n and start == "digit":
             yield "card", (clean, size, marks, near, "luhn" if luhn(digits) else "no luhn", "fours" if groups.startswith("4.4.4") else "other")
-        parts = re.split(r"[.\s]+", s)
-        if len(parts) == 4 and start == "digit" and set(s) <= set("0123456789. ") and all(map(_small, parts)):
-            yield "ip", (clean, near, "dots" if s.count(".") == 3 and " " not in s else "gaps")
+    if digits and s[0].isdigit() and _SPELLED_IP.fullmatch(s) and all(map(_small, parts := re.findall("[0-9]+", s))):
+        words = "words" if re.search("[a-zA-Z]", s) else "brackets" if "[" in s or "(" in s else "dots" if s.count(".") == 3 and not re.search(r"\s", s) else "gaps"
+        yield "ip", (clean, near, words, "short" if all(len(p) < 2 for p in parts) else "long")
     if len(s) >= 16 and digits and _SECRET.fullmatch(s):
         hexes = sum(c in "0123456789abcdefABCDEF" for c in s) / len(s)
         yield "secret", (clean, "hex" if hexes == 1 else "word" if hexes < 0.5 else "mixed", "named" if _KEY_WORD.search(left) else "unnamed", "long" if len(s) >= 28 else "short", "quoted" if left[-1:] in "\"'" and right[:1] in ("'", '"') and left else "bare", "number" if s.isdigit() else "letters")
@@ -263,36 +292,42 @@ class Field:
 
 
 def trained(examples: list[Zone], rounds: int = 40, rate: float = 0.5, ridge: float = 0.005) -> Field:
-    """Conditional likelihood by gradient steps; expectations come from forward and backward sums over segments."""
+    """Conditional likelihood by gradient steps; expectations come from forward and backward sums over segments, token by token for all zones at once."""
     names: dict[tuple[str, str], int] = {}
-    rows = []
-    for z in examples:
+    zone_of, begin, end, right, flat, many = [], [], [], [], [], []
+    for n, z in enumerate(examples):
         gold = {(a, b, k) for a, b, k in z.gold}
-        found, right = [], []
         for i, j, kind, features in candidates(z, use_blocked=True):
-            found.append((i, j, np.array([names.setdefault((kind, f), len(names)) for f in ("", *features)])))
+            zone_of.append(n)
+            begin.append(i)
+            end.append(j)
+            flat += [names.setdefault((kind, f), len(names)) for f in ("", *features)]
+            many.append(1 + len(features))
             right.append((z.tokens[i][0], z.tokens[j - 1][1], kind) in gold)
-        if found:
-            rows.append((len(z.tokens), found, np.array(right, bool)))
+    if not many:
+        return Field()
+    zone_of, begin, end, flat, many = (np.array(x) for x in (zone_of, begin, end, flat, many))
+    right, first = np.array(right, float), np.r_[0, np.cumsum(many)[:-1]]
+    last = int(end.max())
+    by_end, by_begin = np.argsort(end, kind="stable"), np.argsort(begin, kind="stable")
+    ends, begins = (np.searchsorted(x[o], np.arange(last + 2)) for x, o in ((end, by_end), (begin, by_begin)))
     w = np.zeros(len(names))
     for name, k in names.items():
         w[k] = -1.0 if name[1] == "" else 0.0
     moment = np.zeros(len(w))
     for _ in range(rounds):
-        gradient = ridge * w
-        for n, found, right in rows:
-            scores = np.array([w[f].sum() for _, _, f in found])
-            starts, ends = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
-            for c, (i, j, _) in enumerate(found):
-                starts[i].append(c)
-                ends[j].append(c)
-            ahead, behind = np.zeros(n + 1), np.zeros(n + 1)
-            for j in range(1, n + 1):
-                ahead[j] = np.logaddexp.reduce([ahead[j - 1], *[ahead[found[c][0]] + scores[c] for c in ends[j]]]) if ends[j] else ahead[j - 1]
-            for i in range(n - 1, -1, -1):
-                behind[i] = np.logaddexp.reduce([behind[i + 1], *[behind[found[c][1]] + scores[c] for c in starts[i]]]) if starts[i] else behind[i + 1]
-            for c, (i, j, f) in enumerate(found):
-                np.add.at(gradient, f, (np.exp(min(ahead[i] + scores[c] + behind[j] - ahead[n], 0)) - right[c]) / 20)
+        scores = np.add.reduceat(w[flat], first)
+        ahead, behind = np.zeros((last + 1, len(examples))), np.zeros((last + 1, len(examples)))
+        for j in range(1, last + 1):
+            ahead[j] = ahead[j - 1]
+            c = by_end[ends[j] : ends[j + 1]]
+            np.logaddexp.at(ahead[j], zone_of[c], ahead[begin[c], zone_of[c]] + scores[c])
+        for i in range(last - 1, -1, -1):
+            behind[i] = behind[i + 1]
+            c = by_begin[begins[i] : begins[i + 1]]
+            np.logaddexp.at(behind[i], zone_of[c], behind[end[c], zone_of[c]] + scores[c])
+        expected = np.exp(np.minimum(ahead[begin, zone_of] + scores + behind[end, zone_of] - ahead[last, zone_of], 0))
+        gradient = ridge * w + np.bincount(flat, np.repeat((expected - right) / 20, many), len(w))
         moment += gradient**2
         w -= rate * gradient / (np.sqrt(moment) + 1e-8)
     return Field({name: float(w[k]) for name, k in names.items()})
@@ -309,7 +344,13 @@ def _variants(span: str, kind: str) -> list[str]:
         return [f"{name} at {domain.replace('.', ' dot ')}", f"{name}[at]{domain.replace('.', '[dot]')}", f"{name} (at) {domain.replace('.', ' (dot) ')}", f"{name} [at] {domain}"]
     if kind == "phone":
         digits = _digits(span)[-10:]
-        return [f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"{digits[:3]}-{digits[3:6]}-{digits[6:]}"]
+        return [f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"{digits[:3]}-{digits[3:6]}-{digits[6:]}", f"{digits[:3]}.{digits[3:6]}.{digits[6:]}"]
+    if kind == "card":
+        digits = _digits(span)
+        return [mark.join(digits[k : k + 4] for k in range(0, len(digits), 4)) for mark in (".", "/", " - ", "  ", " / ", ". ")]
+    if kind == "ip":
+        parts = span.split(".")
+        return [mark.join(parts) for mark in (" dot ", "[.]", " [dot] ", "(.)", "[dot]", " . ")]
     if kind == "secret" and len(span) > 22 and not span.isalpha():
         other = span.translate(_BEYOND_HEX)
         return [other[:22], other] if _digits(other[:22]) else []
@@ -327,11 +368,14 @@ def examples(texts: Iterable[tuple[int, str]], most: int = TRAIN_ZONES) -> list[
         z = zone(text, gold)
         z.gold = gold
         out.append(z)
-        for a, b, kind in gold[:1]:
-            if ways := _variants(text[a:b], kind):
-                new = ways[n % len(ways)]
-                shifted = [(a, a + len(new), kind)] + [(x + len(new) - (b - a), y + len(new) - (b - a), k) for x, y, k in gold if x >= b]
-                z = zone(text[:a] + new + text[b:], shifted)
+        a, b, kind = gold[n % len(gold)] if gold else (0, 0, "")
+        if ways := _variants(text[a:b], kind):
+            for new in dict.fromkeys((ways[n % len(ways)], ways[(n + 1) % len(ways)])):
+                # Some stand in round brackets, as any span may.
+                before, after = "()" if n % 4 == 3 else ("", "")
+                at, more = a + len(before), len(before + new + after) - (b - a)
+                shifted = [s for s in gold if s[1] <= a] + [(at, at + len(new), kind)] + [(x + more, y + more, k) for x, y, k in gold if x >= b]
+                z = zone(text[:a] + before + new + after + text[b:], shifted)
                 z.gold = shifted
                 out.append(z)
     return out
@@ -342,7 +386,7 @@ def fit(documents: DataFrame, docs: int = TRAIN_DOCS, most: int = TRAIN_ZONES, i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [t for text in texts_of(batch.column(0)) for t in _some({x for _, x in zones(text, []) if len(x) <= LONGEST})]
+            found = [t for text in texts_of(batch.column(0)) for t in _some({part for _, x in zones(text, []) for part in _parts(x)})]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["zone"])
 
     rows = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -351,6 +395,16 @@ def fit(documents: DataFrame, docs: int = TRAIN_DOCS, most: int = TRAIN_ZONES, i
     return trained(examples(enumerate(r.zone for r in chosen), most))
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A long zone in parts of LONGEST characters at most, cut at white space where there is some."""
+    while len(text) > LONGEST:
+        cut = max(text.rfind(c, 1, LONGEST) for c in " \n\t")
+        cut = cut if cut > 0 else LONGEST
+        yield text[:cut]
+        text = text[cut:]
+    yield text
+
+
 def _some(found: set[str]) -> list[str]:
     """ZONES_EACH of a document's zones at most, by hash, wherever they stand."""
     return sorted(found, key=lambda t: hashlib.sha256(t.encode("utf-8", "replace")).digest())[:ZONES_EACH]
