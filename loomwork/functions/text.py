@@ -106,8 +106,8 @@ def collapsed(text: Column, length: int) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 1, length)
 
 
-def match_kind(needle: str, name: Column, normalised: Column) -> Column:
-    n = F.lit(needle)
+def match_kind(needle: str | Column, name: Column, normalised: Column) -> Column:
+    n = F.lit(needle)  # a column stays one
     return (
         F.when((F.lower(name) == n) | (normalised == n), "exact")
         .when(F.lower(name).startswith(n) | normalised.startswith(n), "prefix")

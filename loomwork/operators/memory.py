@@ -2,49 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SHORTEST_NAME = 4
-#: Names that one automaton holds; more go in blocks.
-BLOCK_NAMES = 1_000_000
-
-
-def mentioned(posts: DataFrame, names: DataFrame, block: int = BLOCK_NAMES) -> DataFrame:
-    """(post_id, name) for every name (normalised, of four letters or more) that stands anywhere in a post's normalised content.
+from loomwork.operators.needles import held
 
-    One automaton of a bounded number of names finds them all in a pass over the posts.
-    """
-    own = names.where(F.length("normalised") >= SHORTEST_NAME).select("normalised").distinct()
-    blocks = max(1, -(-own.count() // block))
-    out = None
-    for b in range(blocks):
-        part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("normalised"), F.lit(blocks)) == b)
-        found = _block(posts.select("post_id", "normalised"), [r.normalised for r in part.collect()])
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _block(posts: DataFrame, names: list[str]) -> DataFrame:
-    shared = posts.sparkSession.sparkContext.broadcast(names)
-    schema = T.StructType([posts.schema["post_id"], T.StructField("name", T.StringType())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+SHORTEST_NAME = 4
 
-        machine = ahocorasick.Automaton()
-        for name in shared.value:
-            machine.add_word(name, name)
-        machine.make_automaton()
-        for batch in batches:
-            rows = [(r, n) for r, text in enumerate(batch.column(1).to_pylist()) if text and shared.value for n in sorted({n for _, n in machine.iter(text)})]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in rows], pa.int64())), pa.array([n for _, n in rows], pa.string())], names=schema.names)
 
-    return posts.mapInArrow(run, schema)
+def mentioned(posts: DataFrame, names: DataFrame) -> DataFrame:
+    """(post_id, name) for every name (normalised, of four letters or more) that stands anywhere in a post's normalised content: names and posts meet by each name's rarest gram, see needles.held."""
+    own = names.where(F.length("normalised") >= SHORTEST_NAME).select(F.col("normalised").alias("needle"))
+    places = lambda text, some: [(n,) for n in sorted(some) if n in text]
+    return held(posts, own, lambda text: text, places, [T.StructField("name", T.StringType())], "post_id", "normalised")
 
 
 def remembered(posts: DataFrame, before_round: int, limit: int = 5) -> DataFrame:

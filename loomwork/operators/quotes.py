@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.operators.needles import held
+from loomwork.sources.shared import written
+
 SHORTEST = 12
-#: Items' text that one automaton holds, in characters; more items go in blocks.
-BLOCK_CHARS = 32 << 20
 _BLANKS = re.compile(r"\s+")
 
 
@@ -47,54 +46,25 @@ def find(text: str, quote: str) -> tuple[int, int] | None:
     return None if at < 0 else (places[at], places[at + len(needle) - 1] + 1)
 
 
+def flat(text: str) -> str:
+    """flattened without the places."""
+    return _BLANKS.sub(" ", text).lstrip().lower() if text.isascii() else flattened(text)[0]
+
+
 def quoted(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, first, end) of the first place of every item in every document.
 
-    One automaton finds all items of a block in one pass over a text, in time that doesn't grow with their number; blocks
-    are of bounded size, and each takes a pass.
+    Items and documents meet by each item's rarest gram, see needles.held: the plan is the same for any number of items, and
+    a text is gone through once for all items that may be in it. Items without an id or a text are left out.
     """
+    needle = F.udf(wanted, "string", useArrow=True)
     own = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("words")).where("item is not null and words is not null")
-    size = own.agg(F.sum(F.length("words"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_CHARS))
-    out = None
-    for b in range(blocks):
-        part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        found = _block(documents.select(id_col, text_col), [tuple(r) for r in part.collect()], items.schema[item_col].dataType)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _block(documents: DataFrame, items: list[tuple], item_type: T.DataType) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(items)
-    schema = T.StructType([documents.schema.fields[0], T.StructField("item", item_type), T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        needles: dict[str, list] = {}
-        for item, words in shared.value:
-            if needle := wanted(words):
-                needles.setdefault(needle, []).append(item)
-        machine = ahocorasick.Automaton()
-        for needle in needles:
-            machine.add_word(needle, needle)
-        machine.make_automaton()
-        target = to_arrow_schema(schema)
-        for batch in batches:
-            rows = []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                if not text or not needles:
-                    continue
-                seen: dict[str, int] = {}
-                for end, needle in machine.iter(_BLANKS.sub(" ", text).lstrip().lower()):
-                    seen.setdefault(needle, end)
-                if seen:
-                    flat, places = flattened(text)
-                    for needle in seen:
-                        at = flat.find(needle)
-                        rows += [(r, item, places[at], places[at + len(needle) - 1] + 1) for item in needles[needle] if at >= 0]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(list(cols[0]), pa.int64())), *[pa.array(list(c), f.type) for c, f in zip(cols[1:], list(target)[1:], strict=True)]], schema=target)
-
-    return documents.mapInArrow(run, schema)
+    own = written(own.select("item", needle("words").alias("needle")).where("needle is not null"), "items")
+
+    def places(text: str, needles: list[str]) -> list[tuple[str, int, int]]:
+        plain, at = flattened(text)
+        return [(n, at[k], at[k + len(n) - 1] + 1) for n in needles if (k := plain.find(n)) >= 0]
+
+    fields = [T.StructField("needle", T.StringType()), T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]
+    found = held(documents, own, flat, places, fields, id_col, text_col)
+    return found.join(own, "needle").select(id_col, "item", "first", "end")

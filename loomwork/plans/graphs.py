@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import text as ft
 from loomwork.functions import values as fv
-from loomwork.operators import loading, memory, population, profiles, report, resolve, search
+from loomwork.operators import loading, memory, needles, population, profiles, report, resolve, search
 from loomwork.plans.registry import query
 from loomwork.plans.views import Run
 
@@ -203,6 +203,20 @@ def top6_lexical_kinds(run: Run) -> DataFrame:
     return search.lexical(_named_parts(run), " STANDARD ", 60).select("uuid", "matched_by", "score")
 
 
+_NEEDLES = "n AS (SELECT DISTINCT lower(trim(q)) AS needle FROM (SELECT split_part(p_type, ' ', 2) AS q FROM part UNION ALL SELECT substr(s_name, 14) FROM supplier UNION ALL SELECT left(n_name, 2) FROM nation UNION ALL SELECT left(r_name, 1) FROM region UNION ALL SELECT 'nobody has this' UNION ALL SELECT ' ') a WHERE trim(q) <> '')"
+
+
+@query(_with([_NEEDLES, "h AS (SELECT needle, uuid, name, mention_count, normalised, row_number() OVER (PARTITION BY needle ORDER BY mention_count DESC, name, uuid) AS r FROM n JOIN entities e ON contains(lower(e.name), n.needle) OR contains(e.normalised, n.needle))",
+    "k AS (SELECT *, CASE WHEN lower(name) = needle OR normalised = needle THEN 1.0::DOUBLE WHEN starts_with(lower(name), needle) OR starts_with(normalised, needle) THEN 0.95::DOUBLE ELSE 0.85::DOUBLE END AS score FROM h WHERE r <= 7)"],
+    "SELECT needle, uuid, score, CAST(row_number() OVER (PARTITION BY needle ORDER BY score DESC, mention_count DESC, name, uuid) AS INTEGER) AS place FROM k"))
+def top6_many_needles(run: Run) -> DataFrame:
+    """Hundreds of needles at once, of one character and of many, by an index of what names hold."""
+    t = run.table
+    asked = t("part").select(F.split_part("p_type", F.lit(" "), F.lit(2)).alias("query")).unionByName(t("supplier").select(F.substring("s_name", 14, 99).alias("query"))).unionByName(t("nation").select(F.left("n_name", F.lit(2)).alias("query")))
+    asked = asked.unionByName(t("region").select(F.left("r_name", F.lit(1)).alias("query"))).unionByName(run.spark.createDataFrame([("nobody has this",), (" ",)], "query string"))
+    return needles.found(needles.postings(run.entities), asked, 7).select("needle", "uuid", "score", "place")
+
+
 @query("SELECT uuid, CASE WHEN n = 'unlike' THEN 'alias' WHEN n = t THEN 'exact' WHEN starts_with(n, t) THEN 'prefix' ELSE 'substring' END AS kind, CASE WHEN n = 'unlike' THEN 0.9::DOUBLE WHEN n = t THEN 1.0::DOUBLE WHEN starts_with(n, t) THEN 0.95::DOUBLE ELSE 0.85::DOUBLE END AS score FROM (SELECT CAST(p_partkey AS VARCHAR) AS uuid, 'promo' AS t, CASE p_partkey % 5 WHEN 0 THEN 'promo' WHEN 1 THEN 'promo plus' WHEN 2 THEN 'my promo' WHEN 3 THEN 'xpromox' ELSE 'unlike' END AS n FROM part) a")
 def fnt18_match_kinds(run: Run) -> DataFrame:
     """Exact, prefix, substring, and alias, which scores above substring."""
