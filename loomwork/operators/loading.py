@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.values import derived_uuid
-from loomwork.sources.files import upserted
+from loomwork.sources.buckets import merged
 
 
 def chunk_nodes(chunks: DataFrame) -> DataFrame:
@@ -34,9 +34,9 @@ def relationship_edges(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
     return merged.withColumn("uuid", derived_uuid(F.col("graph_id"), F.col("type"), F.col("source"), F.col("target")))
 
 
-def merged(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """A graph table after a load: the new rows replace those of their uuid, so that a load may run again."""
-    return upserted(stored, new.dropDuplicates(["uuid"]), "uuid")
+def loaded(new: DataFrame, folder: str) -> DataFrame:
+    """A stored graph table after a load: the new rows replace those of their uuid, in the buckets that they touch, so that a load may run again."""
+    return merged(new.dropDuplicates(["uuid"]), folder, ["uuid"])
 
 
 def permitted(found: DataFrame, types: DataFrame) -> DataFrame:
@@ -69,10 +69,9 @@ def about_edges(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     return mentions.join(entities.select("graph_id", "normalised", "uuid"), ["graph_id", "normalised"]).select("graph_id", "post_id", "uuid").distinct()
 
 
-def followed(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """FOLLOWED edges (follower, followee, round), one for each pair, with the round that was written last."""
-    both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return both.groupBy("follower", "followee").agg(F.max_by("round", F.struct("_new", "round")).alias("round"))
+def followed(new: DataFrame, folder: str) -> DataFrame:
+    """Stored FOLLOWED edges (follower, followee, round) after a load, one for each pair, with the latest round of the load that was written last."""
+    return merged(new.groupBy("follower", "followee").agg(F.max("round").alias("round")), folder, ["follower", "followee"])
 
 
 def passages(mentions: DataFrame, chunks: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:

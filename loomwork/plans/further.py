@@ -10,7 +10,8 @@ from loomwork.functions import values as fv
 from loomwork.operators import feed, ledger, memory, population, report, tools
 from loomwork.plans.registry import query
 from loomwork.plans.views import Run
-from loomwork.sources.files import upserted
+from loomwork.sources import buckets
+from loomwork.sources.shared import scratch
 
 
 def _interviews(run: Run) -> DataFrame:
@@ -93,7 +94,9 @@ def set8_first_of_each_type(run: Run) -> DataFrame:
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
 def snk1_upserted(run: Run) -> DataFrame:
     o = run.table("orders").select("o_orderkey", "o_orderstatus")
-    return upserted(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("new")), "o_orderkey")
+    folder = scratch(run.spark, "checkpoints")
+    buckets.merged(o.where("o_orderkey % 2 = 0"), folder, ["o_orderkey"])
+    return buckets.merged(o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("new")), folder, ["o_orderkey"])
 
 
 @query("SELECT rid, user_id, action FROM trace ORDER BY rid DESC LIMIT 200")

@@ -10,6 +10,7 @@ from loomwork.functions import values as fv
 from loomwork.operators import loading, memory, needles, population, profiles, report, resolve, search
 from loomwork.plans.registry import query
 from loomwork.plans.views import Run
+from loomwork.sources.shared import scratch
 
 _UUID = "substr({0}, 1, 12) || '5' || substr({0}, 14, 3) || substr('89ab', CAST('0x' || substr({0}, 17, 1) AS INTEGER) % 4 + 1, 1) || substr({0}, 18, 15)"
 _SPACE = fv.NAMESPACE.replace("-", "").upper()
@@ -48,7 +49,9 @@ def _nodes(run: Run) -> DataFrame:
 def snk3_merged_graph(run: Run) -> DataFrame:
     """Entities of all graphs, of which one is loaded again: its rows replace those that are stored, and none comes twice."""
     nodes = _nodes(run).select("uuid", "graph_id", "mention_count")
-    return loading.merged(nodes.withColumn("loaded", F.lit(0)), nodes.where("graph_id = 'g3'").withColumn("loaded", F.lit(1)))
+    folder = scratch(run.spark, "graph")
+    loading.loaded(nodes.withColumn("loaded", F.lit(0)), folder)
+    return loading.loaded(nodes.where("graph_id = 'g3'").withColumn("loaded", F.lit(1)), folder)
 
 
 @query(_with([_MENTIONS], f"SELECT {_uuid("graph_id || '|' || type || '|' || normalised")} AS entity_uuid, {_uuid("graph_id || '|chunk|' || chunk")} AS chunk_uuid, surface FROM (SELECT DISTINCT graph_id, type, normalised, chunk, surface FROM mentions) m"))
@@ -69,7 +72,9 @@ def snk3_relationships(run: Run) -> DataFrame:
 def snk4_followed(run: Run) -> DataFrame:
     """Who follows whom, with the round that was written last."""
     rows = run.table("orders").select((F.col("o_custkey") % 50).alias("follower"), (F.col("o_custkey") % 7).alias("followee"), (F.col("o_orderkey") % 30).alias("round"))
-    return loading.followed(rows.where("round < 20"), rows.where("round >= 20"))
+    folder = scratch(run.spark, "followed")
+    loading.followed(rows.where("round < 20"), folder)
+    return loading.followed(rows.where("round >= 20"), folder)
 
 
 @query(_with([_MENTIONS], "SELECT graph_id, about, count(*) AS posts FROM (SELECT DISTINCT m.graph_id, m.post_id, e.type AS about, e.normalised FROM mentions m JOIN (SELECT DISTINCT graph_id, type, normalised FROM mentions) e ON m.graph_id = e.graph_id AND m.normalised = e.normalised) x GROUP BY 1, 2"))

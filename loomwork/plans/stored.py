@@ -11,7 +11,7 @@ from loomwork.functions import values as fv
 from loomwork.operators import ledger, loading, profiles, report
 from loomwork.plans.registry import query
 from loomwork.plans.views import Run
-from loomwork.sources import files
+from loomwork.sources import buckets, files
 from loomwork.sources.shared import scratch
 
 _EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType())])
@@ -226,7 +226,9 @@ def src19_text_slices(run: Run) -> DataFrame:
 def snk2_scores_upserted(run: Run) -> DataFrame:
     stored = files.scored_rows(run.scores.withColumn("rationale", F.lit("old")))
     new = files.scored_rows(run.scores.where("post_id % 2 = 0").withColumn("rationale", F.repeat(F.lit("new  reason "), F.lit(30))))
-    return files.upserted(stored, new, "post_id")
+    folder = scratch(run.spark, "scores")
+    buckets.merged(stored, folder, ["post_id"])
+    return buckets.merged(new, folder, ["post_id"])
 
 
 @query("SELECT CAST(n AS BIGINT) AS n, ids, named FROM (SELECT count(*) AS n, sum(p) AS ids, sum(CASE WHEN provenance = 'named' THEN p END) AS named FROM (SELECT provenance, row_number() OVER (ORDER BY user_id) - 1 AS p FROM profiles) x) y")
@@ -241,7 +243,9 @@ def snk5_exported_population(run: Run) -> DataFrame:
 @query("SELECT p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN p_size + 100 ELSE p_size END AS first FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0")
 def snk8_cache_put(run: Run) -> DataFrame:
     vector = lambda more: run.table("part").select(F.col("p_partkey").alias("key"), F.array(F.col("p_size") + more).alias("vector"))
-    both = files.upserted(vector(0).where("key % 2 = 0"), vector(100).where("key % 3 = 0"), "key")
+    folder = scratch(run.spark, "cache")
+    buckets.merged(vector(0).where("key % 2 = 0"), folder, ["key"])
+    both = buckets.merged(vector(100).where("key % 3 = 0"), folder, ["key"])
     return both.select("key", F.col("vector")[0].alias("first"))
 
 

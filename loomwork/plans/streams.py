@@ -87,25 +87,53 @@ def str8_live_enrichment(run: Run) -> DataFrame:
     return run.spark.read.parquet(f"{folder}/out")
 
 
-@query(f"SELECT count(*) AS batches, (SELECT count(*) FROM trace) AS rows, 1 AS refreshed FROM (SELECT DISTINCT part FROM ({_PARTS}) p) q")
+@query(f"SELECT CAST(0 AS BIGINT) AS round, action, count(*) AS n FROM ({_PARTS}) p WHERE part = 0 GROUP BY action UNION ALL SELECT 2, action, count(*) FROM ({_PARTS}) p WHERE part <= 2 GROUP BY action")
 def str9_refreshed_once(run: Run) -> DataFrame:
-    """Several micro-batches of one round: the counts are made once, as the round doesn't move."""
-    stream, folder = _events(run)
-    rounds.refreshed(stream.select("rid", "action", F.lit(1).alias("round")), folder, f"{folder}/checkpoint").awaitTermination()
-    rows = run.spark.read.parquet(f"{folder}/rows")
-    return rows.agg(F.countDistinct("batch").alias("batches"), F.count("*").alias("rows")).withColumn("refreshed", run.spark.read.parquet(f"{folder}/counts").agg(F.countDistinct("round")).scalar())
+    """Four micro-batches, of rounds 0, 0, 2 and 2: the counts are published when round 0 comes and when 2 does, and not in between."""
+    folder = scratch(run.spark, "stream")
+    rows = run.trace.select("rid", "action")
+    most = rows.agg(F.max("rid")).first()[0] or 0
+    part = F.floor(F.col("rid") * FILES / (most + 1)).cast("long")
+    for k in range(FILES):
+        own = rows.where(part == k).select("rid", "action", F.lit(k // 2 * 2).cast("long").alias("round"))
+        own.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rounds.refreshed(run.spark.readStream.schema(own.schema).parquet(f"{folder}/in"), folder, f"{folder}/checkpoint").awaitTermination()
+    return run.spark.read.parquet(f"{folder}/counts").select(F.col("round").cast("long").alias("round"), "action", "n")
 
 
-@query("SELECT doc_id AS post_id, CAST(length(text) AS BIGINT) AS score FROM documents WHERE trim(text) <> '' AND doc_id % 10 <> 3")
+@query("SELECT doc_id AS post_id, CAST(length(text) AS DOUBLE) AS score FROM documents WHERE trim(text) <> '' AND doc_id % 10 <> 3")
 def str11_scored_once(run: Run) -> DataFrame:
-    """Posts that come twice are scored once, blank ones never, and what a scorer leaves out stays unscored."""
+    """Posts that come twice are scored once, blank ones never, and what a scorer leaves out stays unscored; some it leaves out of large batches only."""
     d = run.table("documents").select(F.col("doc_id").alias("post_id"), F.col("text").alias("content"))
     stream, folder = _stream(run, d.unionByName(d.where("post_id % 4 = 1")), F.pmod(F.xxhash64("post_id"), F.lit(FILES)))
-    scorer = lambda rows: rows.where("post_id % 10 <> 3").select("post_id", F.length("content").cast("long").alias("score"))
+
+    def scorer(posts):
+        some = posts[(posts["post_id"] % 10 != 3) & ((posts["post_id"] % 5 != 2) | (len(posts) <= rounds.AGAIN_AT_ONCE))]
+        return some.assign(score=some["content"].str.len())[["post_id", "score"]]
+
     rounds.scored_once(stream, scorer, f"{folder}/scores", f"{folder}/checkpoint").awaitTermination()
     return run.spark.read.parquet(f"{folder}/scores").select("post_id", "score")
 
 
+@query("""SELECT user_id, min(t) AS start, max(t) + 3600000000 AS "end", count(*) AS n FROM (SELECT user_id, t, sum(CASE WHEN t - before < 3600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) a) b GROUP BY user_id, session""")
+def str7_stream_sessions(run: Run) -> DataFrame:
+    """Sessions of a stream with a watermark, over three starts of it. A tenth of the first half's last hours comes with the second half, within the watermark, and joins its sessions; some requests of the first day come once more then, beyond it, and are dropped. Last comes one request of nobody, years on, so that all sessions close."""
+    folder, spark = scratch(run.spark, "stream"), run.spark
+    events = run.table("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    ends = events.agg(F.min("ts").alias("first"), F.percentile_approx(F.unix_micros("ts"), 0.5).alias("middle")).first()
+    middle = F.timestamp_micros(F.lit(ends.middle))
+    held = (F.col("event_id") % 10 == 0) & (F.col("ts") > middle - F.expr("interval 2 hours"))
+    first = events.where((F.col("ts") <= middle) & ~held)
+    stale = events.where((F.col("ts") < F.lit(ends.first) + F.expr("interval 1 day")) & (F.col("ts") < middle - F.expr("interval 1 day")))
+    second = events.where((F.col("ts") > middle) | held).unionByName(stale)
+    last = spark.createDataFrame([(0, -1)], "event_id long, user_id long").withColumn("ts", F.lit("2200-01-01").cast("timestamp"))
+    for rows in (first, second, last):
+        rows.select("user_id", "ts").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("user_id long, ts timestamp").parquet(f"{folder}/in")
+        rounds.idle_sessions(stream, 3600, f"{folder}/sessions", f"{folder}/checkpoint", "3 hours").awaitTermination()
+    return spark.read.parquet(f"{folder}/sessions").where("user_id >= 0")
+
+
 @query("SELECT user_id, username, provenance FROM profiles")
 def snk7_appended_profiles(run: Run) -> DataFrame:
     """Profiles as a stream, appended as JSON lines; one that comes again replaces the line before."""

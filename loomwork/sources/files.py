@@ -145,11 +145,6 @@ def faults(profiles: DataFrame, required: tuple[str, ...] = ("user_id", "usernam
     return rows.unionByName(twice)
 
 
-def upserted(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """stored with new rows in place of those with their keys."""
-    return stored.join(new.select(key), key, "left_anti").unionByName(new)
-
-
 def cached(keys: DataFrame, cache: DataFrame) -> DataFrame:
     """keys (key) with the cache's vector, null where it has none; a key is looked up once, however often it is asked for."""
     return keys.join(keys.select("key").distinct().join(cache.select("key", "vector"), "key"), "key", "left")

@@ -6,16 +6,16 @@ a batch that runs again after a failure replaces what it left, and recovery need
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from loomwork.sources.buckets import merged, stored
 from loomwork.sources.shared import exists, removed
 
 
@@ -42,7 +42,7 @@ def run_rounds(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuer
 def rolled_back(spark: SparkSession, folder: str) -> DataFrame:
     """The trace of rounds that the ledger has: rows of a batch that ended before its ledger row don't count."""
     done = spark.read.parquet(f"{folder}/ledger").select("round")
-    return spark.read.parquet(f"{folder}/trace").join(F.broadcast(done), "round", "left_semi")
+    return spark.read.parquet(f"{folder}/trace").join(done, "round", "left_semi")
 
 
 def feed(stream: DataFrame, folder: str, checkpoint: str, most: int = 400) -> StreamingQuery:
@@ -66,20 +66,68 @@ def latest(spark: SparkSession, folder: str) -> DataFrame:
     return kept.withColumn("_newest", kept.agg(F.max("batch")).scalar()).where("batch = _newest").drop("batch", "_newest")
 
 
-def scored_once(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
-    """Scores of posts (post_id, content) that have none yet, batch by batch; scores for posts that weren't asked for are dropped, and failed ones stay unscored."""
+@contextmanager
+def _kept_by_key(spark: SparkSession) -> Iterator[None]:
+    """State in a store that looks up single keys, for the query that starts inside: its work doesn't grow with what is stored."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+#: Keys by which posts are dealt to tasks, and posts that a scorer is given at once, and again those that it left out.
+POST_KEYS, SCORED_AT_ONCE, AGAIN_AT_ONCE = 16, 12, 4
+
+Scorer = Callable[[pd.DataFrame], pd.DataFrame]
+
+
+class _Scores(StatefulProcessor):
+    """Which posts have a score; others are given to the scorer, in batches, and what it leaves out once more in small ones."""
+
+    def __init__(self, scorer: Scorer) -> None:
+        self.scorer = scorer
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("scored", "post_id long", "score double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        todo: dict[int, str] = {}
+        for frame in rows:
+            for i, content in zip(frame["post_id"].tolist(), frame["content"].tolist(), strict=True):
+                if content and content.strip() and i not in todo and not self.known.containsKey((i,)):
+                    todo[i] = content
+        for size in (SCORED_AT_ONCE, AGAIN_AT_ONCE):
+            ids = list(todo)
+            for a in range(0, len(ids), size):
+                asked = ids[a : a + size]
+                scores = self.scorer(pd.DataFrame({"post_id": asked, "content": [todo[i] for i in asked]})).dropna(subset="score")
+                scores = scores[scores["post_id"].isin(asked)].drop_duplicates("post_id")
+                for i, score in zip(scores["post_id"].tolist(), scores["score"].tolist(), strict=True):
+                    self.known.updateValue((i,), (float(score),))
+                    del todo[i]
+                yield pd.DataFrame({"post_id": scores["post_id"].astype("int64"), "score": scores["score"].astype(float)})
+
+    def close(self) -> None:
+        pass
+
+
+def scored_once(stream: DataFrame, scorer: Scorer, folder: str, checkpoint: str) -> StreamingQuery:
+    """Scores (post_id, score) of posts (post_id, content) that have none yet, batch by batch, in folder/batch=n; blank posts are never scored, and scores for posts that weren't asked for are dropped.
+
+    What has a score is state, looked up by post; a post that failed is asked for again when it comes again. scorer takes and gives pandas
+    frames, SCORED_AT_ONCE posts at once, and in the same batch what it left out once more, AGAIN_AT_ONCE at once.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        todo = batch.where("trim(coalesce(content, '')) <> ''").dropDuplicates(["post_id"])
-        if exists(spark, folder):
-            known = spark.read.parquet(folder).where(F.col("batch") != number).select("post_id")
-            todo = todo.join(known, "post_id", "left_anti")
-        asked = todo.select("post_id")
-        scores = scorer(todo).where("score is not null").join(asked, "post_id", "left_semi")
-        scores.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    dealt = stream.select("post_id", "content", F.pmod(F.xxhash64("post_id"), F.lit(POST_KEYS)).alias("key")).groupBy("key")
+    scores = dealt.transformWithStateInPandas(_Scores(scorer), "post_id long, score double", "append", "none")
+    with _kept_by_key(stream.sparkSession):
+        return scores.writeStream.outputMode("append").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def appended(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
@@ -94,45 +142,102 @@ def appended(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
 TURN = "conv_id long, turn long, role string"
 
 
-def remembered_turns(stream: DataFrame, keep: int, folder: str, checkpoint: str) -> StreamingQuery:
-    """The last so many turns of each conversation (conv_id, turn, role), kept as state from batch to batch, in whatever order turns come; each batch writes the conversations that it changed. latest_turns reads the newest of each."""
+class _Turns(StatefulProcessor):
+    """The last turns of a conversation, by number."""
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = pd.DataFrame(json.loads(state.get[0]) if state.exists else [], columns=["conv_id", "turn", "role"])
-        rows = pd.concat([known, *frames], ignore_index=True).drop_duplicates("turn").sort_values("turn").tail(keep)
-        state.update((rows.to_json(orient="records"),))
-        yield rows[["conv_id", "turn", "role"]]
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
 
-    def one(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.turns = handle.getMapState("turns", "turn long", "role string")
 
-    kept = stream.groupBy("conv_id").applyInPandasWithState(update, TURN, "turns string", "update", GroupStateTimeout.NoTimeout)
-    return kept.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = {k[0]: v[0] for k, v in self.turns.iterator()}
+        for frame in rows:
+            for turn, role in zip(frame["turn"].tolist(), frame["role"].tolist(), strict=True):
+                known.setdefault(turn, role)
+        last = sorted(known)[-self.keep :]
+        for turn in known.keys() - set(last):
+            if self.turns.containsKey((turn,)):
+                self.turns.removeKey((turn,))
+        for turn in last:
+            self.turns.updateValue((turn,), (known[turn],))
+        yield pd.DataFrame({"conv_id": [key[0]] * len(last), "turn": last, "role": [known[t] for t in last]})
 
-
-def latest_turns(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.parquet(folder)
-    return rows.join(rows.groupBy("conv_id").agg(F.max("batch").alias("batch")), ["conv_id", "batch"], "left_semi").drop("batch")
+    def close(self) -> None:
+        pass
 
 
-def refreshed(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Counts of actions (round, action) as a table that is made anew only when the highest round has moved; folder/rows has all rows, folder/counts=r what was made when round r came."""
+def remembered_turns(stream: DataFrame, keep: int, folder: str, checkpoint: str) -> StreamingQuery:
+    """The last so many turns of each conversation (conv_id, turn, role), kept as state from batch to batch, in whatever order turns come. What a batch changed replaces it in a table of buckets, which latest_turns reads: one set of turns for each conversation, however many batches there were."""
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        rows = spark.read.schema(batch.schema).parquet(f"{folder}/rows")
-        newest = rows.agg(F.max("round")).first()[0]
-        if newest is not None and not exists(spark, f"{folder}/counts/round={newest}/_SUCCESS"):
-            rows.groupBy("action").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/counts/round={newest}")
+        merged(batch, folder, ["conv_id"])
 
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    kept = stream.groupBy("conv_id").transformWithStateInPandas(_Turns(keep), TURN, "update", "none")
+    with _kept_by_key(stream.sparkSession):
+        return kept.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-SESSION = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("start", T.TimestampType()), T.StructField("end", T.TimestampType()), T.StructField("n", T.LongType())])
+def latest_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType())]))
 
 
-def idle_sessions(stream: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
-    """Sessions of a user's requests (user_id, ts) that close after so many idle seconds, once the watermark is past them."""
-    windows = stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", f"{seconds} seconds").alias("w"))
-    return windows.agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def refreshed(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Counts of actions (round, action) that are published only when the highest round has moved: folder/counts/round=r is what there was when round r came. The counts themselves are the stream's state, so no batch reads what came before it."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        counts = batch.persist()  # a row for each action
+        newest = counts.agg(F.max("round")).first()[0]
+        if newest is not None and not exists(batch.sparkSession, f"{folder}/counts/round={newest}/_SUCCESS"):
+            counts.select("action", "n").write.mode("overwrite").parquet(f"{folder}/counts/round={newest}")
+        counts.unpersist()
+
+    counts = stream.groupBy("action").agg(F.count("*").alias("n"), F.max("round").alias("round"))
+    return counts.writeStream.outputMode("complete").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _Sessions(StatefulProcessor):
+    """A user's open sessions by their begin, in microseconds; a timer at the end of each, after which none of its requests is let in."""
+
+    def __init__(self, gap: int) -> None:
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "start long", "end long, n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        found = [(start, *v) for start, v in before.items()] + [(at, at + self.gap, 1) for frame in rows for at in frame["at"].tolist()]
+        after: list[tuple[int, int, int]] = []
+        for start, end, n in sorted(found):
+            if after and start < after[-1][1]:
+                after[-1] = (after[-1][0], max(after[-1][1], end), after[-1][2] + n)
+            else:
+                after.append((start, end, n))
+        for start in before.keys() - {s for s, *_ in after}:
+            self.open.removeKey((start,))
+        for start, end, n in after:
+            if before.get(start) != (end, n):
+                self.open.updateValue((start,), (end, n))
+                self.handle.registerTimer(-(-end // 1000))
+        yield pd.DataFrame({"user_id": [], "start": [], "end": [], "n": []}, dtype="int64")
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        done = sorted((k[0], *v) for k, v in self.open.iterator() if v[0] <= passed)
+        for start, *_ in done:
+            self.open.removeKey((start,))
+        yield pd.DataFrame([(key[0], *d) for d in done], columns=["user_id", "start", "end", "n"]).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def idle_sessions(stream: DataFrame, seconds: int, folder: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
+    """Sessions (user_id, start, end, n; microseconds) of a user's requests (user_id, ts) that no other of theirs is so near to, in folder: each once, when the watermark has passed its end. Requests that come later than late after newer ones are let in as long as the watermark isn't past them, and join sessions; then they are dropped."""
+    rows = stream.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("at")).groupBy("user_id")
+    found = rows.transformWithStateInPandas(_Sessions(seconds * 1_000_000), "user_id long, start long, end long, n long", "append", "eventTime")
+    with _kept_by_key(stream.sparkSession):
+        return found.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

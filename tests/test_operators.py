@@ -118,15 +118,6 @@ def test_stream_of_rounds(spark, tmp_path):
     assert sorted(r.rid for r in spark.read.parquet(str(tmp_path / "feed/batch=2")).collect()) == sorted(r.rid for r in trace.orderBy(F.desc("rid")).limit(50).collect())
 
 
-def test_stream_scores_once(spark, tmp_path):
-    posts = spark.createDataFrame([(1, "a", 0), (2, " ", 0), (1, "a", 1), (3, "c", 1)], "post_id long, content string, part int")
-    posts.write.partitionBy("part").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("post_id long, content string, part int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    scorer = lambda df: df.select("post_id", F.lit(0.5).alias("score")).union(df.select(F.lit(99).cast("long"), F.lit(1.0)))
-    rounds.scored_once(stream, scorer, str(tmp_path / "scores"), str(tmp_path / "ck")).awaitTermination()
-    assert sorted(r.post_id for r in spark.read.parquet(str(tmp_path / "scores")).collect()) == [1, 3]
-
-
 def _greedy(rows, least_overlap, least_cosine):
     """As defined, one row after the other."""
     import numpy as np
