@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -15,8 +14,8 @@ from pyspark.sql import types as T
 from loomwork.llm.common import Words, byte_class, chunks, columns_added, sliced, utf8, written
 from loomwork.llm.training import held_out, labelled_sample, logistic, logistic_fit
 
-#: Labelled documents to learn from, at most. The field learns from a stretch of so many lines of each, at a place given by the text's hash; how marginals make a document's score is learned from whole texts.
-TRAIN_ROWS, TRAIN_LINES = 6_000, 150
+#: Labelled documents to learn from, at most, and lines of those that the field learns from, in all: whole texts, by their hashes, as long as there is room; one that would take a tenth of it alone is left out. How marginals make a document's score is learned from all of them.
+TRAIN_ROWS, TRAIN_LINES = 6_000, 200_000
 FOLDS, HELD_FOLD = 5, 0
 THRESHOLD = 0.3
 
@@ -163,21 +162,25 @@ def trained(x: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 1
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES) -> Model:
-    """Learns from at most rows labelled documents outside the held-out fold: the field from a stretch of lines of each, wherever it stands, the documents' weights from whole texts."""
+    """Learns from at most rows labelled documents outside the held-out fold: the field from whole texts of at most so many lines in all, the documents' weights from all."""
     sample = written(labelled_sample(documents, labels, "quality", FOLDS, HELD_FOLD, rows), "quality-sample")
+    sizes = sample.select(F.xxhash64("text").alias("h"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n"))
+    room, chosen = lines, []
+    for r in sorted(map(tuple, sizes.collect())):  # as many rows as the sample has
+        if r[1] <= min(room, lines // 10):
+            room -= r[1]
+            chosen.append((r[0],))
+    some = sample.join(F.broadcast(documents.sparkSession.createDataFrame(chosen, "h long")), F.xxhash64("text") == F.col("h"), "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, texts, found = batch.column(1).to_pylist(), utf8(batch.column(0)), []
-            for start, data, offsets in chunks(texts):
+            label, found = batch.column(1).to_pylist(), []
+            for _, data, offsets in chunks(utf8(batch.column(0))):
                 parsed = Lines(data, offsets)
-                for i, (a, b) in enumerate(zip(parsed.first[:-1].tolist(), parsed.first[1:].tolist(), strict=True)):
-                    if b - a > lines:
-                        a += zlib.crc32(texts[start + i]) % (b - a - lines + 1)
-                    found.append(parsed.features[a : min(b, a + lines)].tobytes())
+                found += [parsed.features[a:b].tobytes() for a, b in zip(parsed.first[:-1].tolist(), parsed.first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(found, pa.binary())], names=["label", "x"])
 
-    got = sorted((bytes(r.x), r.label) for r in sample.mapInArrow(run, "label int, x binary").collect())
+    got = sorted((bytes(r.x), r.label) for r in some.mapInArrow(run, "label int, x binary").collect())
     if not got:
         width = Lines(b" ", np.array([0, 1])).features.shape[1]
         return Model(np.zeros(width), np.ones(width), np.zeros(width), np.zeros((2, 2)), logistic_fit(np.zeros((0, 3)), np.zeros(0)))
