@@ -90,8 +90,9 @@ def participation(level: Column) -> Column:
 
 
 def uniform(*keys: Column, seed: int = 0) -> Column:
-    """Between 0 and 1, by hash: the same for the same keys, wherever and however often it runs."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / (1 << 30)).cast("double")
+    """Between 0 and 1, by the first 32 bits of a digest: the same for the same keys, wherever and however often it runs, and in any engine that has MD5. Null keys are left out."""
+    digest = F.md5(F.encode(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]), "utf-8"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / (1 << 32)
 
 
 def run_id(at: Column, key: Column, kind: str = "sim") -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.sources.shared import written
+
 MOST_DEPTH, MOST_NODES = 5, 2000
 
 
@@ -36,18 +38,25 @@ def edges_between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(own.withColumnRenamed("uuid", "src"), "src", "left_semi").join(own.withColumnRenamed("uuid", "dst"), "dst", "left_semi")
 
 
+#: Edges of a node that one task follows: those of a hub are dealt in parts of about so many.
+HUB = 100_000
+
+
 def neighbours(entities: DataFrame, edges: DataFrame, uuid: str, depth: int = 1) -> DataFrame:
     """(uuid, distance) within depth steps either way, the start included; nothing if there's no such entity.
 
-    Each step takes what is reached once: a node reached last brings its neighbours along, and the least distance of each
-    node stays; so the plan has one join and one aggregation for each step.
+    Each step follows the edges of what the step before reached first, and is written, so a plan has one step. The edges of a
+    hub are in parts, and what is reached goes to each part of it, so that no task has all of them.
     """
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
-    reached = entities.where(F.col("uuid") == uuid).select("uuid", F.lit(0).alias("distance"))
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).where("a is not null and b is not null")
+    hubs = written(both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("a", F.ceil(F.col("n") / HUB).alias("parts")), "hubs")
+    followed = both.join(hubs, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))).select("a", "part", "b")
+    reached = frontier = written(entities.where(F.col("uuid") == uuid).select("uuid", F.lit(0).alias("distance")).distinct(), "frontier")
     for step in range(1, min(max(1, depth), MOST_DEPTH) + 1):
-        grown = reached.join(both, (F.col("uuid") == F.col("a")) & (F.col("distance") == step - 1), "left")
-        ends = F.filter(F.array(F.struct("uuid", "distance"), F.struct(F.col("b").alias("uuid"), F.lit(step).alias("distance"))), lambda x: x["uuid"].isNotNull())
-        reached = grown.select(F.explode(ends).alias("e")).groupBy("e.uuid").agg(F.min("e.distance").alias("distance"))
+        asked = frontier.select(F.col("uuid").alias("a")).join(hubs, "a", "left").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        new = asked.join(followed, ["a", "part"]).select(F.col("b").alias("uuid")).distinct()
+        frontier = written(new.join(reached.select("uuid"), "uuid", "left_anti").withColumn("distance", F.lit(step)), "frontier")
+        reached = reached.unionByName(frontier)
     return reached
 
 

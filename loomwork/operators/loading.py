@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.functions.values import derived_uuid
+from loomwork.operators.resolve import aliases_merged, by_name
 from loomwork.sources.buckets import merged
 
 
@@ -46,14 +51,26 @@ def permitted(found: DataFrame, types: DataFrame) -> DataFrame:
     return found.join(known, "type", "left").withColumn("dropped", why).drop("_known")
 
 
-def extraction_counters(found: DataFrame, by_name: DataFrame, aliases: DataFrame, relationships: DataFrame) -> DataFrame:
-    """One row about an extraction: mentions found and dropped, entities merged by name and by alias, relationships whose ends are unresolved (source or target null)."""
-    kept = found.where("dropped is null").agg(F.count("*")).scalar()
-    out = found.agg(F.count("*").alias("raw"), F.count_if(F.col("dropped") == "off ontology").alias("off_ontology"), F.count_if(F.col("dropped") == "nameless").alias("nameless"))
-    return out.withColumns({
-        "merged_by_name": kept - by_name.agg(F.count("*")).scalar(), "merged_by_alias": aliases.agg(F.count_if(F.col("normalised") != F.col("keeper"))).scalar(),
-        "unresolved": relationships.agg(F.count_if(F.col("source").isNull() | F.col("target").isNull())).scalar(),
-    })
+def extracted(found: DataFrame, relationships: DataFrame, folder: str) -> DataFrame:
+    """One row about an extraction that is stored in folder: mentions found and dropped, entities merged by name and by alias, relationships whose ends are unresolved (source or target null).
+
+    found (type, normalised, surface, chunk, start, dropped) is as permitted gives it. The counters are observed while mentions,
+    entities, keepers and relationships are written, each once; nothing is read again to be counted.
+    """
+    spark = found.sparkSession
+
+    def stored(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, dict]:
+        seen = Observation(name)
+        df.observe(seen, *[c.alias(n) for n, c in counters.items()]).write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}"), seen.get
+
+    why = F.col("dropped")
+    mentions, counted = stored(found, "mentions", raw=F.count("*"), off_ontology=F.count_if(why == "off ontology"), nameless=F.count_if(why == "nameless"), kept=F.count_if(why.isNull()))
+    entities, named = stored(by_name(mentions.where(why.isNull())), "entities", n=F.count("*"))
+    _, aliases = stored(aliases_merged(entities), "keepers", merged=F.count_if(F.col("normalised") != F.col("keeper")))
+    _, ends = stored(relationships, "relationships", unresolved=F.count_if(F.col("source").isNull() | F.col("target").isNull()))
+    row = (counted["raw"], counted["off_ontology"], counted["nameless"], counted["kept"] - named["n"], aliases["merged"], ends["unresolved"])
+    return spark.createDataFrame([row], "raw long, off_ontology long, nameless long, merged_by_name long, merged_by_alias long, unresolved long")
 
 
 def resolved_ends(relationships: DataFrame, entities: DataFrame) -> DataFrame:
@@ -77,8 +94,40 @@ def followed(new: DataFrame, folder: str) -> DataFrame:
 def passages(mentions: DataFrame, chunks: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
     """(graph_id, entity_uuid, surface, index, passage): the text of each chunk that an entity is mentioned in, cut from its graph's document (graph_id, text)."""
     placed = mentions.join(chunks.select(F.col("uuid").alias("chunk_uuid"), "index", "start", "end"), "chunk_uuid")
-    own = documents.select("graph_id", F.col(text).alias("_text"))
-    return placed.join(own, "graph_id").select("graph_id", "entity_uuid", "surface", "index", text_slice(F.col("_text"), F.col("start"), F.col("end")).alias("passage"))
+    own = placed.select("graph_id", "start", "end", "entity_uuid", "surface", "index")
+    return cut(own, documents.select("graph_id", F.col(text).alias("text")), "graph_id").select("graph_id", "entity_uuid", "surface", "index", "passage")
+
+
+#: Places of a document that go with its text at once.
+PLACES = 50_000
+
+
+def cut(places: DataFrame, documents: DataFrame, key: str) -> DataFrame:
+    """places (key, start, end, ...) with passage, the characters from start to end, exclusive, of the document (key, text) of that key; places of other documents are left out.
+
+    A document's places are gathered, and meet its text once, which is then cut in one go: it isn't copied to each of them. Those of
+    a document with very many go in parts of bounded size.
+    """
+    rest = [c for c in places.columns if c != key]
+    many = places.groupBy(key).agg(F.ceil(F.count("*") / PLACES).alias("_parts"))
+    dealt = places.join(many, key).withColumn("_part", F.pmod(F.xxhash64("start", "end"), F.col("_parts")))
+    lists = dealt.groupBy(key, "_part").agg(F.collect_list(F.struct(*rest)).alias("_places"))
+    both = lists.join(documents.select(key, "text"), key).select(key, "text", "_places")
+    schema = T.StructType([*places.schema.fields, T.StructField("passage", T.StringType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        for whole in batches:
+            for k in range(whole.num_rows):
+                batch = whole.slice(k, 1)
+                text, own = batch.column(1)[0].as_py() or "", batch.column(2).flatten()
+                columns = {key: batch.column(0).take(pa.array([0] * len(own))), **{c: own.field(i) for i, c in enumerate(rest)}}
+                columns["passage"] = pa.array([text[a:b] for a, b in zip(columns["start"].to_pylist(), columns["end"].to_pylist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in target], schema=target)
+
+    return both.mapInArrow(run, schema)
 
 
 def text_slice(text: Column, start: Column, end: Column) -> Column:

@@ -107,7 +107,7 @@ def provenance(people: DataFrame) -> DataFrame:
 def followers(people: DataFrame, key: str = "user_id") -> DataFrame:
     """people with followers and following, by activity level and hash (bases are fixed values)."""
     base = F.when(F.col("activity_level") == "low", 40).when(F.col("activity_level") == "high", 900).otherwise(180)
-    spread = F.pmod(F.xxhash64(F.col("name"), F.col(key)), F.lit(100)) / 100
+    spread = F.floor(uniform(F.col("name"), F.col(key)) * 100) / 100
     out = people.withColumn("followers", (base * (0.5 + spread)).cast("int"))
     return out.withColumn("following", (F.col("followers") * (0.6 + spread * 0.8)).cast("int"))
 

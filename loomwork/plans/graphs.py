@@ -140,16 +140,17 @@ def flt20_off_ontology(run: Run) -> DataFrame:
     return _found(run).groupBy("dropped").agg(F.count("*").alias("n"))
 
 
-@query(_with([_FOUND, f"kept AS (SELECT type, normalised FROM found WHERE {_WHY} IS NULL)"], f"""SELECT count(*) AS raw, count(*) FILTER (WHERE {_WHY} = 'off ontology') AS off_ontology, count(*) FILTER (WHERE {_WHY} = 'nameless') AS nameless,
-(SELECT count(*) FROM kept) - (SELECT count(*) FROM (SELECT DISTINCT * FROM kept) k) AS merged_by_name, 0 AS merged_by_alias, (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 0) AS unresolved FROM found"""))
+_TITLES = "titled AS (SELECT type, CASE WHEN normalised <> '' AND p_partkey % 4 = 1 THEN 'deluxe ' || normalised ELSE normalised END AS normalised FROM found)"
+
+
+@query(_with([_FOUND, _TITLES, f"kept AS (SELECT type, normalised FROM titled WHERE {_WHY} IS NULL)", "own AS (SELECT DISTINCT type, normalised FROM kept)"], f"""SELECT count(*) AS raw, count(*) FILTER (WHERE {_WHY} = 'off ontology') AS off_ontology, count(*) FILTER (WHERE {_WHY} = 'nameless') AS nameless,
+(SELECT count(*) FROM kept) - (SELECT count(*) FROM own) AS merged_by_name, (SELECT count(*) FROM own a JOIN own b ON a.type = b.type AND b.normalised = 'deluxe ' || a.normalised WHERE a.normalised <> b.normalised) AS merged_by_alias, (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 0) AS unresolved FROM titled"""))
 def agg21_extraction_counters(run: Run) -> DataFrame:
-    found = _found(run)
-    kept = found.where("dropped is null").select("type", "normalised", F.lit("x").alias("surface"), F.col("p_partkey").alias("chunk"), F.lit(0).alias("start"))
-    by_name = resolve.by_name(kept)
-    aliases = resolve.aliases_merged(by_name)
+    """Counted while the extraction is stored: parts as mentions, a quarter of them with a title, which the names without one are ends of."""
+    name = F.expr("if(normalised <> '' and p_partkey % 4 = 1, concat('deluxe ', normalised), normalised)")
+    found = _found(run).withColumn("normalised", name).select("type", "normalised", "dropped", F.lit("x").alias("surface"), F.col("p_partkey").alias("chunk"), F.lit(0).alias("start"))
     relationships = run.table("orders").select(F.lit("a").alias("source"), F.expr("if(o_orderkey % 4 = 0, null, 'b')").alias("target"))
-    out = loading.extraction_counters(found, by_name.select("type", "normalised"), aliases, relationships)
-    return out.withColumn("merged_by_alias", F.col("merged_by_alias") * 0)  # none of these names has one end in another's
+    return loading.extracted(found, relationships, scratch(run.spark, "extraction"))
 
 
 @query("SELECT o_orderkey, CASE WHEN c.first IS NULL THEN NULL ELSE c.first END AS source, s.first AS target FROM orders LEFT JOIN (SELECT c_mktsegment, min(c_custkey) AS first FROM customer GROUP BY 1) c ON c.c_mktsegment = CASE o_orderkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'NONE' END LEFT JOIN (SELECT c_mktsegment, min(c_custkey) AS first FROM customer GROUP BY 1) s ON s.c_mktsegment = CASE o_orderkey % 2 WHEN 0 THEN 'BUILDING' ELSE 'FURNITURE' END WHERE coalesce(c.first <> s.first, true)")
@@ -364,21 +365,22 @@ def fnr4_named_quota(run: Run) -> DataFrame:
     return run.profiles.agg(F.count("*").alias("total"), F.count_if(F.col("provenance") == "named").alias("named")).select(population.quota(F.col("total"), 0.3, F.col("named")).alias("quota"), "total")
 
 
-@query("SELECT user_id, CASE activity_level WHEN 'low' THEN 0.2::DOUBLE WHEN 'high' THEN 0.9::DOUBLE ELSE 0.55::DOUBLE END AS rate, CASE activity_level WHEN 'low' THEN 40 WHEN 'high' THEN 900 ELSE 180 END AS base, true AS within FROM profiles")
+_DRAWN = "CAST('0x' || substr(md5('{0}|' || {1}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+_RATE = "CASE activity_level WHEN 'low' THEN 0.2::DOUBLE WHEN 'high' THEN 0.9::DOUBLE ELSE 0.55::DOUBLE END"
+
+
+@query(f"""SELECT user_id, rate, followers, CAST(trunc(followers * (0.6::DOUBLE + spread * 0.8::DOUBLE)) AS INTEGER) AS following FROM (SELECT user_id, rate, spread, CAST(trunc(base * (0.5::DOUBLE + spread)) AS INTEGER) AS followers
+FROM (SELECT user_id, {_RATE} AS rate, CASE activity_level WHEN 'low' THEN 40 WHEN 'high' THEN 900 ELSE 180 END AS base, floor({_DRAWN.format(0, "name || '|' || user_id")} * 100) / 100 AS spread FROM profiles) a) b""")
 def fnm8_followers(run: Run) -> DataFrame:
     """Followers by activity: between half and one and a half of a base, and following between 0.6 and 1.4 of these."""
-    rows = population.followers(run.profiles)
-    base = F.when(F.col("activity_level") == "low", 40).when(F.col("activity_level") == "high", 900).otherwise(180)
-    within = F.col("followers").between(F.floor(base * 0.5), base * 1.5) & F.col("following").between(F.floor(F.col("followers") * 0.6), F.col("followers") * 1.4)
-    return rows.select("user_id", fv.participation(F.col("activity_level")).alias("rate"), base.alias("base"), within.alias("within"))
+    return population.followers(run.profiles).select("user_id", fv.participation(F.col("activity_level")).alias("rate"), "followers", "following")
 
 
-@query("SELECT CAST(user_id AS BIGINT) AS user_id, activity_level, true AS alike FROM profiles")
+@query(f"SELECT user_id, activity_level, {_DRAWN.format(1, "user_id || '|4'")} < {_RATE} AS takes_part FROM profiles")
 def fnm9_participants(run: Run) -> DataFrame:
-    """Who takes part in a round: by a hash of agent and round below the level's rate, the same whenever it is asked."""
+    """Who takes part in a round: by a digest of agent and round below the level's rate."""
     draw = fv.uniform(F.col("user_id"), F.lit(4), seed=1) < fv.participation(F.col("activity_level"))
-    again = run.profiles.repartition(7).select("user_id", draw.alias("again"))
-    return run.profiles.select("user_id", "activity_level", draw.alias("takes_part")).join(again, "user_id").select("user_id", "activity_level", (F.col("takes_part") == F.col("again")).alias("alike"))
+    return run.profiles.select("user_id", "activity_level", draw.alias("takes_part"))
 
 
 # ---- reports -------------------------------------------------------------------------------------------------------

@@ -421,7 +421,11 @@ def fnr1_occupations(run: Run) -> DataFrame:
     return population.sampled_occupations(o, 2 * o.count()).groupBy("sector", "occupation").agg(F.count("*").alias("n"))
 
 
-@query()
+_DRAWN = "CAST('0x' || substr(md5('{0}|' || {1}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query(f"""SELECT user_id, CASE WHEN u < 0.4 THEN 'for' WHEN u < 0.7 THEN 'against' ELSE 'unsure' END AS stance, followers, CAST(trunc(followers * (0.6::DOUBLE + spread * 0.8::DOUBLE)) AS INTEGER) AS following
+FROM (SELECT user_id, u, spread, CAST(trunc(900 * (0.5::DOUBLE + spread)) AS INTEGER) AS followers FROM (SELECT user_id, {_DRAWN.format(3, "user_id")} AS u, floor({_DRAWN.format(0, "name || '|' || user_id")} * 100) / 100 AS spread FROM users) a) b""")
 def fnr2_stances(run: Run) -> DataFrame:
     rows = population.weighted_choice(run.users, [("for", 0.4), ("against", 0.3), ("unsure", 0.3), ("absent", 0.0)], "user_id", "stance", seed=3)
     return population.followers(rows.withColumn("activity_level", F.lit("high"))).select("user_id", "stance", "followers", "following")

@@ -215,8 +215,9 @@ def src19_text_slices(run: Run) -> DataFrame:
     """Slices of the documents' texts, joined by graph."""
     d = run.table("documents").where("text <> ''")
     places = d.select(F.col("doc_id").alias("graph_id"), F.explode(F.expr("sequence(0L, cast(ceil(length(text) / 500) as bigint) - 1)")).alias("slice"))
-    cut = places.join(d.select(F.col("doc_id").alias("graph_id"), "text"), "graph_id")
-    return cut.select(F.col("graph_id").alias("doc_id"), "slice", F.md5(F.encode(loading.text_slice(F.col("text"), F.col("slice") * 500, F.col("slice") * 500 + 500), "UTF-8")).alias("digest"))
+    places = places.withColumns({"start": F.col("slice") * 500, "end": F.col("slice") * 500 + 500})
+    cut = loading.cut(places, d.select(F.col("doc_id").alias("graph_id"), "text"), "graph_id")
+    return cut.select(F.col("graph_id").alias("doc_id"), "slice", F.md5(F.encode("passage", "UTF-8")).alias("digest"))
 
 
 # ---- what is written -----------------------------------------------------------------------------------------------

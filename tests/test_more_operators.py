@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import text as ft
 from loomwork.operators import cells, chunking, graph, profiles, search, sentiment
 from loomwork.plans import knowledge, registry  # noqa: F401
-from loomwork.sources import files
+from loomwork.sources import files, shared
 from loomwork.streaming import rounds
 
 
@@ -52,13 +52,22 @@ def test_cells_are_left_out(spark, monkeypatch):
     assert one == many and len(one) == 2100
 
 
-def test_neighbourhood_plan_is_linear(spark):
-    nodes = spark.createDataFrame([(f"n{k}",) for k in range(40)], "uuid string")
-    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(39)], "src string, dst string")
-    sizes = [graph.neighbours(nodes, edges, "n10", d)._jdf.queryExecution().optimizedPlan().toString().count("Join") for d in (1, 2, 4)]
-    assert sizes == [1, 2, 4]
-    assert {(r.uuid, r.distance) for r in graph.neighbours(nodes, edges, "n10", 3).collect()} == {(f"n{k}", abs(k - 10)) for k in range(7, 14)}
+def test_neighbourhood(spark, monkeypatch):
+    """A chain, whose plan doesn't nest however deep it is followed; and a star, whose edges no task has all of."""
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(40)] + [("hub",)], "uuid string")
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(39)] + [(None, "n3")], "src string, dst string")
+    plans = [graph.neighbours(nodes, edges, "n10", d) for d in (1, 2, 4)]
+    assert [p._jdf.queryExecution().optimizedPlan().toString().count("Join") for p in plans] == [0, 0, 0]
+    assert {r.uuid: r.distance for r in plans[2].collect()} == {f"n{k}": abs(k - 10) for k in range(6, 15)}
     assert graph.neighbours(nodes, edges, "nobody", 2).count() == 0
+    monkeypatch.setattr(graph, "HUB", 500)
+    star = spark.range(20_000).select(F.lit("hub").alias("src"), F.concat(F.lit("leaf"), "id").alias("dst"))
+    joins = []
+    monkeypatch.setattr(graph, "written", lambda df, name: joins.append(df) or shared.written(df, name))
+    found = graph.neighbours(nodes.unionByName(star.select(F.col("dst").alias("uuid"))), star, "leaf7", 2)
+    assert found.count() == 20_001 and found.where("distance = 2").count() == 19_999
+    parts = star.withColumn("part", F.pmod(F.xxhash64("dst"), F.lit(40))).groupBy("part").count().collect()
+    assert len(joins) == 4 and len(parts) == 40 and max(r["count"] for r in parts) < 700
 
 
 def test_markdown_beyond_ascii(spark):
