@@ -57,14 +57,12 @@ def eligible(entities: DataFrame, individuals: list[str], institutions: list[str
 
 
 def persona(p: DataFrame) -> Column:
-    """A profile's self-description as prose; parts without content are left out."""
+    """A profile as a line of labelled parts; those without content are left out."""
     some = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", "))
     parts = [
-        F.concat(F.col("name"), F.lit(" is "), F.col("age"), F.lit(" and works as a "), F.col("occupation"), F.lit(".")), some("background"),
-        F.concat(F.lit("They come across as "), listed("traits"), F.lit(".")), F.concat(F.lit("They are interested in "), listed("interests"), F.lit(".")),
-        F.concat(F.lit("Their view on the matter at hand: "), some("leanings"), F.lit(".")), F.concat(F.lit("They write like this: "), some("writing_style"), F.lit(".")),
-        F.concat(F.lit("They post "), F.col("activity_level"), F.lit(" amounts of the time.")),
+        F.concat(F.concat_ws(", ", "name", F.col("age").cast("string"), "occupation"), F.lit(".")), some("background"), F.concat(F.lit("Traits: "), listed("traits"), F.lit(".")), F.concat(F.lit("Interests: "), listed("interests"), F.lit(".")),
+        F.concat(F.lit("Stance: "), some("leanings"), F.lit(".")), F.concat(F.lit("Style: "), some("writing_style"), F.lit(".")), F.concat(F.lit("Activity: "), F.col("activity_level"), F.lit(".")),
     ]
     return F.concat_ws(" ", *parts)
 

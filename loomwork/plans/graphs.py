@@ -279,8 +279,8 @@ def _personas(run: Run) -> DataFrame:
     )
 
 
-_PERSONA = """name || ' is ' || (user_id % 60 + 20) || ' and works as a job ' || (user_id % 9) || '.' || CASE WHEN user_id % 3 = 0 THEN ' about ' || user_id ELSE '' END || CASE WHEN user_id % 2 = 0 THEN ' They come across as calm, dry.' ELSE '' END || CASE WHEN user_id % 5 = 0 THEN ' They are interested in maps.' ELSE '' END
-|| CASE WHEN user_id % 4 = 1 THEN ' Their view on the matter at hand: in favour.' ELSE '' END || ' They write like this: short. They post ' || activity_level || ' amounts of the time.'"""
+_PERSONA = """name || ', ' || (user_id % 60 + 20) || ', job ' || (user_id % 9) || '.' || CASE WHEN user_id % 3 = 0 THEN ' about ' || user_id ELSE '' END || CASE WHEN user_id % 2 = 0 THEN ' Traits: calm, dry.' ELSE '' END || CASE WHEN user_id % 5 = 0 THEN ' Interests: maps.' ELSE '' END
+|| CASE WHEN user_id % 4 = 1 THEN ' Stance: in favour.' ELSE '' END || ' Style: short. Activity: ' || activity_level || '.'"""
 _ABOUT = "CASE WHEN user_id % 3 = 0 THEN 'about ' || user_id ELSE 'job ' || (user_id % 9) END"
 
 

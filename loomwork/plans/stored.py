@@ -11,7 +11,7 @@ from loomwork.functions import values as fv
 from loomwork.operators import ledger, loading, profiles, report
 from loomwork.plans.registry import query
 from loomwork.plans.views import Run
-from loomwork.sources import buckets, files
+from loomwork.sources import buckets, encodings, files
 from loomwork.sources.shared import scratch
 
 _EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType())])
@@ -114,6 +114,16 @@ def src8_encodings(run: Run) -> DataFrame:
     return rows.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("long").alias("doc_id"), "encoding", F.length("text").cast("long").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
+@query("SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM documents WHERE octet_length(encode(text)) >= 300 AND length(text) < octet_length(encode(text)) AND NOT regexp_matches(text, '[^\\x00-\\x7F\\x{00A1}-\\x{00FF}]')")
+def src8_unmarked_encodings(run: Run) -> DataFrame:
+    """Documents beyond ASCII in an old encoding and without a mark: what they are is told by weights that the same table teaches."""
+    d = run.table("documents").where(F.octet_length("text") >= 300).where(F.length("text") < F.octet_length("text")).where(~F.col("text").rlike("[^\\x00-\\x7F\\u00A1-\\u00FF]"))
+    content = F.encode("text", "ISO-8859-1")
+    rows = d.select(F.concat(F.lit("file:/in/"), F.col("doc_id"), F.lit(".txt")).alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("length"))
+    found = files.decoded_files(rows, weights=encodings.learned(run.table("documents"))).where("problem is null")
+    return found.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("long").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
 @query("""SELECT page, y0, x0, CAST(row_number() OVER (PARTITION BY page ORDER BY region, side, y0, x0) AS INTEGER) AS place FROM (SELECT *, sum(CASE WHEN wide THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, x0) AS region, CASE WHEN wide THEN -1 WHEN x1 <= 50 THEN 0 WHEN x0 >= 50 THEN 1 ELSE 2 END AS side FROM
 (SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) AS y0, l_partkey % 60 AS x0, l_partkey % 60 + l_suppkey % 80 AS x1, l_suppkey % 80 >= 65 AS wide FROM lineitem) a) b""")
 def src10_reading_order(run: Run) -> DataFrame:
@@ -263,10 +273,10 @@ def snk9_deleted_graph(run: Run) -> DataFrame:
 _ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
 
-@query(f"""SELECT page_id, '# ' || coalesce(url, '') || chr(10) || chr(10) || '## Body' || chr(10) || chr(10) || replace(trim(substr(html, 1, 400)), '```', '''''''') || chr(10) AS markdown, '<h1>' || {_ESCAPED.format("coalesce(url, '')")} || '</h1><h2>Body</h2><p>' || {_ESCAPED.format("trim(substr(html, 1, 400))")} || '</p>' AS page FROM pages WHERE trim(substr(html, 1, 400)) <> ''""")
+@query(f"""SELECT page_id, '# ' || coalesce(url, '') || chr(10) || chr(10) || '## Body' || chr(10) || chr(10) || replace(trim(html), '```', '''''''') || chr(10) AS markdown, '<h1>' || {_ESCAPED.format("coalesce(url, '')")} || '</h1><h2>Body</h2><p>' || {_ESCAPED.format("trim(html)")} || '</p>' AS page FROM pages WHERE trim(html) <> ''""")
 def snk13_rendered(run: Run) -> DataFrame:
     """Pages as bodies of reports, in Markdown and HTML; the empty section is left out."""
-    body = F.substring("html", 1, 400)
+    body = F.col("html")
     sections = F.array(F.struct(F.lit("Body").alias("heading"), body.alias("body")), F.struct(F.lit("Empty").alias("heading"), F.lit(" ").alias("body")))
     title = F.coalesce("url", F.lit(""))
     return run.table("pages").where(F.trim(body) != "").select("page_id", report.markdown(title, sections).alias("markdown"), report.html(title, sections).alias("page"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.sources import encodings
 from loomwork.sources.shared import exists, removed
 
 MOST_BYTES = 50 << 20
@@ -92,8 +94,8 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return decoded_files(files)
 
 
-def decoded_files(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(path, text, encoding, problem) of files (path, length, content)."""
+def decoded_files(files: DataFrame, most_bytes: int = MOST_BYTES, weights: np.ndarray | None = None) -> DataFrame:
+    """(path, text, encoding, problem) of files (path, length, content); weights, from encodings.learned, tell encodings that have no mark."""
     files = files.select("path", "length", F.when(F.col("length") <= most_bytes, F.col("content")).alias("content"))
     name = F.lower("path")
     allowed = F.lit(False)
@@ -103,22 +105,23 @@ def decoded_files(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [decoded(c) if c and p is None else (None, None) for c, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            pairs = [decoded(c, weights) if c and p is None else (None, None) for c, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in pairs], pa.string()), pa.array([e for _, e in pairs], pa.string()), batch.column(2)], names=["path", "text", "encoding", "problem"])
 
     return files.select("path", "content", why.alias("problem")).mapInArrow(run, "path string, text string, encoding string, problem string")
 
 
-def decoded(data: bytes) -> tuple[str, str]:
-    """Text and encoding: a byte order mark, strict UTF-8, Windows-1252, UTF-8 with replacements, whichever comes first."""
+def decoded(data: bytes, weights: np.ndarray | None = None) -> tuple[str, str]:
+    """Text and encoding: a byte order mark, strict UTF-8, what reads best by weights (see encodings) if there are any, Windows-1252, UTF-8 with replacements, whichever comes first."""
     marks = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
-    guesses = [e for m, e in marks if data.startswith(m)][:1] + ["utf-8", "cp1252"]
+    guesses = [e for m, e in marks if data.startswith(m)][:1] + ["utf-8"]
     for encoding in guesses:
-        try:
-            return data.decode(encoding), encoding
-        except UnicodeDecodeError:
-            continue
-    return data.decode("utf-8", "replace"), "utf-8"
+        if (text := encodings.decoding(data, encoding)) is not None:
+            return text, encoding
+    if weights is not None and (found := encodings.likely(data, weights)):
+        return found
+    text = encodings.decoding(data, "cp1252")
+    return (data.decode("utf-8", "replace"), "utf-8") if text is None else (text, "cp1252")
 
 
 def ordered_blocks(blocks: DataFrame, wide: float = 0.65) -> DataFrame:
