@@ -108,11 +108,6 @@ def fnt2_markdown_pages(run: Run) -> DataFrame:
     return run.table("pages").select("page_id", ft.normalised_markdown(F.col("html")).alias("prose"))
 
 
-@query()
-def fnt1_normalised_documents(run: Run) -> DataFrame:
-    return run.table("documents").select("doc_id", ft.normalised_text(F.col("text")).alias("text"))
-
-
 #: What counts as blank, as a class of RE2; marks that the SQL sets where a sentence may end, and where a paragraph does.
 _BLANK = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _MAY_END, _PART = "chr(57344)", "chr(57345)"
