@@ -26,13 +26,24 @@ def by_name(mentions: DataFrame) -> DataFrame:
     )
 
 
-def attributes_folded(values: DataFrame) -> DataFrame:
-    """(type, normalised, key, value, conflicts) from (type, normalised, key, value, chunk): the first value stays, other values are listed with the chunk where each came first."""
+#: Values of a list that is shown; all of them are rows.
+SHOWN = 100
+
+
+def attribute_values(values: DataFrame) -> DataFrame:
+    """(type, normalised, key, place, value, chunk) from (type, normalised, key, value, chunk): each value once, with the chunk where it came first, in that order; the one in place 1 holds."""
     firsts = values.groupBy("type", "normalised", "key", "value").agg(F.min("chunk").alias("chunk"))
     own = Window.partitionBy("type", "normalised", "key").orderBy("chunk", "value")
-    ranked = firsts.withColumn("r", F.row_number().over(own))
-    others = F.filter(F.array_sort(F.collect_list(F.struct("r", "value", "chunk"))), lambda x: x["r"] > 1)
-    return ranked.groupBy("type", "normalised", "key").agg(F.min_by("value", "r").alias("value"), F.transform(others, lambda x: F.struct(x["value"].alias("value"), x["chunk"].alias("chunk"))).alias("conflicts"))
+    return firsts.withColumn("place", F.row_number().over(own)).select("type", "normalised", "key", "place", "value", "chunk")
+
+
+def attributes_folded(values: DataFrame) -> DataFrame:
+    """(type, normalised, key, value, n_conflicts, conflicts) from (type, normalised, key, value, chunk): the first value stays, of the others the first SHOWN are listed with the chunk where each came first. attribute_values has all of them as rows, so no row grows with an entity's values."""
+    ranked = attribute_values(values)
+    listed = F.when(F.col("place").between(2, SHOWN + 1), F.struct("place", "value", "chunk"))
+    others = F.transform(F.array_sort(F.collect_list(listed)), lambda x: F.struct(x["value"].alias("value"), x["chunk"].alias("chunk")))
+    first = F.max(F.when(F.col("place") == 1, F.col("value"))).alias("value")
+    return ranked.groupBy("type", "normalised", "key").agg(first, (F.count("*") - 1).alias("n_conflicts"), others.alias("conflicts"))
 
 
 def aliases_merged(entities: DataFrame) -> DataFrame:

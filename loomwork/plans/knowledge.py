@@ -376,7 +376,7 @@ def join20_similar_merged(run: Run) -> DataFrame:
 @query("SELECT p_brand AS type, p_type AS normalised, 'size' AS key, max(CASE WHEN r = 1 THEN v END) AS value, count(*) - 1 AS n_conflicts FROM (SELECT p_brand, p_type, v, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY chunk, v) AS r FROM (SELECT p_brand, p_type, CAST(p_size AS VARCHAR) AS v, min(p_partkey) AS chunk FROM part GROUP BY 1, 2, 3) a) b GROUP BY 1, 2")
 def agg18_attributes_folded(run: Run) -> DataFrame:
     v = run.table("part").select(F.col("p_brand").alias("type"), F.col("p_type").alias("normalised"), F.lit("size").alias("key"), F.col("p_size").cast("string").alias("value"), F.col("p_partkey").alias("chunk"))
-    return resolve.attributes_folded(v).select("type", "normalised", "key", "value", F.size("conflicts").cast("long").alias("n_conflicts"))
+    return resolve.attributes_folded(v).select("type", "normalised", "key", "value", "n_conflicts")
 
 
 # A loop over the people in their order, which holds the handles so far: each takes the first of slug, slug_2 and so on that isn't among them.

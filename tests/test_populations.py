@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from loomwork.operators import population
+from loomwork.operators import population, resolve
 
 
 def in_turn(people):
@@ -43,3 +43,14 @@ def test_occupations_in_turn(spark):
     rows = population.sampled_occupations(o, 17).orderBy("place").collect()
     assert [r.place for r in rows] == list(range(17)) and [r.occupation for r in rows[:7]] == [r.occupation for r in rows[7:14]]
     assert {r.sector for r in rows[:2]} == {"a", "b"} and {r.sector for r in rows[:4]} == {"a", "b"} and len({r.occupation for r in rows[:7]}) == 7
+
+
+def test_conflicts_are_shown_in_part(spark):
+    """An attribute with many values: the first holds, a few are listed, all are rows."""
+    values = [("P", "ann", "job", f"v{k % 300}", k) for k in range(900)] + [("P", "bo", "job", "x", 4), ("P", "bo", "job", None, 2)]
+    df = spark.createDataFrame(values, "type string, normalised string, key string, value string, chunk long")
+    rows = {r.normalised: r for r in resolve.attributes_folded(df).collect()}
+    assert (rows["ann"].value, rows["ann"].n_conflicts, len(rows["ann"].conflicts)) == ("v0", 299, resolve.SHOWN)
+    assert [tuple(c) for c in rows["ann"].conflicts] == [(f"v{k}", k) for k in range(1, resolve.SHOWN + 1)]
+    assert (rows["bo"].value, rows["bo"].n_conflicts) == (None, 1) and [tuple(c) for c in rows["bo"].conflicts] == [("x", 4)]
+    assert resolve.attribute_values(df).where("normalised = 'ann'").count() == 300
