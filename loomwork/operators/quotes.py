@@ -47,8 +47,8 @@ def find(text: str, quote: str) -> tuple[int, int] | None:
 
 
 def flat(text: str) -> str:
-    """flattened without the places."""
-    return _BLANKS.sub(" ", text).lstrip().lower() if text.isascii() else flattened(text)[0]
+    """flattened without the places. A capital sigma is the one letter whose lower case depends on what stands beside it."""
+    return flattened(text)[0] if "Σ" in text else _BLANKS.sub(" ", text).lstrip().lower()
 
 
 def quoted(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
