@@ -28,6 +28,8 @@ PRIOR = 0.1
 LEAST_Z, LEAST_SEEN = 2.7, 2
 #: A segment is significant if fewer than this many as good are expected by chance in a text of its length.
 LEAST_E = 1.0
+#: Figures of a text: three of passages of either label.
+FEATURES = 6
 
 _SEPARATORS = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in LOWER)
 
@@ -70,6 +72,8 @@ class Model:
     decay: float = 1.0
     scale: float = 1.0
     weights: np.ndarray | None = None
+    #: The same for label 0: passages that speak against label 1.
+    against: Model | None = None
 
     def scores(self, words: list[bytes]) -> dict[int, float]:
         """Scores that differ from other, by place."""
@@ -100,7 +104,13 @@ class Model:
         n = max(len(words), 1)
         return [(places[a], places[b - 1] + 1, s, self.scale * n * math.exp(-min(self.decay * s, 700))) for a, b, s in segments(line)]
 
-    def features(self, words: list[bytes]) -> tuple[float, float, float]:
+    def features(self, words: list[bytes]) -> tuple[float, ...]:
+        """What passages tell for label 1, and what others tell against it; zeros for a side that has no weight."""
+        sides = (self, self.against)
+        used = [self.weights is None or bool(self.weights[a : a + 3].any()) for a in (0, 3)]
+        return tuple(x for side, use in zip(sides, used, strict=True) for x in (side.figures(words) if use and side else (0.0, 0.0, 0.0)))
+
+    def figures(self, words: list[bytes]) -> tuple[float, float, float]:
         """Largest and summed normalised score of the significant passages, and their number per thousand tokens, as logarithms."""
         best = [(-math.log(max(e, 1e-300))) for _, _, _, e in self.passages(words) if e < LEAST_E]
         return (math.log1p(max(best, default=0.0)), math.log1p(sum(best)), math.log1p(1000 * len(best) / max(len(words), 50)))
@@ -146,46 +156,69 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, terms:
 
     own = scored(counts)
     begins = scored(counts.groupBy(F.expr(f"substring(term, 1, {PREFIX})").alias("term")).agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
-    model = Model({bytes(r.term): r.s for r in own}, {bytes(r.term): r.s for r in begins if r.s > 0}, 0.0)
-    # What remains loses a little, so that a passage ends where toxic tokens get rare.
-    rest_t = max(total_t - sum(r.t for r in own), 0) + 1.0
-    rest_c = max(total_c - sum(r.c for r in own), 0) + 1.0
-    model.other = min(-0.05, math.log(rest_t / (total_t + 1.0)) - math.log(rest_c / (total_c + 1.0)))
-    _calibrate(model, sample, own, total_c)
+    model = _side(own, begins, 1, total_t, total_c)
+    model.against = _side(own, begins, -1, total_c, total_t)
+    _calibrate(model, sample, own, total_t, total_c)
+    return model
+
+
+def _side(own: list, begins: list, sign: int, total: int, total_other: int) -> Model:
+    """The scores for label 1, or for label 0 with sign -1; totals are of the label's tokens and of the others."""
+    model = Model({bytes(r.term): sign * r.s for r in own}, {bytes(r.term): sign * r.s for r in begins if sign * r.s > 0}, 0.0)
+    # What remains loses a little, so that a passage ends where the label's tokens get rare.
+    seen, seen_other = (sum(getattr(r, k) for r in own) for k in ("tc" if sign > 0 else "ct"))
+    rest, rest_other = max(total - seen, 0) + 1.0, max(total_other - seen_other, 0) + 1.0
+    model.other = min(-0.05, math.log(rest / (total + 1.0)) - math.log(rest_other / (total_other + 1.0)))
     return model
 
 
-def _calibrate(model: Model, sample: DataFrame, own: list, total_c: int) -> None:
-    """decay: the positive root of E[exp(decay s)] = 1 over clean tokens; scale: from clean segments; weights: from the texts' features."""
-    seen_c = sum(r.c for r in own)
-    s = np.array([r.s for r in own] + [model.other])
-    p = np.array([r.c + PRIOR * (r.t + r.c) for r in own] + [max(total_c - seen_c, 1.0)], float)
-    p /= p.sum()
-    low, high = 1e-3, 20.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if np.log(p @ np.exp(np.clip(mid * s, -700, 700))) < 0 else (low, mid)
-    model.decay = max(low, 1e-3)
+def _calibrate(model: Model, sample: DataFrame, own: list, total_t: int, total_c: int) -> None:
+    """decay: the positive root of E[exp(decay s)] = 1 over tokens of the other label; scale: from its segments; weights: from the texts' features."""
+    for side, sign, kind, total in ((model, 1, "c", total_c), (model.against, -1, "t", total_t)):
+        s = np.array([sign * r.s for r in own] + [side.other])
+        p = np.array([r[kind] + PRIOR * (r.t + r.c) for r in own] + [max(total - sum(r[kind] for r in own), 1.0)], float)
+        p /= p.sum()
+        low, high = 1e-3, 20.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.log(p @ np.exp(np.clip(mid * s, -700, 700))) < 0 else (low, mid)
+        side.decay = max(low, 1e-3)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(w), max((p[2] for p in model.passages(w)), default=0.0)) for w in map(tokens, utf8(batch.column(0)))]
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([n for n, _ in rows], pa.int64()), pa.array([top for _, top in rows], pa.float64())], names=["label", "n", "top"])
-
-    clean = np.array([tuple(r) for r in sample.where("label = 0").mapInArrow(run, "label int, n long, top double").select("n", "top").collect()], float).reshape(-1, 2)
-    top = clean[clean[:, 1] > 0]
-    # Of clean texts a share has a segment beyond the middle one of those found: the rate that fixes the scale.
-    level = np.median(top[:, 1]) if len(top) >= 5 else math.log(max(total_c, 2)) / model.decay
-    hits = max((top[:, 1] >= level).sum(), 0.5)
-    model.scale = float(np.clip(hits / max(clean[:, 0].sum(), 1.0) * math.exp(min(model.decay * level, 700)), 1e-3, 1e3))
+            labels = batch.column(1).to_pylist()
+            rows = [(y, len(w), max((p[2] for p in (model.against if y else model).passages(w)), default=0.0)) for y, w in zip(labels, map(tokens, utf8(batch.column(0))), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _, _ in rows], pa.int32()), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([top for *_, top in rows], pa.float64())], names=["label", "n", "top"])
+
+    others = np.array([tuple(r) for r in sample.mapInArrow(run, "label int, n long, top double").collect()], float).reshape(-1, 3)
+    for side, label, total in ((model, 0, total_c), (model.against, 1, total_t)):
+        clean = others[others[:, 0] == label][:, 1:]
+        top = clean[clean[:, 1] > 0]
+        # Of the other label's texts a share has a segment beyond the middle one of those found: the rate that fixes the scale.
+        level = np.median(top[:, 1]) if len(top) >= 5 else math.log(max(total, 2)) / side.decay
+        hits = max((top[:, 1] >= level).sum(), 0.5)
+        side.scale = float(np.clip(hits / max(clean[:, 0].sum(), 1.0) * math.exp(min(side.decay * level, 700)), 1e-3, 1e3))
 
     def figures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = np.array([model.features(tokens(x)) for x in utf8(batch.column(0))], float).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), *[pa.array(f[:, k]) for k in range(3)]], names=["label", "a", "b", "c"])
+            f = np.array([model.features(tokens(x)) for x in utf8(batch.column(0))], float).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(f.tolist(), pa.list_(pa.float64()))], names=["label", "f"])
+
+    rows = sample.mapInArrow(figures, "label int, f array<double>").collect()
+    model.weights = _weights(np.array([r.f for r in rows], float).reshape(-1, FEATURES), np.array([r.label for r in rows], float))
+
 
-    rows = np.array([tuple(r) for r in sample.mapInArrow(figures, "label int, a double, b double, c double").collect()], float).reshape(-1, 4)
-    model.weights = logistic_fit(rows[:, 1:], rows[:, 0], ridge=0.05)
+def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the figures of either side or of both, whichever explains the labels best for its number (Bayesian information criterion), so that a side that tells nothing adds no noise."""
+    best, least = np.zeros(FEATURES + 1), math.inf
+    for own in ([0, 1, 2], [3, 4, 5], [*range(FEATURES)]):
+        w = logistic_fit(x[:, own], y, ridge=0.05)
+        p = np.clip(logistic(x[:, own], w), 1e-9, 1 - 1e-9)
+        cost = -np.log(np.where(y > 0, p, 1 - p)).sum() + len(own) / 2 * math.log(max(len(y), 2))
+        if cost < least:
+            best, least = np.zeros(FEATURES + 1), cost
+            best[[*own, FEATURES]] = w
+    return best
 
 
 PASSAGE = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("expected", T.DoubleType())])
@@ -206,7 +239,7 @@ def with_scores(documents: DataFrame, model: Model, text_col: str = "text", thre
 
         def apply(column):
             texts = utf8(column)
-            f = np.array([m.features(tokens(x)) for x in texts], float).reshape(-1, 3)
+            f = np.array([m.features(tokens(x)) for x in texts], float).reshape(-1, FEATURES)
             score = logistic(f, m.weights)
             out = {"score": score, "predicted": (score >= threshold).astype(np.int32)}
             if passages:

@@ -30,6 +30,14 @@ def test_held_out_accuracy(spark):
     assert sum(p == t for p, t in held) / len(held) > 0.97
 
 
+def test_either_label_may_be_the_marked_one(spark):
+    """Labels turned around: what marks label 0 speaks against label 1, and held-out rows are ranked as well."""
+    docs, labels, truth = labelled(spark)
+    got = [r for r in toxicity.toxicity(docs, labels.selectExpr("doc_id", "1 - toxic AS toxic")).collect() if r.held_out]
+    one, other = ([r.score for r in got if truth[r.doc_id] == k] for k in (0, 1))
+    assert sum((a > b) + (a == b) / 2 for a in one for b in other) / (len(one) * len(other)) > 0.97
+
+
 def test_held_out_labels_are_not_read(spark):
     docs, labels, _ = labelled(spark, 300)
     turned = labels.selectExpr("doc_id", "if(crc32(cast(doc_id as string)) % 4 = 2, 1 - toxic, toxic) AS toxic")
