@@ -50,6 +50,12 @@ def test_accuracy_by_encoding(spark, weights):
         assert len(own) > 50 and sum(own) / len(own) > 0.95, (encoding, sum(own), len(own))
 
 
+@pytest.mark.parametrize("text", ["ENCHÖÜ!! NICHTÄ,!! KEITÜ EINÖ. ", "Üzu ößung Üzu. ", "raezí. LLÑ!! raezí. ", "ÇÉ!! OURÉ!! SONÈ, ÈÊ.\n"])
+def test_letters_of_two_alphabets_in_a_word(weights, text):
+    """Capitals and letters in odd places read no better as Cyrillic inside Latin words."""
+    assert files.decoded((text * 12).encode("latin-1"), weights)[0] == text * 12
+
+
 def test_learned_from_little(spark):
     none = encodings.learned(spark.createDataFrame([("plain",), (None,)], "text string"))
     assert files.decoded(RUSSIAN.encode("cp1251"), none)[0] == RUSSIAN
