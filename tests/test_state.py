@@ -4,10 +4,13 @@ import datetime
 import os
 import uuid
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.plans import streams
+from loomwork.plans.views import Run
 from loomwork.sources import buckets
 from loomwork.streaming import rounds
 
@@ -108,3 +111,32 @@ def test_counts_are_published_when_the_round_moves(spark, tmp_path):
         rounds.refreshed(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
         got = {(r.round, r.action, r.n) for r in spark.read.parquet(str(tmp_path / "out/counts")).collect()}
         assert got == {(0, "a", 1)} | ({(1, "a", 3), (1, "b", 1)} if k > 1 else set())
+
+
+def test_sessions_of_many_users_at_once():
+    """Rows of all users in one call, against a plain loop."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 500):
+        start = rng.integers(0, 4000, n)
+        rows = np.column_stack([rng.integers(0, 9, n), start, start + rng.integers(1, 60, n), rng.integers(1, 4, n)]).astype(np.int64)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        want = []
+        for user, a, b, k in rows.tolist():
+            if want and want[-1][0] == user and a < want[-1][2]:
+                want[-1] = [user, want[-1][1], max(b, want[-1][2]), want[-1][3] + k]
+            else:
+                want.append([user, a, b, k])
+        assert rounds.joined(rows).tolist() == want
+
+
+def test_a_part_of_a_stream_is_in_many_files(spark):
+    """Each batch is a part, written by all tasks that read it, and not by one."""
+    seen = []
+    folder = streams.scratch(spark, "seen")
+
+    def start(stream):
+        count = lambda batch, _: seen.append((batch.count(), batch.select(F.input_file_name()).distinct().count()))
+        return stream.writeStream.foreachBatch(count).option("checkpointLocation", folder).trigger(availableNow=True).start()
+
+    streams._fed(Run(spark, ""), spark.range(0, 4000, 1, 5), F.col("id") % 4, start)
+    assert seen == [(1000, 5)] * 4
