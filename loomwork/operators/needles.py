@@ -1,4 +1,4 @@
-"""Substrings by n-grams: many needles in names by an index of postings, and many needles in long texts by each one's rarest gram."""
+"""Substrings by n-grams: many needles in names by stretches of their lengths, and many needles in long texts by each one's rarest gram."""
 
 from __future__ import annotations
 
@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions.text import match_kind, match_score
-from loomwork.sources.shared import scratch, written
+from loomwork.sources.shared import written
 
-#: Characters of a gram of names, grams of a needle that must meet in a name before it is looked at, parts of a gram's postings, and buckets.
-GRAM, RAREST, PARTS, BUCKETS = 3, 3, 8, 32
+#: Characters of a needle that are looked up as they are, and files of an index.
+LONGEST, BUCKETS = 16, 32
 
 
 def grams(text: Column, n: int | Column) -> Column:
@@ -26,44 +26,40 @@ def grams(text: Column, n: int | Column) -> Column:
 
 @dataclass
 class Postings:
-    """Entities, the grams of their names with the entities that have each, and how many do."""
+    """Entities with what a search asks of them."""
 
     entities: DataFrame
-    rows: DataFrame
-    counts: DataFrame
 
+    def pieces(self, sizes: list[int]) -> DataFrame:
+        """Entities with each different stretch (gram) of their names that has one of some lengths."""
+        texts = (F.lower("name"), F.col("normalised"))
+        own = F.array_union(*[F.flatten(F.array(*[grams(F.coalesce(t, F.lit("")), n) for n in sizes])) for t in texts])
+        return self.entities.withColumn("gram", F.explode(own))
 
-def postings(entities: DataFrame, buckets: int = BUCKETS) -> Postings:
-    """An index of entities (uuid, name, normalised, mention_count, ...) by what their names hold, written once and read by any number of searches.
 
-    Postings are bucketed by gram and part, so that a search shuffles its needles only; a gram that all names have is spread
-    over its parts. Grams of one and two characters are there for needles that have no more.
-    """
-    spark = entities.sparkSession
-    own = F.array_union(*[F.flatten(F.array(*[grams(F.coalesce(t, F.lit("")), n) for n in range(1, GRAM + 1)])) for t in (F.lower("name"), F.col("normalised"))])
-    rows = entities.select("uuid", F.explode(own).alias("gram")).withColumn("part", F.pmod(F.xxhash64("uuid"), F.lit(PARTS)))
-    path = scratch(spark, "postings")
-    name = "postings_" + path.rpartition("-")[2]
-    rows.write.bucketBy(buckets, "gram", "part").sortBy("gram", "part").option("path", path).saveAsTable(name)
-    table = spark.table(name)
-    return Postings(entities, table, written(table.groupBy("gram").agg(F.count("*").alias("n")), "grams"))
+def postings(entities: DataFrame, buckets: int = BUCKETS) -> Postings:
+    """Entities (uuid, name, normalised, mention_count, ...) written once, in so many files, and read by any number of searches."""
+    return Postings(written(entities.select("uuid", "name", "normalised", "mention_count").repartition(buckets), "names"))
 
 
 def found(index: Postings, needles: DataFrame, limit: int = 10) -> DataFrame:
     """(needle, uuid, matched_by, score, place) for each needle (query) as search.lexical finds it: of the entities whose name holds it the most mentioned, best match first.
 
-    All needles in one join: the rarest grams of each meet the postings, entities that have them all are candidates, and
-    their names are looked at. A needle of one or two characters is a gram itself. A blank needle finds nothing.
+    All needles in one join: names are cut into stretches of the lengths that needles have, and a stretch is a needle or isn't, so
+    nothing meets but what is found, and work grows with names and finds. Of a needle of more than LONGEST characters the rarest stretch
+    is looked up, and the names that have it are looked at. A blank needle finds nothing.
     """
     own = needles.select(F.lower(F.trim("query")).alias("needle")).where("needle <> ''").distinct()
-    asked = own.select("needle", F.explode(grams(F.col("needle"), F.least(F.lit(GRAM), F.length("needle")))).alias("gram"))
-    known = asked.join(index.counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("needle").orderBy("n", "gram"))
-    chosen = known.withColumn("r", rank).where(F.col("r") <= RAREST)
-    chosen = chosen.withColumn("wanted", F.count("*").over(Window.partitionBy("needle"))).withColumn("none", F.min("n").over(Window.partitionBy("needle")) == 0).where("not none")
-    parts = chosen.select("needle", "gram", "wanted", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
-    met = index.rows.join(parts, ["gram", "part"]).groupBy("needle", "uuid").agg(F.count("*").alias("n"), F.first("wanted").alias("wanted")).where("n = wanted").select("needle", "uuid")
-    held = met.join(index.entities.select("uuid", "name", "normalised", "mention_count"), "uuid").where(F.contains(F.lower("name"), F.col("needle")) | F.contains("normalised", F.col("needle")))
+    size = F.least(F.lit(LONGEST), F.length("needle"))
+    asked = written(own.select("needle", size.alias("size"), F.explode(grams(F.col("needle"), size)).alias("gram")), "needles")
+    sizes = sorted(r[0] for r in asked.select("size").distinct().collect())
+    if sizes[-1:] == [LONGEST]:
+        long = asked.where(F.length("needle") > LONGEST)
+        counts = index.pieces([LONGEST]).select("gram").join(long.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+        rank = F.row_number().over(Window.partitionBy("needle").orderBy("n", "gram"))
+        rarest = long.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("r", rank).where("r = 1 and n > 0")
+        asked = written(asked.where(F.length("needle") <= LONGEST).select("needle", "gram").unionByName(rarest.select("needle", "gram")), "needles")
+    held = index.pieces(sizes or [1]).join(asked.select("needle", "gram"), "gram").where(F.contains(F.lower("name"), F.col("needle")) | F.contains("normalised", F.col("needle")))
     most = Window.partitionBy("needle").orderBy(F.desc("mention_count"), "name", "uuid")
     hits = held.withColumn("r", F.row_number().over(most)).where(F.col("r") <= limit).withColumn("matched_by", match_kind(F.col("needle"), F.col("name"), F.col("normalised")))
     hits = hits.withColumn("score", match_score(F.col("matched_by")))

@@ -54,3 +54,17 @@ def test_quotes_in_documents(spark):
     got = sorted(tuple(r) for r in quotes.quoted(docs, own).collect())
     want = [(d, i, *at) for d, t in enumerate(texts) for i, q in items if i is not None and q and t and (at := quotes.find(t, q))]
     assert got == sorted(want) and len(got) == 6
+
+
+def test_needles_meet_only_what_is_found(spark):
+    """Names and needles that share all their short grams: as many rows meet as are found. Needles longer than what is looked up are told apart by their rarest stretch."""
+    rng = random.Random(8)
+    own = ["".join(rng.choice("01") for _ in range(14)) for _ in range(400)] + ["Customer#0000000" + f"{k:04d}" for k in range(50)]
+    e = spark.createDataFrame([(f"u{k}", n, n.lower(), k % 5) for k, n in enumerate(own)], "uuid string, name string, normalised string, mention_count int")
+    asked = sorted({n[:12] for n in own[:200]} | {own[-1], own[-7], "customer#00000009999"})
+    index = needles.postings(e, 2)
+    keys = spark.createDataFrame([(a,) for a in asked if len(a) == 12], "gram string")
+    pairs = {(a, f"u{k}") for a in asked for k, n in enumerate(own) if a.lower() in n.lower()}
+    assert index.pieces([12]).join(keys, "gram").count() == sum(len(a) == 12 for a, _ in pairs)
+    got = {(r.needle, r.uuid) for r in needles.found(index, spark.createDataFrame([(a,) for a in asked], "query string"), 500).collect()}
+    assert got == {(a.lower(), u) for a, u in pairs}
