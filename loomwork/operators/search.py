@@ -15,6 +15,8 @@ from loomwork.sources.shared import written
 
 #: Query vectors that go to all tasks at once.
 BLOCK = 4096
+#: Rows, and queries, whose similarities a task has at once: its memory grows with neither.
+AT_ONCE = 1024
 
 
 def lexical(entities: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -53,12 +55,21 @@ class _Best:
     def add(self, own: list, x: list) -> None:
         if not own or not self.ids:
             return
-        similar = self.units @ units(x).T
+        for a in range(0, len(own), AT_ONCE):
+            ids, part = own[a : a + AT_ONCE], units(x[a : a + AT_ONCE])
+            for b in range(0, len(self.ids), AT_ONCE):
+                self._add(b, ids, self.units[b : b + AT_ONCE] @ part.T)
+
+    def _add(self, first: int, own: list, similar: np.ndarray) -> None:
         kept = min(self.k, len(own))
         floor = -np.partition(-similar, kept - 1, axis=1)[:, kept - 1]
-        for i, rows in enumerate(self.rows):
+        top = similar.max(axis=1)
+        for i in range(len(similar)):
+            rows = self.rows[first + i]
+            if len(rows) == self.k and top[i] < -rows[-1][0]:
+                continue
             at = np.flatnonzero(similar[i] >= floor[i])  # with ties, which the id decides
-            self.rows[i] = sorted([*rows, *((-float(similar[i, j]), own[j] is None, 0 if own[j] is None else own[j]) for j in at)])[: self.k]
+            self.rows[first + i] = sorted([*rows, *((-float(similar[i, j]), own[j] is None, 0 if own[j] is None else own[j]) for j in at)])[: self.k]
 
     def columns(self) -> tuple[list, list, list]:
         flat = [(q, None if none else j, -s) for q, rows in zip(self.ids, self.rows, strict=True) for s, none, j in rows]
@@ -72,7 +83,8 @@ def _by_task(vectors: DataFrame, queries: list[tuple], kinds: tuple[str, str], k
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(shared.value, k)
         for batch in batches:
-            best.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for part in (batch.slice(a, AT_ONCE) for a in range(0, batch.num_rows, AT_ONCE)):
+                best.add(part.column(0).to_pylist(), part.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(best.columns(), target, strict=True)], schema=target)
 
     return vectors.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
