@@ -15,6 +15,8 @@ from loomwork.operators.profiles import indexed
 from loomwork.sources.shared import written
 
 LEAST_OVERLAP, LEAST_COSINE = 0.5, 0.90
+#: Parts of a cell by type.
+TYPE_PARTS = 64
 
 
 def by_name(mentions: DataFrame) -> DataFrame:
@@ -88,8 +90,13 @@ def similar_merged(entities: DataFrame, least_overlap: float = LEAST_OVERLAP, le
     rows = written(entities.select("type", "normalised", "position", "embedding").withColumn("row", F.monotonically_increasing_id()), "similar")
     rows = written(indexed(rows.withColumn("place", place), "place", index="order").drop("place", "position"), "similar")
     some = rows.where("embedding is not null and normalised <> ''")
-    cells, placed = cells_of(some, some.count(), "embedding")
-    placed = written(visiting(placed.drop("angle"), cells, float(np.arccos(min(1.0, least_cosine))), "embedding"), "similar")
+    # Rows of a type meet only each other, so a cell is parted by types, and there are as many as its largest part needs.
+    some = some.withColumn("part", F.pmod(F.xxhash64("type"), F.lit(TYPE_PARTS)).cast("int"))
+    most = some.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    cells, placed = cells_of(some, most, "embedding")
+    placed = visiting(placed.drop("angle"), cells, float(np.arccos(min(1.0, least_cosine))), "embedding")
+    own = lambda cell: cell * F.lit(TYPE_PARTS) + F.col("part")
+    placed = written(placed.withColumns({"cell": own(F.col("cell")), "visits": F.transform("visits", own)}).drop("part"), "similar")
 
     def against(members: DataFrame, visitors: DataFrame, found: str) -> DataFrame:
         """(row, order, keeper): for visitors the first of the members before them that they are like, in each block."""
@@ -110,10 +117,10 @@ def similar_merged(entities: DataFrame, least_overlap: float = LEAST_OVERLAP, le
 
     undecided, survivors = placed, None
     while not undecided.limit(1).isEmpty():
-        blocked = against(undecided, undecided, "like").select("row").distinct()
-        new = written(undecided.join(blocked, "row", "left_anti"), "similar")
-        merged = against(new, undecided, "like").select("row").distinct()
-        left = written(undecided.join(new, "row", "left_anti").join(merged, "row", "left_anti"), "similar")
+        blocked = written(against(undecided, undecided, "like").select("row").distinct(), "similar")
+        new, rest = (written(undecided.join(blocked, "row", how), "similar") for how in ("left_anti", "left_semi"))
+        merged = against(new, rest, "like").select("row").distinct()
+        left = written(rest.join(merged, "row", "left_anti"), "similar")
         survivors = new if survivors is None else survivors.unionByName(new)
         undecided = left
     if survivors is None:
