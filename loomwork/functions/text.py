@@ -6,6 +6,7 @@ import difflib
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,12 +24,14 @@ LONGEST_POST = {"twitter": 280, "reddit": 10_000}
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode normal form KC, which Spark has no function for."""
+    """Unicode normal form KC, which Spark has no function for. ASCII is its own, so only texts beyond it go to Python, which takes few at once."""
 
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+    def normal(texts: pa.Array) -> pa.Array:
+        parts = [texts.slice(a, 64).to_pylist() for a in range(0, len(texts), 64)]
+        done = [pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in part], pa.string()) for part in parts]
+        return pa.concat_arrays([pa.array([], pa.string()), *done])
 
-    return F.pandas_udf(normal, "string")(text)
+    return F.coalesce(F.arrow_udf(normal, "string")(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def normalised_name(name: Column) -> Column:
