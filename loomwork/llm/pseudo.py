@@ -4,12 +4,13 @@ Every word is counted over the whole corpus. The network adds an embedding for e
 predicts in two steps: the word's class, then the word in its class. Words outside its vocabulary fall into rest classes by
 shape, and each has its own part of the class's probability, by its count; one more occurrence is left to words that the corpus
 doesn't have. The counts of frequent words go to all tasks, those of the others are joined. The network begins with numpy on
-the driver, on windows chosen by hash from every place of all texts, and goes on with gradients that tasks sum over a part of
-all windows of the corpus, so that it learns from more as the corpus grows.
+the driver, on windows chosen by hash from every place of all texts, and goes on with all other windows of the corpus: they are
+dealt to rounds by hash, in a round each task takes steps on its own windows, and the tasks' weights are averaged.
 """
 
 from __future__ import annotations
 
+import copy
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.common import Words, byte_class, chunks, columns_added, mixed, shared_dir, sliced, utf8, written
+from loomwork.llm.common import Words, byte_class, chunks, columns_added, discarded, mixed, shared_dir, sliced, utf8, written
 
 #: Words of the vocabulary, and rest classes by shape.
 VOCABULARY, SHAPES = 1984, 64
@@ -28,12 +29,16 @@ VOCABULARY, SHAPES = 1984, 64
 SIDE, WIDTH, CLASSES = 2, 24, 46
 #: Windows that the network begins with (all, if there are no more), steps on these, and windows of a step.
 FIRST_WINDOWS, STEPS, BATCH = 480_000, 700, 1024
-#: Of all other windows one in so many is learned from too, in so many rounds, each with windows of its own.
-ONE_IN, ROUNDS = 16, 12
+#: Of all other windows one in so many is learned from too (1: every window), in so many rounds, each with windows of its own.
+ONE_IN, ROUNDS = 1, 12
+#: Windows of a task in a round, about; of a step of a task; and how many are put into another order together.
+PER_TASK, TASK_BATCH, MIXED = 1 << 19, 1 << 13, 1 << 17
+#: Parts of the weights that are averaged on their own.
+PARTS = 16
 #: Words outside the vocabulary whose counts go to all tasks; those of rarer words are joined.
 KNOWN = 1 << 20
 #: The first round's rate; a logarithm's smallest part when they are summed.
-RATE, FINE = 0.5, float(1 << 32)
+RATE, FINE = 0.2, float(1 << 32)
 
 _SPACE = byte_class("nonspace")
 
@@ -117,7 +122,7 @@ class Network:
 
     def contexts(self, ids: np.ndarray, text: np.ndarray) -> np.ndarray:
         """The ids beside each word, from the left to the right; 0 where the text ends."""
-        out = np.zeros((len(ids), 2 * SIDE), np.int64)
+        out = np.zeros((len(ids), 2 * SIDE), ids.dtype)
         for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
             n = len(ids) - abs(d)
             if n > 0:
@@ -126,22 +131,22 @@ class Network:
         return out
 
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
-        h = self.bias + self.inputs[0][contexts[:, 0]]
+        h = self.bias + self.inputs[0].take(contexts[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            h += self.inputs[k][contexts[:, k]]
-        return np.tanh(h)
+            h += self.inputs[k].take(contexts[:, k], axis=0)
+        return np.tanh(h, out=h)
 
     def log_probabilities(self, ids: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Of each word, given those on both sides; of a word outside the vocabulary without the logarithm of its own count."""
         h = self.hidden(self.contexts(ids, text))
         k = self.class_of[ids]
-        out = _log_softmax_at(h @ self.classes + self.class_bias, k)
-        order = np.argsort(k, kind="stable")
+        out = _log_softmax_at(self.classes.T @ h.T + self.class_bias[:, None], k)
+        order = np.argsort(k.astype(np.int16), kind="stable")
         cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             at = order[cuts[c] : cuts[c + 1]]
             if len(at):
-                out[at] += _log_softmax_at(h[at] @ self.outputs[c] + self.output_bias[c], self.place_of[ids[at]])
+                out[at] += _log_softmax_at(self.outputs[c].T @ h[at].T + self.output_bias[c][:, None], self.place_of[ids[at]])
         return out - self.rest[ids]
 
     def own_counts(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,26 +163,26 @@ class Network:
 
     def gradients(self, c: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the negative log-likelihood, summed over the windows (contexts, words)."""
-        h = self.hidden(c)
+        order = np.argsort(self.class_of[y].astype(np.int16), kind="stable")  # so that a class is a slice
+        c, y = c[order], y[order]
         k = self.class_of[y]
-        p = h @ self.classes + self.class_bias
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(y)), k] -= 1
+        h = self.hidden(c)
+        p = _errors(self.classes.T @ h.T + self.class_bias[:, None], k)
         grad = {n: np.zeros_like(getattr(self, n)) for n in LEARNED}
-        dh = p @ self.classes.T
-        grad["classes"], grad["class_bias"] = h.T @ p, p.sum(axis=0)
-        for own in np.unique(k):
-            at = np.flatnonzero(k == own)
-            q = h[at] @ self.outputs[own] + self.output_bias[own]
-            q = np.exp(q - q.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(at)), self.place_of[y[at]]] -= 1
-            dh[at] += q @ self.outputs[own].T
-            grad["outputs"][own], grad["output_bias"][own] = h[at].T @ q, q.sum(axis=0)
+        dh = p.T @ self.classes.T
+        grad["classes"], grad["class_bias"] = (p @ h).T, p.sum(axis=1)
+        cuts = np.searchsorted(k, np.arange(CLASSES + 1))
+        for own in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[own], cuts[own + 1]
+            q = _errors(self.outputs[own].T @ h[a:b].T + self.output_bias[own][:, None], self.place_of[y[a:b]])
+            dh[a:b] += q.T @ self.outputs[own].T
+            grad["outputs"][own], grad["output_bias"][own] = (q @ h[a:b]).T, q.sum(axis=1)
         dh *= 1 - h * h
         for place in range(2 * SIDE):
-            np.add.at(grad["inputs"][place], c[:, place], dh)
+            order = np.argsort(c[:, place].astype(np.int16), kind="stable")
+            beside = c[order, place]
+            first = np.flatnonzero(np.diff(beside, prepend=-1))
+            grad["inputs"][place][beside[first]] = np.add.reduceat(dh.take(order, axis=0), first, axis=0)
         grad["bias"] = dh.sum(axis=0)
         return grad
 
@@ -190,12 +195,21 @@ class Network:
 
 LEARNED = ("inputs", "bias", "classes", "class_bias", "outputs", "output_bias")
 
+
+def _errors(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The probabilities, less 1 at the right one: a row for each choice, a column for each window."""
+    scores -= scores.max(axis=0)
+    np.exp(scores, out=scores)
+    scores /= scores.sum(axis=0)
+    scores[at, np.arange(len(at))] -= 1
+    return scores
+
+
 def _log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = scores.max(axis=1)
-    scores -= top[:, None]
-    chosen = scores[np.arange(len(at)), at]
+    scores -= scores.max(axis=0)
+    chosen = scores[at, np.arange(len(at))]
     np.exp(scores, out=scores)
-    return (chosen - np.log(scores.sum(axis=1))).astype(np.float64)
+    return (chosen - np.log(scores.sum(axis=0))).astype(np.float64)
 
 
 def untrained(words: np.ndarray, counts: np.ndarray, rest: np.ndarray, known: np.ndarray, known_log: np.ndarray, seed: int = 7) -> Network:
@@ -245,12 +259,13 @@ def windows_of(documents: DataFrame, namer: Network, first: float, others: float
                 taken = np.flatnonzero(u < first + (1 - first) * others)
                 if not len(taken):
                     continue
-                ids = net.ids(w)
-                found = np.column_stack([ids, net.contexts(ids, text)])[taken].astype(np.int16)
-                which = np.where(u[taken] < first, -1, (key[taken] & np.uint64(2047)).astype(np.int64) % rounds)
-                for r in np.unique(which):
-                    out[0].append(int(r))
-                    out[1].append(found[which == r].tobytes())
+                ids = net.ids(w).astype(np.int16)
+                which = np.where(u[taken] < first, -1, (key[taken] & np.uint64(2047)).astype(np.int64) % rounds).astype(np.int16)
+                order = np.argsort(which, kind="stable")
+                found = np.column_stack([ids, net.contexts(ids, text)])[taken[order]]
+                cuts = np.flatnonzero(np.diff(which[order], prepend=-2))
+                out[0].extend(which[order[cuts]].tolist())
+                out[1].extend(found[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(found)], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["round", "ids"])
 
     return documents.select("text", F.xxhash64("doc_id", "text").alias("row")).mapInArrow(run, "round int, ids binary")
@@ -260,36 +275,67 @@ def unpacked(ids: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(x) for x in ids), np.int16).reshape(-1, 2 * SIDE + 1)
 
 
-def summed(windows: DataFrame, net: Network) -> tuple[dict[str, np.ndarray], int]:
-    """(gradients, number of windows): each task sums over its own."""
-    shared = windows.sparkSession.sparkContext.broadcast(net)
+def learned(windows: DataFrame, net: Network, scale: dict[str, np.ndarray], rate: float, tasks: int) -> None:
+    """Each task takes steps on its own windows from the same weights; of each weight the average goes on, by the squared gradients that it had in each task.
+
+    The tasks' weights are averaged in PARTS parts by other tasks, so that the driver gets them once, whatever the number of tasks.
+    """
+    shared = windows.sparkSession.sparkContext.broadcast((net, scale))
+
+    def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held, size = [], 0
+        for packed in (x for batch in batches for x in batch.column(0).to_pylist()):
+            held.append(packed)
+            size += len(packed)
+            if size >= MIXED * 2 * (2 * SIDE + 1):
+                yield unpacked(held)
+                held, size = [], 0
+        if held:
+            yield unpacked(held)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, total = shared.value, 0, None
+        begin, squares = shared.value
+        own, sums, rng = None, {k: x.copy() for k, x in squares.items()}, np.random.default_rng(13)
+        for found in groups(batches):
+            own = own or copy.copy(begin)
+            for pick in np.array_split(rng.permutation(len(found)), -(-len(found) // TASK_BATCH)):
+                own.step(own.gradients(found[pick, 1:], found[pick, 0]), len(pick), sums, rate)
+        if own:
+            weights = np.concatenate([getattr(own, k).ravel() for k in LEARNED])
+            gained = np.concatenate([(sums[k] - squares[k]).ravel() for k in LEARNED])
+            for part, (x, w) in enumerate(zip(np.array_split(weights, PARTS), np.array_split(gained, PARTS), strict=True)):
+                yield packed_part(part, x, w)
+
+    def packed_part(part: int, x: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        arrays = [pa.array([part], pa.int32()), *[pa.array([v.astype(np.float32).tobytes()], pa.binary()) for v in (x, w)]]
+        return pa.RecordBatch.from_arrays(arrays, names=["part", "weights", "gained"])
+
+    def averaged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                found = unpacked([packed]).astype(np.int64)
-                for a in range(0, len(found), 1 << 14):
-                    part = found[a : a + (1 << 14)]
-                    grad = own.gradients(part[:, 1:], part[:, 0])
-                    total = {k: (grad[k].astype(np.float64) if total is None else total[k] + grad[k]) for k in LEARNED}
-                    n += len(part)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([b"".join(total[k].astype(np.float32).tobytes() for k in LEARNED)], pa.binary())], names=["n", "grad"])
-
-    n, total = 0, None
-    for r in windows.select("ids").coalesce(64).mapInArrow(run, "n long, grad binary").collect():  # about 1 MB each
-        flat = np.frombuffer(bytes(r.grad), np.float32).astype(np.float64)
-        n, total = n + r.n, flat if total is None else total + flat
+            for part, x, w in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                x, w = (np.frombuffer(v, np.float32).astype(np.float64) for v in (x, w))
+                total[part] = total.get(part, 0) + np.stack([w, w * x, w * w])
+        for part, (w, wx, ww) in total.items():
+            yield packed_part(part, *[np.divide(v, w, out=np.full(len(w), np.nan), where=w > 0) for v in (wx, ww)])  # none where no task had a gradient
+
+    schema = "part int, weights binary, gained binary"
+    found = windows.select("ids").coalesce(tasks).mapInArrow(run, schema)
+    rows = sorted(found.repartition(PARTS, "part").mapInArrow(averaged, schema).collect(), key=lambda r: r.part)
     shared.unpersist()
-    if not n:
-        return {}, 0
-    sizes = [getattr(net, k).size for k in LEARNED]
-    return {k: x.reshape(getattr(net, k).shape) for k, x in zip(LEARNED, np.split(total, np.cumsum(sizes)[:-1]), strict=True)}, n
+    if not rows:
+        return
+    new, gained = (np.concatenate([np.frombuffer(bytes(r[c]), np.float32) for r in rows]) for c in ("weights", "gained"))
+    cuts = np.cumsum([getattr(net, k).size for k in LEARNED])[:-1]
+    for k, x, g in zip(LEARNED, np.split(new, cuts), np.split(gained, cuts), strict=True):
+        old = getattr(net, k)
+        x, g = x.reshape(old.shape), g.reshape(old.shape)
+        setattr(net, k, np.where(np.isnan(x), old, x))
+        scale[k] = scale[k] + np.nan_to_num(g)
 
 
 def fit(documents: DataFrame, first: int = FIRST_WINDOWS, one_in: int = ONE_IN, steps: int = STEPS, rounds: int = ROUNDS, known: int = KNOWN) -> Network:
-    """Counts of all words; the network from about first windows, and from one in one_in of all others, wherever in their texts they stand."""
+    """Counts of all words; the network from about first windows, and from all others (or one in one_in of them), wherever in their texts they stand."""
     counts = written(word_counts(documents), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     rest_rows = counts.join(F.broadcast(counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word")), "word", "left_anti")
@@ -316,12 +362,13 @@ def fit(documents: DataFrame, first: int = FIRST_WINDOWS, one_in: int = ONE_IN,
     chosen = windows_of(documents.where("text is not null"), net, share, 1 / one_in, rounds)
     chosen.write.partitionBy("round").parquet(path)
     chosen = documents.sparkSession.read.schema("ids binary, round int").parquet(path)
+    chosen.shared_path = path
     begin = unpacked(r.ids for r in chosen.where("round = -1").select("ids").collect())
     scale = trained(net, begin[np.lexsort(begin.T)], steps)
+    tasks = int(total / one_in / rounds // PER_TASK) + 1
     for t in range(rounds if share < 1 else 0):
-        grad, n = summed(chosen.where(F.col("round") == t), net)
-        if n:
-            net.step(grad, n, scale, RATE * (1 - t / rounds))
+        learned(chosen.where(F.col("round") == t), net, scale, RATE * (1 - t / rounds) + 0.005, tasks)
+    discarded(chosen)
     net.known, net.known_log, net.counts = hashes[order], np.log(frequent.column("n").to_numpy()[order]), counts.select("word", "n")
     return net
 

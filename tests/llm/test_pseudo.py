@@ -99,3 +99,33 @@ def test_scores_against_a_plain_loop(spark):
             if i > size:
                 total += np.log(counts.get(int(w.hashes[k].astype(np.int64)), 1)) - net.rest[i]
         assert abs(total - r.pseudo_log_likelihood) < 1e-3 * max(1, len(ids))
+
+
+def test_every_window_is_learned_from(spark, monkeypatch):
+    texts = grammar(400, 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    chosen, windows_of = [], pseudo.windows_of
+    monkeypatch.setattr(pseudo, "windows_of", lambda *args: chosen.append(windows_of(*args)) or chosen[-1])
+    net = pseudo.fit(docs, first=500, steps=5)
+    found = pseudo.unpacked(r.ids for r in chosen[0].collect())
+    assert len(found) == sum(len(t.split()) for t in texts)
+    own = spark.createDataFrame(list(enumerate(grammar(30, 2))), "doc_id long, text string")
+    assert np.mean([r.per_word for r in pseudo.with_scores(own, net).collect()]) > -0.16
+
+
+def test_weights_of_tasks(spark):
+    words = np.arange(1, 41).astype(np.uint64)
+    few = np.array([[1, 2, 3, 4, 5]] * 50, np.int16).tobytes(), np.array([[6, 7, 8, 9, 10]] * 80, np.int16).tobytes()
+    got = []
+    for rows in (few[:1], few[1:], few):
+        net = pseudo.untrained(words, np.ones(len(words) + 1 + pseudo.SHAPES), np.zeros(len(words) + 1 + pseudo.SHAPES), np.zeros(0, np.uint64), np.zeros(0))
+        scale = {n: np.full_like(getattr(net, n), 1e-6) for n in pseudo.LEARNED}
+        begin = net.inputs
+        pseudo.learned(spark.createDataFrame(spark.sparkContext.parallelize([(bytearray(x),) for x in rows], len(rows)), "ids binary"), net, scale, 0.1, len(rows))
+        got.append((net, scale))
+    (a, _), (b, _), (both, squares) = got
+    # what one task alone has windows for is as that task has it, what none has stays
+    assert np.allclose(both.inputs[0][2], a.inputs[0][2]) and np.allclose(both.inputs[0][7], b.inputs[0][7])
+    assert not np.allclose(both.inputs[0][2], begin[0][2]) and np.array_equal(both.inputs[0][11], begin[0][11])
+    low, high = np.minimum(a.classes, b.classes), np.maximum(a.classes, b.classes)
+    assert ((both.classes >= low - 1e-6) & (both.classes <= high + 1e-6)).all() and (squares["classes"] > 1e-6).any()
