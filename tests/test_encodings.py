@@ -56,6 +56,13 @@ def test_letters_of_two_alphabets_in_a_word(weights, text):
     assert files.decoded((text * 12).encode("latin-1"), weights)[0] == text * 12
 
 
+@pytest.mark.parametrize("word", ["Äau", "Äen", "Öie", "Éeautre", "Èelle", "Ñueco", "Íueie", "Çonch"])
+def test_a_capital_with_a_mark_before_a_small_letter(weights, word):
+    """Together they are one character of an Asian encoding, which doesn't stand alone in a Latin word: not even if it is all that the text has."""
+    for text in (f"{word} " * 80, "then the others went away " * 20 + f"{word} " + "and came back " * 20):
+        assert files.decoded(text.encode("latin-1"), weights)[0] == text
+
+
 def test_learned_from_little(spark):
     none = encodings.learned(spark.createDataFrame([("plain",), (None,)], "text string"))
     assert files.decoded(RUSSIAN.encode("cp1251"), none)[0] == RUSSIAN
