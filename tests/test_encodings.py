@@ -63,6 +63,18 @@ def test_a_capital_with_a_mark_before_a_small_letter(weights, word):
         assert files.decoded(text.encode("latin-1"), weights)[0] == text
 
 
+@pytest.mark.parametrize("word", ["Éè", "Ñí,", "ÉÇ!", "ÈÉÉ!", "Çê", "Üß", "SÍ!", "UÉÇÉÇ!", "ÉÉÉÉE"])
+def test_letters_that_the_table_has(weights, word):
+    """One word of marked letters in a text of ASCII ones: its letters are those of the table."""
+    text = "then the others went away " * 20 + f"{word} " + "and came back " * 20
+    assert files.decoded(text.encode("latin-1"), weights)[0] == text
+
+
+@pytest.mark.parametrize("text", ["Ещё раз: объём, съезд, подъезд, ёж, щука. Я и он. У нас в саду. ", "Я и он. У нас в саду. Мы и вы. Он у них. "])
+def test_short_words_of_another_alphabet(weights, text):
+    assert files.decoded((text * 4).encode("cp1251"), weights)[0] == text * 4
+
+
 def test_learned_from_little(spark):
     none = encodings.learned(spark.createDataFrame([("plain",), (None,)], "text string"))
     assert files.decoded(RUSSIAN.encode("cp1251"), none)[0] == RUSSIAN
